@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .bpe import decode_documents, encode_documents
 from .common import read_table
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import apply_rules
 
@@ -31,9 +32,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_packing": op3_packing,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
