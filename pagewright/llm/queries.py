@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .bpe import decode_documents, encode_documents
 from .common import read_table
+from .fingerprints import fingerprint_edits
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import apply_rules
@@ -36,10 +37,16 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edits = fingerprint_edits(read_table(spark, sf_dir, "documents"))
+    return edits.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_packing": op3_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
