@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql
+from . import bt_quality, sql
 from .bpe import decode_documents, encode_documents
 from .common import read_table
 from .fingerprints import fingerprint_edits
@@ -23,6 +23,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *[F.col(f"rules.{k}").alias(k) for k in (*BASE, "n_lines", "n_stop_words")])
 
 
+def op1_bt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = bt_quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = bt_quality.score_documents(docs, model, out_col="q")
+    return scored.select("doc_id", bt_quality.held_out(F.col("doc_id")).alias("held_out"), "q.score", "q.predicted")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = decode_documents(encode_documents(read_table(spark, sf_dir, "documents")))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -43,6 +50,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bt_quality": op1_bt_quality,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_packing": op3_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
