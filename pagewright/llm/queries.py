@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bt_quality, sql
 from .bpe import decode_documents, encode_documents
+from .chat_format import canonical_turns, conversation_records, format_conversations, read_back
 from .common import read_table
 from .fingerprints import fingerprint_edits
 from .near_dedup import near_duplicates
@@ -44,6 +45,19 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    talks = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    talks = talks.unionByName(spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string"))
+    formatted = format_conversations(canonical_turns(conversation_records(talks), "conv_id", "record"), "conv_id")
+    lengths = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), "formatted", "loss")
+    back = read_back(lengths, "conv_id", keep=("formatted_chars",))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), "formatted_chars")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = fingerprint_edits(read_table(spark, sf_dir, "documents"))
     return edits.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -54,9 +68,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_packing": op3_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_chat_format": op5_chat_format,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": sql.CHAT_FORMAT,
     "op10_quality_rules": sql.QUALITY_RULES,
 }

@@ -38,3 +38,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          OR word_chars > 25::DOUBLE * n_words OR word_chars < 1.5::DOUBLE * n_words) AS kept,
        n_lines, n_stop_words
 FROM b"""
+
+#: Lengths of the template's control strings around a turn: 15, 13 and 7 around system, user and assistant, and 16
+#: around other roles, which are named there. One backslash is added to each control string in a text.
+_ESCAPED = r"[<\[]\\*(<SYS>>|</SYS>>|/INST\]|/TURN\]|INST\]|TURN\]|/s>|s>|:\])"
+CHAT_FORMAT = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '{_ESCAPED}'))
+    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+      ELSE 16 + length(role) + len(regexp_extract_all(role, '{_ESCAPED}')) END AS chars
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id"""
