@@ -15,6 +15,7 @@ from .fingerprints import fingerprint_edits
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import apply_rules
+from .warc import archive_pages, merged_index, read_archives
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -58,6 +59,19 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), "formatted_chars")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    date = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    index, folder = archive_pages(read_table(spark, sf_dir, "pages"), date=date)
+    n_files = index.select("file").distinct().count()
+    back = read_archives(index, folder, max(1, n_files))
+    back = back.select(
+        "file", "at", F.col("record_id").cast("long").alias("page_id"), F.coalesce(F.octet_length("payload").cast("long"), F.col("header_bytes")).alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), F.col("header_digest")).alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"),
+    )
+    history = merged_index(index).select("file", "at", "url_key", F.col("date").alias("captured_at"))
+    return back.join(history, ["file", "at"]).drop("file", "at")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = fingerprint_edits(read_table(spark, sf_dir, "documents"))
     return edits.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -69,10 +83,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_format": op5_chat_format,
+    "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": sql.CHAT_FORMAT,
+    "op8_warc": sql.WARC,
     "op10_quality_rules": sql.QUALITY_RULES,
 }

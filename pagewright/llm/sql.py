@@ -58,3 +58,15 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(chars)::BIGINT AS formatted_chars
 FROM m GROUP BY conv_id"""
+
+WARC = """
+WITH p AS (
+  SELECT page_id, lower(coalesce(url, '')) AS u, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to,
+       array_to_string(list_reverse(string_split(regexp_extract(u, '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.')), ',') || ')'
+         || regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://[^/?#]*)?([^#]*)', 1) AS url_key,
+       strftime(make_timestamp((1704067200 + coalesce(page_id, 0)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+FROM f"""
