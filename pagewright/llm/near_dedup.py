@@ -2,10 +2,12 @@
 
 1. A document's set of word shingles is hashed to 64 bits a shingle; equal sets are one class from here on.
 2. Every class gets a SuperMinHash signature and from it one key for each band.
-3. In every bucket of equal band keys all members are compared with the smallest (a star), which is linear in the
-   bucket. Members that the first components still leave apart are then compared across components, within a bound
-   on set sizes, so that no pair that shares a bucket stays undecided.
-4. A candidate pair is a link only after its whole shingle sets have been compared.
+3. In every bucket of equal band keys all members are compared with the smallest, its head: linear in the bucket.
+   A candidate pair is a link only after its whole shingle sets have been compared.
+4. Members u, v of a bucket that the first components leave apart are decided by what they share beside its head R.
+   Where both are close to R, short lists D(u) and D(v) of the shingles in which they differ from R settle the link
+   exactly inside a join on R, which gives out links only; sizes alone exclude most partners. Where u or v has
+   little in common with R, prefixes of their shingles outside R must meet; what meets is compared on full sets.
 5. Links meet in union-find forests, first inside each partition, then across partitions by star contraction.
 """
 
@@ -164,8 +166,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole shingle sets overlap enough. Both texts of a pair meet in one row."""
+def _compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (u, v) with the sizes of their whole shingle sets (nu, nv), of the intersection (i), and linked.
+
+    close: v holds half of u or more, and u of v. Then outside has the shingles of u that v lacks and missing those of
+    v that u lacks; else outside has as many as a set must meet to link with u, and missing none. Both texts of a pair
+    meet in one row.
+    """
     asked = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("id"))
     ids = written(asked.select("id").distinct(), "asked")
     if ids.count() <= BROADCAST_IDS:  # else the join below deals out all texts
@@ -173,8 +180,44 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     side = lambda name: F.min_by(F.when(F.col("id") == F.col(name), F.col("text")), F.when(F.col("id") == F.col(name), F.xxhash64("text")))
     texts = asked.join(docs, "id").groupBy("u", "v").agg(side("u").alias("a"), side("v").alias("b"))
     sets = texts.select("u", "v", shingle_set(F.col("a"), shingle).alias("a"), shingle_set(F.col("b"), shingle).alias("b"))
-    both = sets.select("u", "v", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("t"))
-    return both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("t") - F.col("i"))).select("u", "v")
+    o, m = F.sort_array(F.array_except("a", "b")), F.array_except("b", "a")
+    sets = sets.select("u", "v", F.size("a").alias("nu"), F.size("b").alias("nv"), o.alias("o"), m.alias("m")).withColumn("i", F.col("nu") - F.size("o"))
+    linked = 100 * F.col("i") >= percent * (F.col("nu") + F.col("nv") - F.col("i"))
+    sets = sets.withColumn("linked", linked).withColumn("close", 2 * F.col("i") >= F.greatest("nu", "nv"))
+    outside = F.when(F.col("close"), F.col("o")).otherwise(_outside_prefix(F.col("o"), F.col("nu"), F.col("i"), percent))
+    missing = F.when(F.col("close"), F.col("m")).otherwise(F.array().cast("array<bigint>"))
+    return sets.select("u", "v", "nu", "nv", "i", "linked", "close", outside.alias("outside"), missing.alias("missing"))
+
+
+def _outside_prefix(o: Column, n: Column, i: Column, percent: int) -> Column:
+    """Of the sorted shingles ``o`` outside the head, as many as must meet: a link shares percent * n / 100 - i of them at least, and one."""
+    need = F.greatest(F.lit(1), F.ceil((percent * n - 100 * i) / 100).cast("int"))
+    return F.slice(o, F.lit(1), F.greatest(F.lit(0), F.size(o) - need + 1))
+
+
+def _apart(compared: DataFrame, buckets: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links, and pairs that may be links, (u, v) of a bucket beside its head and of different components.
+
+    With p = percent, a pair is a link where (100 + p) |u & v| >= p (nu + nv). Where both are close to the head, of size
+    nh, |u & v| is nh less what u and what v lack of it, plus what both lack, plus what both have outside.
+    """
+    members = buckets.where("id != first").join(groups, F.col("id") == F.col("node"), "left").select("key", "first", "id", F.coalesce("component", "id").alias("component"))
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    apart = members.join(mixed, "key").select(F.col("first").alias("v"), F.col("id").alias("u"), "component").distinct()
+    rows = written(compared.join(apart, ["u", "v"]).withColumnsRenamed({"v": "head", "u": "id", "nu": "n", "nv": "nh"}), "apart")
+    near = (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+    pair = [F.col("a.id").alias("u"), F.col("b.id").alias("v")]
+
+    d = rows.where("close").select("head", "id", "n", "nh", "component", F.size("outside").alias("o"), F.size("missing").alias("m"), "outside", "missing")
+    known = (100 + percent) * (F.col("a.nh") - F.col("a.m") - F.col("b.m")) - percent * (F.col("a.n") + F.col("b.n"))
+    at_most = F.least("a.o", "b.o") + F.least("a.m", "b.m")
+    both = lambda c: F.size(F.array_intersect(f"a.{c}", f"b.{c}"))
+    is_link = (known + (100 + percent) * at_most >= 0) & (known + (100 + percent) * (both("outside") + both("missing")) >= 0)
+    links = d.alias("a").join(d.alias("b"), (F.col("a.head") == F.col("b.head")) & near & is_link).select(*pair)
+
+    s = rows.select("head", "id", "n", "component", "close", F.explode(F.when(F.col("close"), _outside_prefix(F.col("outside"), F.col("n"), F.col("i"), percent)).otherwise(F.col("outside"))).alias("s"))
+    far = s.alias("a").join(s.alias("b"), (F.col("a.head") == F.col("b.head")) & (F.col("a.s") == F.col("b.s")) & near & ~(F.col("a.close") & F.col("b.close"))).select(*pair)
+    return links, far.distinct().join(compared.select("u", "v"), ["u", "v"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -196,19 +239,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = written(key_rows.join(stars, "key"), "buckets")
 
     first = written(buckets.where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct(), "first")
-    links = _verified(first, texts, shingle, percent)
-    groups = components(links)
-
-    placed = buckets.join(groups, buckets["id"] == groups["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    apart = written(placed.join(mixed, "key").join(signed.select("id", "n"), "id"), "apart")
-    a, b = apart.alias("a"), apart.alias("b")
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
-    near = near & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-    second = written(a.join(b, near).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct().join(first, ["u", "v"], "left_anti"), "second")
+    compared = written(_compared(first, texts, shingle, percent), "compared")
+    groups = components(compared.where("linked").select("u", "v"))
+    more, second = _apart(compared, buckets, groups, percent)
+    more, second = written(more, "links"), written(second, "second")
     if not second.isEmpty():
-        more = _verified(second, texts, shingle, percent)
-        groups = components(more.union(groups.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        more = more.union(_compared(second, texts, shingle, percent).where("linked").select("u", "v"))
+    groups = components(more.union(groups.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
     by_class = classes.join(groups, classes["rep"] == groups["node"], "left").select("ka", "kb", F.coalesce("component", "rep").alias("component"))
     members = signed.select("id", "n", "ka", "kb").join(by_class, ["ka", "kb"], "left")
