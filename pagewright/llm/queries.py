@@ -12,6 +12,7 @@ from .bpe import decode_documents, encode_documents
 from .chat_format import canonical_turns, conversation_records, format_conversations, read_back
 from .common import read_table
 from .fingerprints import fingerprint_edits
+from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import apply_rules
@@ -59,6 +60,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), "formatted_chars")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "dedup.n_lines", "dedup.n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     index, folder = archive_pages(read_table(spark, sf_dir, "pages"), date=date)
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_format": op5_chat_format,
+    "op7_line_dedup": op7_line_dedup,
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
