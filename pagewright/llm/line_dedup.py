@@ -56,18 +56,18 @@ def winnow(h: Column, n: Column, min_words: int, window: int = WINDOW) -> Column
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with _id and _copy, which tells rows apart that repeat an id (by their texts' order)."""
-    out = docs.withColumn("_id", F.col(id_col))
-    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null")
-    if ids.groupBy("_id").count().where("count > 1").isEmpty():
-        return out.withColumn("_copy", F.lit(0))
-    return out.withColumn("_copy", F.row_number().over(Window.partitionBy("_id").orderBy(text_col)))
+    """``docs`` with _pw_id and _pw_copy, which tells rows apart that repeat an id (by their texts' order)."""
+    out = docs.withColumn("_pw_id", F.col(id_col))
+    ids = docs.select(F.col(id_col).alias("_pw_id")).where("_pw_id is not null")
+    if ids.groupBy("_pw_id").count().where("count > 1").isEmpty():
+        return out.withColumn("_pw_copy", F.lit(0))
+    return out.withColumn("_pw_copy", F.row_number().over(Window.partitionBy("_pw_id").orderBy(text_col)))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
-    """_id, _copy and runs: for each document that has some, the stretches of lines (a to b) that occur earlier, in order."""
-    key = ["_id", "_copy"]
-    hashed = docs.where("_id is not null").select(*key, _hashed(F.coalesce(F.col(text_col), F.lit(""))).alias("x"))
+    """_pw_id, _pw_copy and runs: for each document that has some, the stretches of lines (a to b) that occur earlier, in order."""
+    key = ["_pw_id", "_pw_copy"]
+    hashed = docs.where("_pw_id is not null").select(*key, _hashed(F.coalesce(F.col(text_col), F.lit(""))).alias("x"))
     lines = written(hashed.select(*key, F.col("x.h").alias("h"), F.col("x.n").alias("n"), F.col("x.at").alias("at")), "lines")
 
     prints = lines.select(*key, F.inline(winnow(F.col("h"), F.col("n"), min_words, window)))
@@ -106,14 +106,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the order of their texts, and so a repeated row loses what its first one keeps. A text may become empty.
     """
     rows = _numbered(docs, id_col, text_col)
-    runs = repeated_runs(rows.select("_id", "_copy", F.col(text_col).cast("string").alias("_text")), "_id", "_text", min_words, window)
-    out = rows.join(runs, ["_id", "_copy"], "left")
+    runs = repeated_runs(rows.select("_pw_id", "_pw_copy", F.col(text_col).cast("string").alias("_pw_text")), "_pw_id", "_pw_text", min_words, window)
+    out = rows.join(runs.withColumnRenamed("runs", "_pw_runs"), ["_pw_id", "_pw_copy"], "left")
     lines = cut_lines(F.col(text_col))
-    kept = let(F.col("runs"), lambda r: F.filter(lines, lambda _, i: ~F.exists(r, lambda x: (i >= x["a"]) & (i <= x["b"]))))
-    n_removed = F.aggregate("runs", F.lit(0), lambda s, x: s + x["b"] - x["a"] + 1)
-    out = out.withColumn("_kept", F.when(F.col("runs").isNotNull(), F.array_join(kept, "")).otherwise(F.col(text_col)))
+    kept = let(F.col("_pw_runs"), lambda r: F.filter(lines, lambda _, i: ~F.exists(r, lambda x: (i >= x["a"]) & (i <= x["b"]))))
+    n_removed = F.aggregate("_pw_runs", F.lit(0), lambda s, x: s + x["b"] - x["a"] + 1)
+    out = out.withColumn("_pw_kept", F.when(F.col("_pw_runs").isNotNull(), F.array_join(kept, "")).otherwise(F.col(text_col)))
     n_lines = F.coalesce(F.size(lines), F.lit(0))
-    stats = F.struct(F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(n_removed, F.lit(0)).cast("long").alias("n_removed"), F.coalesce("runs", F.array().cast("array<struct<a:int,b:int>>")).alias("runs"))
-    out = out.withColumn(out_col, stats).withColumn(text_col, F.col("_kept"))
+    stats = F.struct(F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(n_removed, F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_pw_runs", F.array().cast("array<struct<a:int,b:int>>")).alias("runs"))
+    out = out.withColumn(out_col, stats).withColumn(text_col, F.col("_pw_kept"))
     names = [*(c for c in docs.columns if c != out_col), out_col]
     return out.select(*names)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bt_quality, sql
+from . import bt_quality, ngram_lm, sql
 from .bpe import decode_documents, encode_documents
 from .chat_format import canonical_turns, conversation_records, format_conversations, read_back
 from .common import read_table
@@ -60,6 +60,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), "formatted_chars")
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_lm.score_documents(read_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"), "n_backoffs")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "dedup.n_lines", "dedup.n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_format": op5_chat_format,
+    "op6_ngram_lm": op6_ngram_lm,
     "op7_line_dedup": op7_line_dedup,
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": sql.CHAT_FORMAT,
+    "op6_ngram_lm": sql.NGRAM_LM,
     "op8_warc": sql.WARC,
     "op10_quality_rules": sql.QUALITY_RULES,
 }

@@ -70,3 +70,28 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
          || regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://[^/?#]*)?([^#]*)', 1) AS url_key,
        strftime(make_timestamp((1704067200 + coalesce(page_id, 0)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
 FROM f"""
+
+NGRAM_LM = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORD}') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS w, unnest(list_prepend(NULL, w[:-2])) AS before FROM d),
+n AS (SELECT count(*) AS total FROM p),
+own AS (SELECT doc_id, count(*) AS n_words FROM p GROUP BY doc_id),
+u AS (SELECT w, count(*) AS c FROM p GROUP BY w),
+b AS (SELECT before, w, count(*) AS c FROM p WHERE before IS NOT NULL GROUP BY before, w),
+ud AS (SELECT doc_id, w, count(*) AS c FROM p GROUP BY doc_id, w),
+bd AS (SELECT doc_id, before, w, count(*) AS c FROM p WHERE before IS NOT NULL GROUP BY doc_id, before, w),
+r AS (
+  SELECT p.doc_id, p.before, u.c - ud.c AS c1, u0.c - ud0.c AS c0, b.c - bd.c AS c2, n.total - own.n_words AS others
+  FROM p CROSS JOIN n JOIN own ON own.doc_id = p.doc_id
+  JOIN u ON u.w = p.w JOIN ud ON ud.doc_id = p.doc_id AND ud.w = p.w
+  LEFT JOIN u u0 ON u0.w = p.before LEFT JOIN ud ud0 ON ud0.doc_id = p.doc_id AND ud0.w = p.before
+  LEFT JOIN b ON b.before = p.before AND b.w = p.w LEFT JOIN bd ON bd.doc_id = p.doc_id AND bd.before = p.before AND bd.w = p.w),
+s AS (
+  SELECT doc_id, before IS NOT NULL AND c2 = 0 AS backed,
+         CASE WHEN c2 > 0 THEN ln(c2::DOUBLE / c0)
+              ELSE CASE WHEN before IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END
+                + CASE WHEN c1 > 0 THEN ln(c1::DOUBLE / greatest(others, 1)) ELSE ln(1::DOUBLE / (others + 1)) END END AS x
+  FROM r)
+SELECT d.doc_id, coalesce(count(x), 0) AS n_words, round(coalesce(avg(x), 0), 6) AS mean_log_score,
+       coalesce(sum(backed::INT), 0)::BIGINT AS n_backoffs
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
