@@ -2,8 +2,8 @@
 
 Spark deals the rows; each Python worker keeps one encoder and encodes the distinct pre-tokens that it meets. An
 encoder merges a pre-token's symbols in a linked list. Every adjacent pair waits in the bucket of its merge rank; a
-three-level bitmap marks the buckets in use, so that find-first-set yields the next rank in a few steps however long
-the pre-token is. A merge leaves the neighbours' old entries where they are; they are skipped when they come up.
+two-level bitmap marks the buckets in use, so that find-first-set yields the next rank in two steps however long the
+pre-token is. A merge leaves the neighbours' old entries where they are; they are skipped when they come up.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import public_tokenizers
 import pyarrow as pa
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pre-tokens that a worker remembers before it starts anew, and the longest that it remembers, in characters.
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
+#: Bits of a rank that one word of the bitmap's lower level holds, as a power of two.
+WORD = 8
+MASK = (1 << WORD) - 1
 #: Rows that are turned into one output batch.
 ROWS = 256
 
@@ -33,45 +37,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class RankQueue:
-    """A priority queue of (rank, position): buckets by rank below a three-level bitmap of 64-bit words."""
-
-    def __init__(self, n_ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * ((n_ranks >> 6) + 1)
-        self.mid = [0] * ((n_ranks >> 12) + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """The leftmost position of the lowest rank."""
-        top = self.top
-        m = (top & -top).bit_length() - 1
-        word = self.mid[m]
-        w = (m << 6) + (word & -word).bit_length() - 1
-        word = self.low[w]
-        rank = (w << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[w] = word = word & (word - 1)
-            if not word:
-                self.mid[m] = word = self.mid[m] & (self.mid[m] - 1)
-                if not word:
-                    self.top = top & (top - 1)
-        return rank, position
-
-
 class Encoder(dict):
     """Maps a pre-token to its ids, packed as little-endian unsigned 32-bit integers; remembers short ones."""
 
@@ -79,7 +44,7 @@ class Encoder(dict):
         super().__init__()
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.low = [0] * ((max(ranks.values(), default=0) >> WORD) + 1)  # the lower level of the bitmap; all zeros between calls
         self.single = [ranks.get(bytes([b])) for b in range(256)]
         self.pairs: dict[int, int] = {}
         self.token = {rank: token for token, rank in ranks.items()}
@@ -88,54 +53,73 @@ class Encoder(dict):
         ids = self.merge(piece.encode())
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
+            if len(self) >= CACHE_ENTRIES:  # the older half goes; what is frequent comes back at once
+                for old in list(islice(self, CACHE_ENTRIES // 2)):
+                    del self[old]
             self[piece] = packed
         return packed
 
-    def rank_of(self, left: int, right: int) -> int:
-        """The rank of two tokens side by side, -1 if they don't merge."""
-        key = left << 32 | right
-        rank = self.pairs.get(key)
-        if rank is None:
-            if len(self.pairs) >= CACHE_ENTRIES:
-                self.pairs.clear()
-            rank = self.pairs[key] = self.ranks.get(self.token[left] + self.token[right], -1)
+    def rank_of(self, key: int) -> int:
+        """The rank of two tokens side by side (one in the upper, one in the lower 32 bits), -1 if they don't merge."""
+        if len(self.pairs) >= CACHE_ENTRIES:
+            self.pairs.clear()
+        rank = self.pairs[key] = self.ranks.get(self.token[key >> 32] + self.token[key & 0xFFFFFFFF], -1)
         return rank
 
     def merge(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, queue, rank_of = len(piece), self.queue, self.rank_of
+        n, low, top, known = len(piece), self.low, 0, self.pairs
+        buckets: dict[int, int | list[int]] = {}  # by rank: one position, or a heap of several
         ids = [self.single[b] for b in piece]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = [-1] * n  # the rank under which the pair that starts here waits
-        for i in range(n - 1):
-            rank = rank_of(ids[i], ids[i + 1])
-            if rank >= 0:
+        after, before = [*range(1, n + 1)], [*range(-1, n)]
+        waiting = [-1] * (n + 1)  # the rank under which the pair that starts at a position waits
+        new = range(n - 1)  # positions whose pair has come up
+        while True:
+            for i in new:
+                key = ids[i] << 32 | ids[after[i]]
+                rank = known[key] if key in known else self.rank_of(key)
                 waiting[i] = rank
-                queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
-            if waiting[i] != rank:
-                continue  # stale: one of the two symbols has merged with another since
+                if rank >= 0:
+                    if rank in buckets:
+                        bucket = buckets[rank]
+                        if type(bucket) is int:
+                            buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
+                        else:
+                            heappush(bucket, i)
+                    else:
+                        buckets[rank] = i
+                        word = rank >> WORD
+                        low[word] |= 1 << (rank & MASK)
+                        top |= 1 << word
+            while top:  # find the first set bit of either level: the lowest rank in use
+                word = (top & -top).bit_length() - 1
+                bits = low[word]
+                rank = (word << WORD) + (bits & -bits).bit_length() - 1
+                i = buckets[rank]
+                if type(i) is int:
+                    del buckets[rank]
+                    low[word] = bits = bits & (bits - 1)
+                    if not bits:
+                        top &= top - 1
+                else:
+                    heap, i = i, heappop(i)
+                    if len(heap) == 1:
+                        buckets[rank] = heap[0]
+                if waiting[i] == rank:
+                    break  # else the entry is stale: one of the two symbols has merged with another since
+            else:
+                return [x for x in ids if x >= 0]
             j = after[i]
             after[i] = k = after[j]
-            ids[i], ids[j], waiting[j] = rank, -1, -1
+            ids[i], ids[j], waiting[j], waiting[i] = rank, -1, -1, -1
+            h = before[i]
             if k < n:
                 before[k] = i
-                waiting[i] = new = rank_of(rank, ids[k])
-                if new >= 0:
-                    queue.push(new, i)
+                new = (i,) if h < 0 else (i, h)
             else:
-                waiting[i] = -1
-            h = before[i]
-            if h >= 0:
-                waiting[h] = new = rank_of(ids[h], rank)
-                if new >= 0:
-                    queue.push(new, h)
-        return [x for x in ids if x >= 0]
+                new = () if h < 0 else (h,)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.split(text)))
