@@ -7,7 +7,8 @@
 4. Members u, v of a bucket that the first components leave apart are decided by what they share beside its head R.
    Where both are close to R, short lists D(u) and D(v) of the shingles in which they differ from R settle the link
    exactly inside a join on R, which gives out links only; sizes alone exclude most partners. Where u or v has
-   little in common with R, prefixes of their shingles outside R must meet; what meets is compared on full sets.
+   little in common with R, prefixes of their shingles outside R must meet, in the order of how many members hold a
+   shingle, so that what most of them share is met last; what meets is compared on full sets.
 5. Links meet in union-find forests, first inside each partition, then across partitions by star contraction.
 """
 
@@ -169,9 +170,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def _compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) with the sizes of their whole shingle sets (nu, nv), of the intersection (i), and linked.
 
-    close: v holds half of u or more, and u of v. Then outside has the shingles of u that v lacks and missing those of
-    v that u lacks; else outside has as many as a set must meet to link with u, and missing none. Both texts of a pair
-    meet in one row.
+    outside has the shingles of u that v lacks. close: v holds half of u or more, and u of v; then missing has the
+    shingles of v that u lacks, else none. Both texts of a pair meet in one row.
     """
     asked = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("id"))
     ids = written(asked.select("id").distinct(), "asked")
@@ -184,15 +184,24 @@ def _compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     sets = sets.select("u", "v", F.size("a").alias("nu"), F.size("b").alias("nv"), o.alias("o"), m.alias("m")).withColumn("i", F.col("nu") - F.size("o"))
     linked = 100 * F.col("i") >= percent * (F.col("nu") + F.col("nv") - F.col("i"))
     sets = sets.withColumn("linked", linked).withColumn("close", 2 * F.col("i") >= F.greatest("nu", "nv"))
-    outside = F.when(F.col("close"), F.col("o")).otherwise(_outside_prefix(F.col("o"), F.col("nu"), F.col("i"), percent))
     missing = F.when(F.col("close"), F.col("m")).otherwise(F.array().cast("array<bigint>"))
-    return sets.select("u", "v", "nu", "nv", "i", "linked", "close", outside.alias("outside"), missing.alias("missing"))
+    return sets.select("u", "v", "nu", "nv", "i", "linked", "close", F.col("o").alias("outside"), missing.alias("missing"))
 
 
-def _outside_prefix(o: Column, n: Column, i: Column, percent: int) -> Column:
-    """Of the sorted shingles ``o`` outside the head, as many as must meet: a link shares percent * n / 100 - i of them at least, and one."""
-    need = F.greatest(F.lit(1), F.ceil((percent * n - 100 * i) / 100).cast("int"))
-    return F.slice(o, F.lit(1), F.greatest(F.lit(0), F.size(o) - need + 1))
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """head, id, n, component, close and s, a shingle outside the head that a partner of id must be able to meet.
+
+    A link shares percent * n / 100 - i of the shingles outside the head at least, and one. With those in one order for
+    all members of a head, each two links meet within all but so many, less one. Rare ones come first: those that no
+    other member holds can't meet and only count.
+    """
+    s = rows.select("head", "id", F.explode("outside").alias("s"))
+    held = s.groupBy("head", "s").agg(F.count("*").alias("c")).where("c > 1")
+    shared = s.join(held, ["head", "s"]).groupBy("head", "id").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("shared"))
+    need = F.greatest(F.lit(1), F.ceil((percent * F.col("n") - 100 * F.col("i")) / 100).cast("int"))
+    alone = F.size("outside") - F.size("shared")
+    prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.size("outside") - need + 1 - alone))
+    return rows.join(shared, ["head", "id"]).select("head", "id", "n", "component", "close", F.explode(F.transform(prefix, lambda x: x["s"])).alias("s"))
 
 
 def _apart(compared: DataFrame, buckets: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -215,7 +224,7 @@ def _apart(compared: DataFrame, buckets: DataFrame, groups: DataFrame, percent:
     is_link = (known + (100 + percent) * at_most >= 0) & (known + (100 + percent) * (both("outside") + both("missing")) >= 0)
     links = d.alias("a").join(d.alias("b"), (F.col("a.head") == F.col("b.head")) & near & is_link).select(*pair)
 
-    s = rows.select("head", "id", "n", "component", "close", F.explode(F.when(F.col("close"), _outside_prefix(F.col("outside"), F.col("n"), F.col("i"), percent)).otherwise(F.col("outside"))).alias("s"))
+    s = _met(rows, percent)
     far = s.alias("a").join(s.alias("b"), (F.col("a.head") == F.col("b.head")) & (F.col("a.s") == F.col("b.s")) & near & ~(F.col("a.close") & F.col("b.close"))).select(*pair)
     return links, far.distinct().join(compared.select("u", "v"), ["u", "v"], "left_anti")
 
