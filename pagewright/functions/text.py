@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ HTML_HEAD = '<html><head><meta charset="utf-8"><style>\nbody{font-family:-apple-
 # ----
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is evaluated once a row however often ``body`` uses it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def trim(s: Column) -> Column:
     """White space of any kind off both ends."""
     return F.regexp_replace(s, rf"^{WS}+|{WS}+$", "")
@@ -45,6 +51,11 @@ def graphemes(s: Column) -> Column:
     return F.regexp_count(s, F.lit(r"\X"))
 
 
+def at_most_graphemes(s: Column, n: int) -> Column:
+    """Whether a text has ``n`` user-perceived characters or fewer; looks no further than that into a long one."""
+    return s.rlike(rf"\A\X{{0,{n}}}\z")
+
+
 def visible_count(s: Column) -> Column:
     return F.regexp_count(s, F.lit(NOT_WS))
 
@@ -153,13 +164,12 @@ def page_number(s: Column) -> Column:
 
 
 def is_short_edge_text(s: Column) -> Column:
-    return ~is_blank(s) & (graphemes(trim(s)) <= 100) & (word_count(s) <= 14)
+    return ~is_blank(s) & at_most_graphemes(trim(s), 100) & (word_count(s) <= 14)
 
 
 def is_chapter_heading(s: Column) -> Column:
     t = trim(s)
-    n = graphemes(t)
-    return (n >= 4) & (n < 120) & t.rlike(CHAPTER_HEADING)
+    return t.rlike(CHAPTER_HEADING) & ~at_most_graphemes(t, 3) & at_most_graphemes(t, 119)
 
 
 def table_cell(s: Column) -> Column:

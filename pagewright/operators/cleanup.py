@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright.config import CleanupConfig
 from pagewright.functions.text import finalize_whitespace, is_blank, is_short_edge_text, page_number, signature, trim
+from pagewright.sources.staging import staged
 
 KEY = ["book_id", "page_index"]
 
@@ -62,9 +63,12 @@ def required_pages(n_pages: Column) -> Column:
     return F.greatest(F.lit(3), F.ceil(n_pages * 0.4))
 
 
-def _recurring(candidates: DataFrame, group: list[str], required: Column) -> DataFrame:
+def _recurring(candidates: DataFrame, group: list[str], required: Column, geometry: bool) -> DataFrame:
     """Candidates of groups on enough pages. Where enough of those have geometry, only the densest band of heights counts."""
     by = Window.partitionBy("book_id", *group)
+    if not geometry:
+        seen = candidates.withColumn("_pages", F.size(F.collect_set("page_index").over(by)))
+        return seen.where(F.col("_pages") >= required).drop("_pages")
     pages_of = lambda cond: F.size(F.collect_set(F.when(cond, F.col("page_index"))).over(by))
     seen = candidates.withColumn("_pages", pages_of(F.lit(True))).withColumn("_placed", pages_of(F.col("mid_y").isNotNull())).withColumn("_required", required)
     seen = seen.where("_pages >= _required")
@@ -88,7 +92,9 @@ def removals(pages: DataFrame, config: CleanupConfig | None = None, fingerprints
     """
     config = config or CleanupConfig()
     counts = pages.groupBy("book_id").agg(F.count("*").alias("n_pages"))
-    found = all_candidates(pages, fingerprints).join(counts, "book_id")
+    # a few short rows a page, which every branch below reads
+    found = staged(all_candidates(pages, fingerprints), "edges").join(counts, "book_id")
+    placed = fingerprints is not None
     sure = (F.col("role") == "heading") & (F.col("role_confidence") >= 0.70)
     order = [F.col("page_index"), F.col("line_index"), F.when(F.col("side") == "top", 0).otherwise(1), F.col("normalized")]
     parts = []
@@ -100,11 +106,11 @@ def removals(pages: DataFrame, config: CleanupConfig | None = None, fingerprints
     if config.removes_running_matter:
         matter = found.where((F.col("n_pages") >= 4) & F.col("text").rlike(r"\p{L}") & F.col("number").isNull())
         group = ["side", "normalized"]
-        parts.append(all_but_one(_recurring(matter, group, required_pages(F.col("n_pages"))), group))
+        parts.append(all_but_one(_recurring(matter, group, required_pages(F.col("n_pages")), placed), group))
     if config.removes_page_numbers:
         numbered = found.where("number is not null").withColumns({"template": F.col("number.template"), "pure": F.col("number.pure"), "shift": F.col("number.number") - F.col("page_index")})
         group = ["side", "template", "shift", "pure"]
-        proven = _recurring(numbered, group, F.when(F.col("pure"), F.lit(3)).otherwise(required_pages(F.col("n_pages"))))
+        proven = _recurring(numbered, group, F.when(F.col("pure"), F.lit(3)).otherwise(required_pages(F.col("n_pages"))), placed)
         parts += [proven.where("pure"), all_but_one(proven.where("not pure"), group)]
     gone = None
     for p in parts:

@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 
 from pagewright.config import OcrConfig
 from pagewright.functions.geometry import clamp
-from pagewright.functions.text import CONTROL, alnum_count, graphemes, is_blank, trim, visible_count
+from pagewright.functions.text import CONTROL, alnum_count, at_most_graphemes, is_blank, let, trim, visible_count
 
 
 def native_quality(text: Column, threshold: int) -> Column:
     """empty, suspicious, insufficient or usable; looked at in this order, after trimming."""
-    t = trim(F.coalesce(text, F.lit("")))
-    visible = visible_count(t)
-    odd = F.regexp_count(t, F.lit(rf"(?:\x{{FFFD}}|{CONTROL})")) - F.regexp_count(t, F.lit(r"[\t-\r\x{85}]"))
-    odd_share, alnum_share = odd / visible, alnum_count(t) / visible
-    return (
-        F.when(visible == 0, "empty")
-        .when((odd_share > 0.02) | ((visible >= max(12, threshold // 2)) & (alnum_share < 0.45)), "suspicious")
-        .when(graphemes(t) < max(0, threshold), "insufficient")
-        .otherwise("usable")
-    )
+
+    def judged(m: Column) -> Column:
+        return (
+            F.when(m["visible"] == 0, "empty")
+            .when((m["odd"] / m["visible"] > 0.02) | ((m["visible"] >= max(12, threshold // 2)) & (m["alnum"] / m["visible"] < 0.45)), "suspicious")
+            .when(m["short"], "insufficient")
+            .otherwise("usable")
+        )
+
+    def measured(t: Column) -> Column:
+        odd = F.regexp_count(t, F.lit(rf"(?:\x{{FFFD}}|{CONTROL})")) - F.regexp_count(t, F.lit(r"[\t-\r\x{85}]"))
+        short = at_most_graphemes(t, threshold - 1) if threshold > 0 else F.lit(False)
+        return F.struct(visible_count(t).alias("visible"), odd.alias("odd"), alnum_count(t).alias("alnum"), short.alias("short"))
+
+    return let(let(trim(F.coalesce(text, F.lit(""))), measured), judged)
 
 
 def should_recognize(text: Column, config: OcrConfig) -> Column:
@@ -33,16 +38,19 @@ def should_recognize(text: Column, config: OcrConfig) -> Column:
 def prefers_recognized(recognized: Column, confidence: Column, native: Column, config: OcrConfig) -> Column:
     """Whether recognised text beats a page's own; what it takes depends on the quality of the latter."""
     conf = clamp(F.coalesce(confidence, F.lit(0.0)))
-    got, had = alnum_count(F.coalesce(recognized, F.lit(""))), alnum_count(F.coalesce(native, F.lit("")))
-    quality = native_quality(native, config.native_text_threshold)
-    gain = lambda share: got >= F.greatest(F.lit(3), F.floor(had * share))
-    enough = (
-        F.when(quality == "empty", conf >= 0.05)
-        .when(quality == "insufficient", (conf >= 0.20) & gain(0.8))
-        .when(quality == "suspicious", (conf >= 0.20) & gain(0.6))
-        .otherwise((conf >= 0.65) & (got >= had + F.greatest(F.lit(12), F.floor(had / 4))))
-    )
-    return ~is_blank(recognized) & (got > 0) & enough
+    facts = F.struct(native_quality(native, config.native_text_threshold).alias("quality"), alnum_count(F.coalesce(recognized, F.lit(""))).alias("got"), alnum_count(F.coalesce(native, F.lit(""))).alias("had"))
+
+    def wins(m: Column) -> Column:
+        gain = lambda share: m["got"] >= F.greatest(F.lit(3), F.floor(m["had"] * share))
+        enough = (
+            F.when(m["quality"] == "empty", conf >= 0.05)
+            .when(m["quality"] == "insufficient", (conf >= 0.20) & gain(0.8))
+            .when(m["quality"] == "suspicious", (conf >= 0.20) & gain(0.6))
+            .otherwise((conf >= 0.65) & (m["got"] >= m["had"] + F.greatest(F.lit(12), F.floor(m["had"] / 4))))
+        )
+        return (m["got"] > 0) & enough
+
+    return ~is_blank(recognized) & let(facts, wins)
 
 
 def select_source(pages: DataFrame, config: OcrConfig | None = None) -> DataFrame:
@@ -68,5 +76,5 @@ def scanned_books(pages: DataFrame, samples: int = 5) -> DataFrame:
     n = F.max("page_index") + 1
     sizes = pages.groupBy("book_id").agg(F.greatest(F.lit(1), F.floor(n / samples)).alias("step"))
     chosen = pages.join(sizes, "book_id").where((F.col("page_index") % F.col("step") == 0) & (F.col("page_index") / F.col("step") < samples))
-    short = (graphemes(trim(F.coalesce("native_text", F.lit("")))) < 30).cast("double")
+    short = at_most_graphemes(trim(F.coalesce("native_text", F.lit(""))), 29).cast("double")
     return chosen.groupBy("book_id").agg((F.avg(short) >= 0.6).alias("is_scanned"))

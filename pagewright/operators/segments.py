@@ -10,7 +10,7 @@ from pagewright.functions.chunks import chunks
 from pagewright.functions.ids import stable_id
 from pagewright.functions.text import graphemes
 
-PIECE = "struct<text:string,lo:int,hi:int,confidence:double>"
+PIECE = "struct<text:string,lo:int,hi:int,confidence:double,n:int>"
 
 
 def pieces(pages: DataFrame, chapters: DataFrame, config: ChunkConfig) -> DataFrame:
@@ -25,23 +25,27 @@ def pieces(pages: DataFrame, chapters: DataFrame, config: ChunkConfig) -> DataFr
 
 
 def _pack(all_pieces: Column, most: int, across_pages: bool) -> Column:
-    """A fold over the sorted pieces of a chapter: the next one joins where its range allows it and the text stays in bounds."""
+    """A fold over the sorted pieces of a chapter: the next one joins where its range allows it and the text stays in bounds.
+
+    Lengths are counted once a piece: ``n`` alone and ``more`` behind a blank, which takes in a combining mark at its start.
+    """
+    sized = F.transform(all_pieces, lambda p: p.withField("n", graphemes(p["text"])).withField("more", graphemes(F.concat(F.lit(" "), p["text"]))))
 
     def step(a: Column, p: Column) -> Column:
         now = a["now"]
         text = F.concat(now["text"], F.lit(" "), p["text"])
         same = (p["lo"] == now["lo"]) & (p["hi"] == now["hi"])
         allowed = same | (p["lo"] <= now["hi"] + 1) if across_pages else same
-        joins = a["any"] & allowed & (graphemes(text) <= most)
-        left, right = F.greatest(F.lit(1), graphemes(now["text"])), F.greatest(F.lit(1), graphemes(p["text"]))
+        joins = a["any"] & allowed & (now["n"] + p["more"] <= most)
+        left, right = F.greatest(F.lit(1), now["n"]), F.greatest(F.lit(1), p["n"])
         mean = (now["confidence"] * left + p["confidence"] * right) / (left + right)
-        merged = F.struct(text.alias("text"), now["lo"].alias("lo"), p["hi"].alias("hi"), mean.alias("confidence"))
-        alone = F.struct(p["text"].alias("text"), p["lo"].alias("lo"), p["hi"].alias("hi"), p["confidence"].alias("confidence"))
+        merged = F.struct(text.alias("text"), now["lo"].alias("lo"), p["hi"].alias("hi"), mean.alias("confidence"), (now["n"] + p["more"]).alias("n"))
+        alone = F.struct(p["text"].alias("text"), p["lo"].alias("lo"), p["hi"].alias("hi"), p["confidence"].alias("confidence"), p["n"].alias("n"))
         out = F.when(joins | ~a["any"], a["out"]).otherwise(F.concat(a["out"], F.array(now)))
         return F.struct(F.lit(True).alias("any"), F.when(joins, merged).otherwise(alone).alias("now"), out.alias("out"))
 
     start = F.struct(F.lit(False).alias("any"), F.lit(None).cast(PIECE).alias("now"), F.array().cast(f"array<{PIECE}>").alias("out"))
-    return F.aggregate(all_pieces, start, step, lambda a: F.when(a["any"], F.concat(a["out"], F.array(a["now"]))).otherwise(a["out"]))
+    return F.aggregate(sized, start, step, lambda a: F.when(a["any"], F.concat(a["out"], F.array(a["now"]))).otherwise(a["out"]))
 
 
 def build_segments(pages: DataFrame, chapters: DataFrame, config: ChunkConfig | None = None, across_pages: bool = True) -> DataFrame:

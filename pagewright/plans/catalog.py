@@ -17,6 +17,7 @@ from pagewright.functions import text as t
 from pagewright.functions.ids import stable_id
 from pagewright.operators import books, chapters, cleanup, policy, segments
 from pagewright.sources.adapters import PAGES_PER_BOOK, conversation_pages, document_pages
+from pagewright.sources.staging import staged
 
 FLAGSHIP = "book_cleanup"
 
@@ -26,17 +27,17 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document pages after page-local cleaning, as native pages."""
+    """Document pages after page-local cleaning, as native pages; a table, as most queries read them several times."""
     p = document_pages(spark, sf_dir)
     text = t.clean_page(F.col("native_text"), dehyphenates=False)
-    p = p.select("book_id", "page_index", text.alias("text"))
+    p = staged(p.select("book_id", "page_index", text.alias("text")), "cleaned")
     blank = F.col("text") == ""
     return p.withColumns({"extraction_source": F.when(blank, "empty").otherwise("native"), "confidence": F.when(blank, 0.0).otherwise(1.0)})
 
 
 def cleaned_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = conversation_pages(spark, sf_dir)
-    p = p.select("book_id", "page_index", t.clean_page(F.col("native_text"), dehyphenates=False).alias("text"))
+    p = staged(p.select("book_id", "page_index", t.clean_page(F.col("native_text"), dehyphenates=False).alias("text")), "turns")
     blank = F.col("text") == ""
     return p.withColumns({"extraction_source": F.when(blank, "empty").otherwise("native"), "confidence": F.when(blank, 0.0).otherwise(1.0)})
 
@@ -53,7 +54,8 @@ def planted_outline(pages: DataFrame) -> DataFrame:
 
 
 def page_clean(spark, sf_dir):
-    p = cleaned_documents(spark, sf_dir)
+    p = document_pages(spark, sf_dir)
+    p = p.select("book_id", "page_index", t.clean_page(F.col("native_text"), dehyphenates=False).alias("text"))
     return p.select("book_id", "page_index", "text", t.word_count(F.col("text")).alias("n_words"))
 
 
@@ -202,7 +204,7 @@ def text_similarity(spark, sf_dir):
 
 
 def speech_segments(spark, sf_dir):
-    p = cleanup.clean_books(cleaned_documents(spark, sf_dir))
+    p = staged(cleanup.clean_books(cleaned_documents(spark, sf_dir)), "books")
     return segments.build_segments(p, chapters.build_chapters(p))
 
 
