@@ -15,7 +15,7 @@ from pagewright.config import OcrConfig
 from pagewright.functions import geometry as g
 from pagewright.functions import text as t
 from pagewright.functions.ids import stable_id
-from pagewright.operators import books, chapters, cleanup, policy, segments
+from pagewright.operators import blocks, books, chapters, cleanup, policy, segments
 from pagewright.sources.adapters import PAGES_PER_BOOK, conversation_pages, document_pages
 from pagewright.sources.staging import staged
 
@@ -166,12 +166,14 @@ def table_rows(spark, sf_dir):
     return o.select("o_orderkey", t.linearize_row(cells).alias("row_major"), t.linearize_row_with_headers(heads, cells).alias("with_headers"))
 
 
-def _rects(spark, sf_dir):
-    """Rectangles of line items: thousandths from integer arithmetic, a few of them without area."""
-    li = _read(spark, sf_dir, "lineitem")
+def _rect_of_item():
+    """A rectangle of a line item: thousandths from integer arithmetic, a few of them without area."""
     k = lambda c, m: (F.col(c) % m).cast("int")
-    r = g.rect(k("l_partkey", 700) / 1000.0, k("l_suppkey", 90) * 10 / 1000.0, k("l_partkey", 300) / 1000.0, (k("l_suppkey", 40) + 10) / 1000.0)
-    return li.select("l_orderkey", "l_linenumber", r.alias("rect"))
+    return g.rect(k("l_partkey", 700) / 1000.0, k("l_suppkey", 90) * 10 / 1000.0, k("l_partkey", 300) / 1000.0, (k("l_suppkey", 40) + 10) / 1000.0)
+
+
+def _rects(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _rect_of_item().alias("rect"))
 
 
 def rect_unions(spark, sf_dir):
@@ -197,6 +199,32 @@ def rect_normalized(spark, sf_dir):
     return n.select("l_orderkey", "l_linenumber", *[F.round(F.col(f"r.{c}"), 9).alias(c) for c in "xywh"])
 
 
+def _blocks(spark, sf_dir):
+    """Line items as blocks: an order is a page, a third of its items are captions."""
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    id_ = (F.col("l_partkey") * 100_000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
+    r = li.select("l_orderkey", id_.alias("block_id"), _rect_of_item().alias("rect")).where(g.is_valid(F.col("rect")))
+    return r.select(F.lit(0).alias("book_id"), F.col("l_orderkey").alias("page_index"), "block_id", "rect", F.when(F.col("block_id") % 3 == 0, "caption").otherwise("body").alias("role"), F.lit("x").alias("text"), (-F.col("block_id")).alias("source_order"))
+
+
+def block_neighbours(spark, sf_dir):
+    n = blocks.neighbours(_blocks(spark, sf_dir))
+    return n.select("page_index", "block_id", F.round("before", 9).alias("before"), F.round("after", 9).alias("after"), "next_block", "anchor")
+
+
+def block_rows(spark, sf_dir):
+    return blocks.row_statistics(_blocks(spark, sf_dir)).drop("book_id")
+
+
+def block_backtracks(spark, sf_dir):
+    return blocks.backtracks(_blocks(spark, sf_dir)).drop("book_id")
+
+
+def reading_edges(spark, sf_dir):
+    li = _read(spark, sf_dir, "lineitem")
+    return blocks.distinct_edges(li.select((F.col("l_partkey") % 100).alias("src"), (F.col("l_suppkey") % 100).alias("dst"), (F.col("l_linenumber") / 8.0).alias("confidence"), F.col("l_returnflag").alias("reason")))
+
+
 def text_similarity(spark, sf_dir):
     d = _read(spark, sf_dir, "benchmark")
     other = F.concat(F.lit("The  "), F.substring("text", 3, 400))
@@ -217,7 +245,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         page_clean, quality_policy, source_selection, recognized_text, scanned, edge_lines, book_cleanup, chapters_by_heading, chapters_by_outline, chapters_by_bucket, book_statistics, book_text,
-        latest_turns, book_metadata, outline_walk, line_signatures, page_numbers, html_pages, stable_ids, table_rows, rect_unions, rect_conflicts, rect_normalized, text_similarity, speech_segments, speech_segments_by_page,
+        latest_turns, book_metadata, outline_walk, line_signatures, page_numbers, html_pages, stable_ids, table_rows, rect_unions, rect_conflicts, rect_normalized, block_neighbours, block_rows, block_backtracks, reading_edges, text_similarity, speech_segments, speech_segments_by_page,
     )
 }
 
@@ -344,6 +372,12 @@ rects AS (
          (l_partkey % 300) / 1000.0::DOUBLE AS w, (l_suppkey % 40 + 10) / 1000.0::DOUBLE AS h
   FROM lineitem WHERE l_partkey % 300 > 0)"""
 
+_BLOCKS = """
+blocks AS (
+  SELECT DISTINCT l_orderkey, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS id, (l_partkey % 700) / 1000.0::DOUBLE AS x, (l_suppkey % 90) * 10 / 1000.0::DOUBLE AS y,
+         (l_partkey % 300) / 1000.0::DOUBLE AS w, (l_suppkey % 40 + 10) / 1000.0::DOUBLE AS h
+  FROM lineitem WHERE l_partkey % 300 > 0)"""
+
 SQL: dict[str, str] = {
     "page_clean": f"WITH {_PAGES} SELECT book_id, page_index, text, {_words('text')}::INT AS n_words FROM pages_in",
     "quality_policy": rf"""
@@ -446,6 +480,27 @@ SELECT l_orderkey, l_linenumber,
        round(CASE turn WHEN 90 THEN ax WHEN 180 THEN ay WHEN 270 THEN 1 - bx ELSE 1 - b_y END, 9) AS y,
        round(CASE WHEN turn IN (90, 270) THEN b_y - ay ELSE bx - ax END, 9) AS w, round(CASE WHEN turn IN (90, 270) THEN bx - ax ELSE b_y - ay END, 9) AS h
 FROM r""",
+    "block_neighbours": f"""
+WITH {_BLOCKS}, p AS (
+  SELECT a.l_orderkey AS page_index, a.id AS block_id, a.y AS ay, a.y + a.h AS aend, b.id AS other, b.x AS bx, b.y AS b_y, b.y + b.h AS bend,
+         a.id % 3 = 0 AS is_caption, b.id % 3 != 0 AND least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) > 0 AS fits,
+         CASE WHEN b.y + b.h <= a.y THEN a.y - (b.y + b.h) WHEN a.y + a.h <= b.y THEN b.y - (a.y + a.h) ELSE 0.0::DOUBLE END + abs((a.x + a.w / 2) - (b.x + b.w / 2)) * 0.25::DOUBLE AS far
+  FROM blocks a LEFT JOIN blocks b ON a.l_orderkey = b.l_orderkey AND a.id != b.id)
+SELECT page_index, block_id, round(coalesce(min(ay - bend) FILTER (ay - bend >= 0), any_value(ay)), 9) AS before,
+       round(coalesce(min(b_y - aend) FILTER (b_y - aend >= 0), greatest(0.0::DOUBLE, 1 - any_value(aend))), 9) AS after,
+       arg_min(other, (b_y, bx, other)) FILTER (b_y >= aend - 0.005::DOUBLE) AS next_block,
+       arg_min(other, (far, other)) FILTER (is_caption AND fits) AS anchor
+FROM p GROUP BY page_index, block_id""",
+    "block_backtracks": f"""
+WITH {_BLOCKS}, w AS (
+  SELECT l_orderkey, x, y, w, lead(x) OVER o AS nx, lead(y) OVER o AS ny, lead(w) OVER o AS nw, median(h) OVER (PARTITION BY l_orderkey) AS m
+  FROM blocks WINDOW o AS (PARTITION BY l_orderkey ORDER BY -id))
+SELECT l_orderkey AS page_index, bool_or(coalesce(y - ny >= greatest(0.035::DOUBLE, least(0.1::DOUBLE, m * 1.8::DOUBLE))
+  AND (greatest(0, least(x + w, nx + nw) - greatest(x, nx)) / least(w, nw) >= 0.3::DOUBLE OR abs((x + w / 2) - (nx + nw / 2)) <= 0.2::DOUBLE), false)) AS needs_repair
+FROM w GROUP BY l_orderkey""",
+    "reading_edges": """
+WITH e AS (SELECT l_partkey % 100 AS src, l_suppkey % 100 AS dst, l_linenumber / 8.0::DOUBLE AS confidence, l_returnflag AS reason FROM lineitem)
+SELECT src, dst, max(confidence) AS confidence, arg_min(reason, (-confidence, reason)) AS reason FROM e WHERE src != dst GROUP BY src, dst""",
     "text_similarity": rf"""
 WITH p AS (SELECT item_id, lower({_trim(f"regexp_replace(text, '{_W}+', ' ', 'g')")}) AS a, lower({_trim(f"regexp_replace('The  ' || text[3:402], '{_W}+', ' ', 'g')")}) AS b FROM benchmark)
 SELECT item_id, round(CASE WHEN a = b THEN 1.0 WHEN greatest(length(a), length(b)) > 512 THEN 0.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE END, 9) AS similarity FROM p""",
