@@ -23,7 +23,8 @@ def completed_books(pages: DataFrame, wait_ms: int = 3_600_000) -> DataFrame:
     A book comes out with the page that completes it, or, incomplete, when no page of it has come for ``wait_ms`` of
     processing time; its state goes then. Repeated pages count once; null page numbers don't count; a page that comes
     after its book has been given out opens the book anew. The state has the page numbers of a book, not their texts:
-    join the result with the stored pages.
+    join the result with the stored pages. A run that is to end (availableNow) needs
+    spark.sql.streaming.noDataMicroBatches.enabled = false; else it waits for time-outs without end.
     """
     kind = pages.schema["book_id"].dataType.simpleString()
 
