@@ -39,7 +39,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the later copies of repeated runs; a document of which nothing is left goes."""
     out = dedup_lines(docs, out_col=_OUT)
-    out = out.where(f"{_OUT}.n_removed = 0 or length(btrim(text, ' \\t\\n\\r')) > 0").drop(_OUT)
+    out = out.where(f"size({_OUT}.runs) = 0 or length(btrim(text, ' \\t\\n\\r')) > 0").drop(_OUT)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -1,28 +1,30 @@
-"""Line deduplication: winnowed line hashes find runs of lines that repeat; later copies of a run are deleted.
-
-A line here ends at a line feed or after a full stop, exclamation or question mark and a space, so that a passage is
-found in whatever line it was put. A run of lines with at least ``min_words`` words is deleted where the same run
-begins earlier in the corpus: in a document of a smaller id, or before in the same document.
-
-1. Winnowing: of the hashes of neighbouring line pairs the minimum of every window of WINDOW pairs is a fingerprint,
-   and so is every line long enough that a run of fewer lines must hold one. Any run that counts holds a fingerprint,
-   the same in all its copies.
-2. Fingerprints that occur once are dropped; positions of the others are joined back to their documents.
-3. Around them matches are extended both ways: from every line forwards and backwards to the least stretch with
-   ``min_words`` words, compared by content. The lines of a run are just those that such stretches cover.
-4. Lines of stretches that occur earlier go. All of it is DataFrame operations on built-in functions.
+"""Line deduplication: winnowed hashes of words find passages that repeat; later copies of a passage are deleted.
+
+Every word goes that lies in a stretch of ``min_words`` words which occurs earlier in the corpus: in a document of a
+smaller id, or before in the same document. A passage may begin and end inside a line, and is found in whatever lines
+it was put.
+
+1. Grams of GRAM words are hashed at every word. Where the least of WINDOW neighbouring grams stays the same, it is one
+   fingerprint with a range of places. A stretch of ``min_words`` words is GRAM + WINDOW - 1 words and holds just one
+   such window, so that all copies of the stretch have the same fingerprint.
+2. Where the whole range of a fingerprint occurs in a smaller document, all of its stretches occur earlier. Of the other
+   ranges those are left whose fingerprint is not the only one: they are joined back to their documents.
+3. In these ranges every stretch is hashed. Copies inside a document are found by sorting its own stretches, copies in
+   other documents by the smallest document that has the stretch.
+4. Words of stretches that occur earlier go. All of it is DataFrame operations on built-in functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, words, written
 
-MIN_WORDS, WINDOW = 36, 3
+MIN_WORDS, WINDOW = 36, 16
 _MARK = "\x01"
-_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def cut_lines(text: Column) -> Column:
@@ -33,87 +35,109 @@ def cut_lines(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(_MARK)), F.split(text, r"(?<=\n)|(?<=[.!?] )")).otherwise(F.split(marked, _MARK))
 
 
-def _hashed(text: Column) -> Column:
-    """The lines with a word: at (place among all lines), h (hash of what stands between blanks), n (words)."""
-    line = lambda u, i: F.struct(i.alias("at"), F.xxhash64(F.btrim(u, F.lit(_BLANKS))).alias("h"), F.regexp_count(u, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
-    return F.filter(F.transform(cut_lines(text), line), lambda x: x["n"] > 0)
+def cut_words(text: Column) -> Column:
+    """The words of a text, each with the blanks that follow it; blanks before the first word belong to none."""
+    return F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
 
 
-def winnow(h: Column, n: Column, min_words: int, window: int = WINDOW) -> Column:
-    """Fingerprints of a document's lines (hashes and words): an array of f (hash) and k (place of its first line).
+def _over(x: Column, n: int, both: Callable[[Column, Column], Column], then: Callable[[Column], Column]) -> Column:
+    """``then`` of the array that has ``both`` folded over each ``n`` neighbours of ``x``, by doubling; the last two parts may overlap."""
 
-    A run of more than ``window`` lines holds a window of pairs; one of fewer holds a line of min_words / window words.
-    """
-    pairs = F.transform(F.slice(h, F.lit(1), F.greatest(F.lit(0), F.size(h) - 1)), lambda x, i: F.struct(F.xxhash64(x, F.get(h, i + 1)).alias("f"), i.alias("k")))
+    def step(part: Column, size: int) -> Column:
+        if size == n:
+            return then(part)
+        by = min(size, n - size)
+        folded = F.transform(F.slice(part, F.lit(1), F.greatest(F.lit(0), F.size(part) - by)), lambda v, i: both(v, F.get(part, i + by)))
+        return let(folded, lambda p: step(p, size + by))
+
+    return step(x, 1)
+
+
+def fingerprints(g: Column, window: int = WINDOW) -> Column:
+    """The fingerprints of a document's grams: an array of f (hash), a and b (first and last window), c (all words of these), n (2 where f may repeat in them)."""
 
-    def minima(p: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(p) - (window - 1)), lambda s: F.array_min(F.slice(p, s, F.lit(window))))
-        return F.when(F.size(p) >= window, F.array_distinct(each)).when(F.size(p) > 0, F.array(F.array_min(p))).otherwise(p)
+    def ranges(least: Column, repeats: Column) -> Column:
+        starts = F.filter(F.transform(least, lambda f, i: F.struct(f.alias("f"), i.alias("a"))), lambda x, i: (i == 0) | (F.get(least, i - 1) != x["f"]))
+        ends = lambda s: F.transform(s, lambda x, i: F.struct(x["f"].alias("f"), x["a"].alias("a"), F.coalesce(F.get(s, i + 1)["a"], F.size(least)).alias("end")))
+        inside = lambda x: F.slice(g, x["a"] + 1, x["end"] - x["a"] + (window - 1))
+        twice = lambda x: F.when(repeats, F.size(F.array_distinct(inside(x))) < F.size(inside(x))).otherwise(F.lit(False))
+        return F.transform(let(starts, ends), lambda x: F.struct(x["f"].alias("f"), x["a"].alias("a"), (x["end"] - 1).alias("b"), F.xxhash64(inside(x)).alias("c"), (1 + twice(x).cast("int")).alias("n")))
 
-    long = -(-min_words // window)
-    alone = F.filter(F.transform(h, lambda x, i: F.struct(x.alias("f"), i.alias("k"))), lambda x: F.get(n, x["k"]) >= long)
-    return F.concat(let(pairs, minima), alone)
+    return let(F.size(F.array_distinct(g)) < F.size(g), lambda repeats: _over(g, window, F.least, lambda least: ranges(least, repeats)))
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with _pw_id and _pw_copy, which tells rows apart that repeat an id (by their texts' order)."""
-    out = docs.withColumn("_pw_id", F.col(id_col))
-    ids = docs.select(F.col(id_col).alias("_pw_id")).where("_pw_id is not null")
-    if ids.groupBy("_pw_id").count().where("count > 1").isEmpty():
-        return out.withColumn("_pw_copy", F.lit(0))
-    return out.withColumn("_pw_copy", F.row_number().over(Window.partitionBy("_pw_id").orderBy(text_col)))
+    """``docs`` with _pw_at: the id, or where rows repeat an id, the id and a number by their texts' order."""
+    out = docs.withColumn("_pw_at", F.col(id_col))
+    ids = docs.select(F.col(id_col).alias("_pw_at")).where("_pw_at is not null")
+    if ids.groupBy("_pw_at").count().where("count > 1").isEmpty():
+        return out
+    copy = F.row_number().over(Window.partitionBy("_pw_at").orderBy(text_col))
+    return out.withColumn("_pw_copy", copy).withColumn("_pw_at", F.when(F.col("_pw_at").isNotNull(), F.struct("_pw_at", "_pw_copy"))).drop("_pw_copy")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
-    """_pw_id, _pw_copy and runs: for each document that has some, the stretches of lines (a to b) that occur earlier, in order."""
-    key = ["_pw_id", "_pw_copy"]
-    hashed = docs.where("_pw_id is not null").select(*key, _hashed(F.coalesce(F.col(text_col), F.lit(""))).alias("x"))
-    lines = written(hashed.select(*key, F.col("x.h").alias("h"), F.col("x.n").alias("n"), F.col("x.at").alias("at")), "lines")
-
-    prints = lines.select(*key, F.inline(winnow(F.col("h"), F.col("n"), min_words, window)))
-    often = written(prints.groupBy("f").count().where("count > 1").select("f"), "often")
-    hits = prints.join(often, "f", "left_semi").groupBy(*key).agg(F.array_sort(F.collect_set("k")).alias("hits"))
-
-    near = lines.join(hits, key).select(*key, F.posexplode(F.arrays_zip("h", "n", "at")).alias("k", "x"), "hits")
-    rows = near.select(*key, "k", "x.h", "x.n", "x.at", F.array_contains("hits", F.col("k")).cast("int").alias("hit"))
-    before = F.sum("n").over(Window.partitionBy(*key).orderBy("k")) - F.col("n")
-    rows = rows.withColumn("begin", before).withColumn("end", F.col("begin") + F.col("n"))
-    ahead = Window.partitionBy(*key).orderBy("begin").rangeBetween(0, min_words - 1)
-    back = Window.partitionBy(*key).orderBy("end").rangeBetween(1 - min_words, 0)
-    content = lambda w: F.xxhash64(F.collect_list("h").over(w))
-    whole = lambda w: (F.sum("n").over(w) >= min_words) & (F.max("hit").over(w) > 0)
-    rows = rows.select(
-        *key, "at", F.when(whole(ahead), content(ahead)).alias("fc"), F.max("at").over(ahead).alias("fb"),
-        F.when(whole(back), content(back)).alias("bc"), F.min("at").over(back).alias("ba"),
-    )
-    both = F.array(F.struct(F.col("fc").alias("c"), F.col("at").alias("a"), F.col("fb").alias("b")), F.struct(F.col("bc").alias("c"), F.col("ba").alias("a"), F.col("at").alias("b")))
-    stretches = written(rows.where("fc is not null or bc is not null").select(*key, F.inline(both)).where("c is not null"), "stretches")
-
-    place = F.struct(*key, "a")
-    first = stretches.groupBy("c").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("c", "first")
-    later = stretches.join(written(first, "first"), "c").where(place > F.col("first")).select(*key, "a", "b")
-    order = Window.partitionBy(*key).orderBy("a", "b")
-    gap = F.col("a") > F.coalesce(F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(-1))
-    islands = later.withColumn("island", F.sum(gap.cast("int")).over(order)).groupBy(*key, "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return islands.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
+    """_pw_at and runs: for each document that has some, the runs of words (a to b) that occur earlier, in order. Ids must be unique."""
+    window = min(window, min_words)
+    gram = min_words - window + 1
+    docs = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= 2 * min_words - 1)).select(F.col(id_col).alias("at"), F.col(text_col).alias("text"))
+    hashed = F.transform(words(F.col("text")), lambda x: F.xxhash64(x))
+    grams = let(hashed, lambda h: _over(h, gram, lambda x, y: F.xxhash64(x, y), lambda g: g))
+
+    prints = docs.select("at", F.inline(let(grams, lambda g: fingerprints(g, window))))
+    prints = prints.withColumn("later", F.col("at") > F.min("at").over(Window.partitionBy("f", "c")))
+    prints = prints.withColumn("left", F.sum(F.when(F.col("later"), 0).otherwise(F.col("n"))).over(Window.partitionBy("f")))
+    ranges = written(prints.where("later or left > 1").select("at", "a", "b", "later"), "ranges")
+    hits = ranges.where("not later").groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("hits"))
+
+    places = F.flatten(F.transform("hits", lambda x: F.sequence(x["a"], x["b"])))
+    stretch = lambda g: F.transform(places, lambda p: F.struct(F.xxhash64(F.get(g, p), F.get(g, p + (window - 1))).alias("c"), p.alias("p")))
+    in_order = docs.join(hits, "at").select("at", F.sort_array(let(grams, stretch)).alias("s"))
+    again = lambda s, x, i: (i > 0) & (F.get(s, i - 1)["c"] == x["c"])
+    own = lambda s: F.transform(F.filter(s, lambda x, i: again(s, x, i)), lambda x: x["p"])
+    new = lambda s: F.filter(s, lambda x, i: (i == 0) | ~again(s, x, i))
+    parts = let(F.col("s"), lambda s: F.struct(own(s).alias("own"), new(s).alias("new")))
+    stretches = written(in_order.select("at", parts.alias("x")).select("at", "x.own", "x.new"), "stretches")
+
+    once = stretches.select("at", F.inline("new"))
+    first = once.groupBy("c").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("c", "first")
+    later = once.join(written(first, "first"), "c").where("at > first").select("at", F.col("p").alias("a"), F.col("p").alias("b"))
+    cut = later.union(ranges.where("later").select("at", "a", "b")).groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("x"))
+    cut = cut.union(stretches.where(F.size("own") > 0).select("at", F.transform("own", lambda p: F.struct(p.alias("a"), p.alias("b")))))
+    found = cut.groupBy("at").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("p"))
+
+    def joined(p: Column) -> Column:
+        begins = F.filter(p, lambda x, i: (i == 0) | (x["a"] - F.get(p, i - 1)["b"] > min_words))
+        ends = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1)["a"] - x["b"] > min_words))
+        return F.zip_with(begins, ends, lambda x, y: F.struct(x["a"].alias("a"), (y["b"] + (min_words - 1)).alias("b")))
+
+    return found.select(F.col("at").alias("_pw_at"), let(F.col("p"), joined).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "dedup", min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
-    """``docs`` with later copies of repeated runs cut from the text, and a struct column: n_lines, n_removed, runs.
+    """``docs`` with later copies of repeated runs of words cut from the text, and a struct column: n_lines, n_removed, runs.
 
-    All rows and columns stay; a column that is already named ``out_col`` is replaced. Null texts stay null. A row
+    A run goes with the blanks behind it. n_lines is of the text as it came, n_removed by how many lines it got
+    shorter, and runs has the places of the first and last word of each cut, so that it alone tells whether there was
+    one. All rows and columns stay; a column that is already named ``out_col`` is replaced. Null texts stay null. A row
     with a null id stays as it is and makes no other row lose anything. Rows that repeat an id follow each other in
     the order of their texts, and so a repeated row loses what its first one keeps. A text may become empty.
     """
     rows = _numbered(docs, id_col, text_col)
-    runs = repeated_runs(rows.select("_pw_id", "_pw_copy", F.col(text_col).cast("string").alias("_pw_text")), "_pw_id", "_pw_text", min_words, window)
-    out = rows.join(runs.withColumnRenamed("runs", "_pw_runs"), ["_pw_id", "_pw_copy"], "left")
-    lines = cut_lines(F.col(text_col))
-    kept = let(F.col("_pw_runs"), lambda r: F.filter(lines, lambda _, i: ~F.exists(r, lambda x: (i >= x["a"]) & (i <= x["b"]))))
-    n_removed = F.aggregate("_pw_runs", F.lit(0), lambda s, x: s + x["b"] - x["a"] + 1)
-    out = out.withColumn("_pw_kept", F.when(F.col("_pw_runs").isNotNull(), F.array_join(kept, "")).otherwise(F.col(text_col)))
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    stats = F.struct(F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(n_removed, F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_pw_runs", F.array().cast("array<struct<a:int,b:int>>")).alias("runs"))
+    runs = repeated_runs(rows.select("_pw_at", F.col(text_col).cast("string").alias("_pw_text")), "_pw_at", "_pw_text", min_words, window)
+    out = rows.join(runs.withColumnRenamed("runs", "_pw_runs"), "_pw_at", "left")
+
+    def kept(w: Column, r: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.transform(r, lambda x: x["b"] + 1))
+        ends = F.concat(F.transform(r, lambda x: x["a"]), F.array(F.size(w)))
+        parts = F.zip_with(begins, ends, lambda a, b: F.array_join(F.slice(w, a + 1, b - a), ""))
+        return F.concat(F.regexp_extract(text_col, r"^[\x20\x09-\x0D]*", 0), F.array_join(parts, ""))
+
+    cut = let(cut_words(F.col(text_col)), lambda w: let(F.col("_pw_runs"), lambda r: kept(w, r)))
+    out = out.withColumn("_pw_kept", F.when(F.col("_pw_runs").isNotNull(), cut).otherwise(F.col(text_col)))
+    n_lines = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(cut_lines(F.col(c)))).cast("long")
+    n_removed = F.when(F.col("_pw_runs").isNotNull(), n_lines(text_col) - n_lines("_pw_kept")).otherwise(F.lit(0)).cast("long")
+    stats = F.struct(n_lines(text_col).alias("n_lines"), n_removed.alias("n_removed"), F.coalesce("_pw_runs", F.array().cast("array<struct<a:int,b:int>>")).alias("runs"))
     out = out.withColumn(out_col, stats).withColumn(text_col, F.col("_pw_kept"))
     names = [*(c for c in docs.columns if c != out_col), out_col]
     return out.select(*names)

@@ -369,6 +369,38 @@ def test_cut_lines_join_to_the_text(spark):
     assert all(r["t"] == r["j"] for r in got)
 
 
+def lines_by_hand(texts: dict[int, str], n: int = 36) -> dict[int, str]:
+    seen, out = set(), {}
+    for d in sorted(texts):
+        w = WORD.findall(texts[d])
+        gone = set()
+        for p in range(len(w) - n + 1):
+            if tuple(w[p : p + n]) in seen:
+                gone.update(range(p, p + n))
+            seen.add(tuple(w[p : p + n]))
+        pieces = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", texts[d])
+        lead = re.match(r"[\x20\x09-\x0D]*", texts[d])[0]
+        out[d] = lead + "".join(x for i, x in enumerate(pieces) if i not in gone)
+    return out
+
+
+def test_passages_that_begin_and_end_inside_a_line_go(spark):
+    rng = random.Random(17)
+    passages = [". ".join(prose(rng, 13) for _ in range(4)) + "." for _ in range(2)] + [prose(rng, 36), prose(rng, 35)]
+    texts = {i: " " * (i % 3) + prose(rng, 40) + "\n" + prose(rng, 7) + " " + passages[i % 4] + " " + prose(rng, 9) + ".\n" for i in range(16)}
+    texts |= {20: "w1 " * 90, 21: "a b c d e " * 30 + prose(rng, 40), 22: prose(rng, 40) + "\n" + texts[3] + texts[3]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert out == lines_by_hand(texts)
+    assert all(passages[i % 4] not in out[i] for i in range(4, 16) if i % 4 < 3) and out[7] == texts[7]
+
+
+def test_line_dedup_matches_brute_force(spark):
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(real).where("text is not null").collect()}
+    assert out == lines_by_hand({r["doc_id"]: r["text"] for r in real.where("text is not null").collect()})
+
+
 # ---- 8, archives
 
 
