@@ -2,7 +2,8 @@
 
 1. A document's set of word shingles is hashed to 64 bits a shingle; equal sets are one class from here on.
 2. Every class gets a SuperMinHash signature and from it one key for each band.
-3. In every bucket of equal band keys all members are compared with the smallest, its head: linear in the bucket.
+3. Buckets of equal band keys are divided by size: any two sizes that a link may have meet in one of them, and none is
+   more than (100 / percent) ** 2 times another. In every bucket all members are compared with the smallest, its head: linear in the bucket.
    A candidate pair is a link only after its whole shingle sets have been compared.
 4. Members u, v of a bucket that the first components leave apart are decided by what they share beside its head R.
    Where both are close to R, short lists D(u) and D(v) of the shingles in which they differ from R settle the link
@@ -14,6 +15,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,8 +172,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def _compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) with the sizes of their whole shingle sets (nu, nv), of the intersection (i), and linked.
 
-    outside has the shingles of u that v lacks. close: v holds half of u or more, and u of v; then missing has the
-    shingles of v that u lacks, else none. Both texts of a pair meet in one row.
+    outside has the shingles of u that v lacks. close: v holds half of u or more, and u of v; or v holds so
+    much of u that a link of u may have all it shares in v. Then missing has the shingles of v that u lacks, else none. Both texts of a pair meet in one row.
     """
     asked = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("id"))
     ids = written(asked.select("id").distinct(), "asked")
@@ -183,15 +185,24 @@ def _compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     o, m = F.sort_array(F.array_except("a", "b")), F.array_except("b", "a")
     sets = sets.select("u", "v", F.size("a").alias("nu"), F.size("b").alias("nv"), o.alias("o"), m.alias("m")).withColumn("i", F.col("nu") - F.size("o"))
     linked = 100 * F.col("i") >= percent * (F.col("nu") + F.col("nv") - F.col("i"))
-    sets = sets.withColumn("linked", linked).withColumn("close", 2 * F.col("i") >= F.greatest("nu", "nv"))
+    close = (2 * F.col("i") >= F.greatest("nu", "nv")) | (100 * F.col("i") >= percent * F.col("nu"))
+    sets = sets.withColumn("linked", linked).withColumn("close", close)
     missing = F.when(F.col("close"), F.col("m")).otherwise(F.array().cast("array<bigint>"))
     return sets.select("u", "v", "nu", "nv", "i", "linked", "close", F.col("o").alias("outside"), missing.alias("missing"))
 
 
+def by_size(key_rows: DataFrame, percent: int) -> DataFrame:
+    """(id, key), two rows for each (id, n, key): every key is divided into overlapping ranges of n, so that sizes in a ratio of percent / 100 share one."""
+    step = math.log(100 / percent) + 1e-9  # more than the ratio, so that rounding parts no two
+    at = F.floor(F.log("n") / step)
+    return key_rows.select("id", F.explode(F.array(F.xxhash64("key", at), F.xxhash64("key", at + 1))).alias("key")).distinct()
+
+
 def _met(rows: DataFrame, percent: int) -> DataFrame:
     """head, id, n, component, close and s, a shingle outside the head that a partner of id must be able to meet.
 
-    A link shares percent * n / 100 - i of the shingles outside the head at least, and one. With those in one order for
+    A link shares percent * n / 100 - i of the shingles outside the head at least, and that is one or more for the text
+    of the two that isn't close. With those in one order for
     all members of a head, each two links meet within all but so many, less one. Rare ones come first: those that no
     other member holds can't meet and only count.
     """
@@ -243,7 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first_row = F.row_number().over(Window.partitionBy("id").orderBy("th", "ka", "kb"))
         signed = written(signed.withColumn("at", first_row).where("at = 1").drop("at"), "signed")
     classes = written(signed.where("n > 0").groupBy("ka", "kb").agg(F.min("id").alias("rep")), "classes")
-    key_rows = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("key")).distinct()
+    key_rows = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", F.explode("keys").alias("key")).distinct()
+    key_rows = by_size(written(key_rows.join(key_rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "keys"), percent)
     stars = key_rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     buckets = written(key_rows.join(stars, "key"), "buckets")
 

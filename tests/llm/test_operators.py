@@ -240,6 +240,15 @@ def test_near_duplicates_match_brute_force(spark, size):
     assert got == near_by_hand(texts, size)
 
 
+def test_near_copies_inside_many_longer_documents(spark):
+    rng = random.Random(19)
+    hot = prose(rng, 60)
+    texts = {i: prose(rng, 33) + " " + hot + " " + prose(rng, 33) for i in range(40)} | {1000: hot, 1001: " ".join(hot.split()[:54])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, shingle=2, bands=4, rows=1).collect()}  # a longer one heads each bucket
+    assert got == near_by_hand(texts, 2) and got[1001][1] == 1000
+
+
 def test_near_duplicates_on_real_and_odd_rows(spark):
     real = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(real, shingle=2).collect()}
