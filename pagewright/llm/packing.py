@@ -40,15 +40,17 @@ def _byte_letters() -> dict[str, int]:
 def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
     """The ids that the tokenizers library gives for a byte-level vocabulary file, by the faster core of tiktoken.
 
-    Ids of such a vocabulary follow the order of its merges, so that they serve as ranks. Special tokens are left
-    out: their strings in a text are ordinary text.
+    Ids of such a vocabulary follow the order of its merges, so that they serve as ranks. Added tokens, special or not,
+    are cut out of a text first, each as its one id, as tokenizers does.
     """
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {x["content"] for x in model.get("added_tokens", ()) if x.get("special")}
+    added = {x["content"]: x["id"] for x in model.get("added_tokens", ())}
+    if bent := [x["content"] for x in model.get("added_tokens", ()) if x.get("single_word") or x.get("lstrip") or x.get("rstrip")]:
+        raise ValueError(f"added tokens that also match what stands around them aren't supported: {bent}")
     letters = _byte_letters()
-    ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 class Packer:
@@ -156,7 +158,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             id_type = batch.column(0).type
             ids, texts = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
-                found = enc.encode_to_numpy(texts[i].as_py() or "", disallowed_special=())
+                found = enc.encode_to_numpy(texts[i].as_py() or "", allowed_special="all")
                 packer.add(ids[i].as_py(), np.append(found, found.dtype.type(separator)))
                 yield from drain()
         packer.finish()

@@ -171,6 +171,11 @@ def test_packing(spark):
     assert packing.pack_documents(empty_docs(spark)).count() == 0
 
 
+def test_packing_of_special_tokens(spark):
+    texts = dict(enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext|", "<|endoftext|>" * 1500]))
+    assert_packed(packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+
+
 def test_level_is_the_least_sum_of_squares():
     rng = random.Random(4)
     packer = packing.Packer(16)
