@@ -6,10 +6,10 @@
    more than (100 / percent) ** 2 times another. In every bucket all members are compared with the smallest, its head: linear in the bucket.
    A candidate pair is a link only after its whole shingle sets have been compared.
 4. Members u, v of a bucket that the first components leave apart are decided by what they share beside its head R.
-   Where both are close to R, short lists D(u) and D(v) of the shingles in which they differ from R settle the link
-   exactly inside a join on R, which gives out links only; sizes alone exclude most partners. Where u or v has
-   little in common with R, prefixes of their shingles outside R must meet, in the order of how many members hold a
-   shingle, so that what most of them share is met last; what meets is compared on full sets.
+   Where both are close to R, a link must share some of the shingles in which they differ from R; where u or v has
+   little in common with R, some of the shingles outside R. How many is known from sizes, so that a prefix of these
+   shingles must meet, in the order of how many members hold a shingle: what most of them share is met last, if at
+   all. Pairs that meet are decided exactly, by their differences from R or on full sets.
 5. Links meet in union-find forests, first inside each partition, then across partitions by star contraction.
 """
 
@@ -29,7 +29,8 @@ from .common import let, words, written
 BANDS, ROWS = 40, 5
 #: Shingles whose permutations are in memory at once.
 CHUNK = 100_000
-#: Ids of candidate pairs that are broadcast at most, so that texts without a candidate stay where they are.
+#: Ids of candidate pairs that are broadcast at most, so that texts without a candidate stay where they are; beyond it
+#: the same texts are found by a join that deals out all of them. Results are the same.
 BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
@@ -198,21 +199,49 @@ def by_size(key_rows: DataFrame, percent: int) -> DataFrame:
     return key_rows.select("id", F.explode(F.array(F.xxhash64("key", at), F.xxhash64("key", at + 1))).alias("key")).distinct()
 
 
-def _met(rows: DataFrame, percent: int) -> DataFrame:
-    """head, id, n, component, close and s, a shingle outside the head that a partner of id must be able to meet.
-
-    A link shares percent * n / 100 - i of the shingles outside the head at least, and that is one or more for the text
-    of the two that isn't close. With those in one order for
-    all members of a head, each two links meet within all but so many, less one. Rare ones come first: those that no
-    other member holds can't meet and only count.
-    """
-    s = rows.select("head", "id", F.explode("outside").alias("s"))
+def _prefixes(rows: DataFrame, items: str) -> DataFrame:
+    """``rows`` with shared: those of ``items`` that another member of the head holds, (c, s), rarest first; c members hold s. Rows with none go."""
+    s = rows.select("head", "id", F.explode(items).alias("s"))
     held = s.groupBy("head", "s").agg(F.count("*").alias("c")).where("c > 1")
     shared = s.join(held, ["head", "s"]).groupBy("head", "id").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("shared"))
-    need = F.greatest(F.lit(1), F.ceil((percent * F.col("n") - 100 * F.col("i")) / 100).cast("int"))
-    alone = F.size("outside") - F.size("shared")
-    prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.size("outside") - need + 1 - alone))
-    return rows.join(shared, ["head", "id"]).select("head", "id", "n", "component", "close", F.explode(F.transform(prefix, lambda x: x["s"])).alias("s"))
+    return rows.join(shared, ["head", "id"])
+
+
+def _prefix(items: str, need: Column) -> Column:
+    """The first of ``shared``, of which two members meet in one if they have ``need`` of ``items`` in common, or more.
+
+    With items in one order for all members, each two links meet within all but so many, less one. Items that no other
+    member holds come first: they can't meet and only count.
+    """
+    alone = F.size(items) - F.size("shared")
+    prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.size(items) - F.greatest(F.lit(1), need) + 1 - alone))
+    return F.transform(prefix, lambda x: x["s"])
+
+
+def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(head, u, v) of members close to the head, of different components, that may be links.
+
+    Let D be the shingles in which a member of n shingles differs from the head, d their number, and
+    w = (100 + percent) d - (100 - percent) n. Links u, v have (w(u) + w(v)) / (2 (100 + percent)) of D in common, or
+    more. A member that is no link of the head has w > b = (100 - percent) nh, any has w >= -b; of two members of
+    different components one at least is no link of the head, so that the bound is over 0. Hence of two that are no
+    links, that with the smaller w shares w / (100 + percent), the other (w + b) / (2 (100 + percent)); one that is a
+    link shares (w + b) / (2 (100 + percent)) with one that isn't, and this (w - b) / (2 (100 + percent)).
+    """
+    p, q = 100 + percent, 100 - percent
+    rows = rows.select("head", "id", "n", "component", "linked", F.concat("outside", "missing").alias("d"), (q * F.col("nh")).alias("b"))
+    rows = _prefixes(rows.withColumn("w", p * F.size("d") - q * F.col("n")), "d")
+    share = lambda x, over: F.ceil(x / over).cast("int")
+    side = lambda members, with_link, need: members.select("head", "id", "n", "w", "component", with_link.alias("with_link"), F.explode(_prefix("d", need)).alias("s"))
+    no_links = rows.where("not linked")
+    less = side(no_links, F.lit(False), share(F.col("w"), p))
+    alone = side(no_links, F.lit(True), share(F.col("w") - F.col("b"), 2 * p))
+    more = side(rows, F.col("linked"), share(F.col("w") + F.col("b"), 2 * p))
+    meet = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("head", "s", "with_link")]
+    near = (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+    ordered = F.col("a.with_link") | (F.col("a.w") <= F.col("b.w"))
+    met = less.union(alone).alias("a").join(more.alias("b"), meet[0] & meet[1] & meet[2] & near & ordered)
+    return met.select(F.col("a.head").alias("head"), F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
 
 
 def _apart(compared: DataFrame, buckets: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -225,19 +254,20 @@ def _apart(compared: DataFrame, buckets: DataFrame, groups: DataFrame, percent:
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     apart = members.join(mixed, "key").select(F.col("first").alias("v"), F.col("id").alias("u"), "component").distinct()
     rows = written(compared.join(apart, ["u", "v"]).withColumnsRenamed({"v": "head", "u": "id", "nu": "n", "nv": "nh"}), "apart")
+
+    d = rows.where("close")
+    one = lambda name: d.select("head", F.col("id").alias(name), F.struct("n", "nh", "outside", "missing").alias(f"{name}_"))
+    pairs = written(_close_pairs(d, percent), "pairs").join(one("u"), ["head", "u"]).join(one("v"), ["head", "v"])
+    both = lambda c: F.size(F.array_intersect(f"u_.{c}", f"v_.{c}"))
+    shared = F.col("u_.nh") - F.size("u_.missing") - F.size("v_.missing") + both("missing") + both("outside")
+    links = pairs.where((100 + percent) * shared >= percent * (F.col("u_.n") + F.col("v_.n"))).select("u", "v").distinct()
+
+    # a link shares percent * n / 100 - i of the shingles outside the head, one or more for the text that isn't close
+    s = _prefixes(rows.select("head", "id", "n", "i", "component", "close", "outside"), "outside")
+    s = s.select("head", "id", "n", "component", "close", F.explode(_prefix("outside", F.ceil((percent * F.col("n") - 100 * F.col("i")) / 100).cast("int"))).alias("s"))
     near = (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-    pair = [F.col("a.id").alias("u"), F.col("b.id").alias("v")]
-
-    d = rows.where("close").select("head", "id", "n", "nh", "component", F.size("outside").alias("o"), F.size("missing").alias("m"), "outside", "missing")
-    known = (100 + percent) * (F.col("a.nh") - F.col("a.m") - F.col("b.m")) - percent * (F.col("a.n") + F.col("b.n"))
-    at_most = F.least("a.o", "b.o") + F.least("a.m", "b.m")
-    both = lambda c: F.size(F.array_intersect(f"a.{c}", f"b.{c}"))
-    is_link = (known + (100 + percent) * at_most >= 0) & (known + (100 + percent) * (both("outside") + both("missing")) >= 0)
-    links = d.alias("a").join(d.alias("b"), (F.col("a.head") == F.col("b.head")) & near & is_link).select(*pair)
-
-    s = _met(rows, percent)
-    far = s.alias("a").join(s.alias("b"), (F.col("a.head") == F.col("b.head")) & (F.col("a.s") == F.col("b.s")) & near & ~(F.col("a.close") & F.col("b.close"))).select(*pair)
-    return links, far.distinct().join(compared.select("u", "v"), ["u", "v"], "left_anti")
+    far = s.alias("a").join(s.alias("b"), (F.col("a.head") == F.col("b.head")) & (F.col("a.s") == F.col("b.s")) & near & ~(F.col("a.close") & F.col("b.close")))
+    return links, far.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct().join(compared.select("u", "v"), ["u", "v"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
