@@ -72,15 +72,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    index, folder = archive_pages(read_table(spark, sf_dir, "pages"), date=date)
-    n_files = index.select("file").distinct().count()
-    back = read_archives(index, folder, max(1, n_files))
+    blocks, folder = archive_pages(read_table(spark, sf_dir, "pages"), date=date)
+    n_files = blocks.select("archive").distinct().count()
+    back = read_archives(blocks, folder, max(1, n_files))
     back = back.select(
         "file", "at", F.col("record_id").cast("long").alias("page_id"), F.coalesce(F.octet_length("payload").cast("long"), F.col("header_bytes")).alias("payload_bytes"),
         F.coalesce(F.sha2("payload", 256), F.col("header_digest")).alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"),
     )
-    history = merged_index(index).select("file", "at", "url_key", F.col("date").alias("captured_at"))
-    return back.join(history, ["file", "at"]).drop("file", "at")
+    history = merged_index(blocks, folder).select("file", "at", "url_key", F.col("date").alias("captured_at"), F.col("seq").alias("history_rank"))
+    return back.join(history.hint("merge"), ["file", "at"]).drop("file", "at")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

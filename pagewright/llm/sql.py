@@ -60,6 +60,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM m GROUP BY conv_id"""
 
 WARC = """
+SELECT *, row_number() OVER (ORDER BY url_key, captured_at, page_id) AS history_rank FROM (
 WITH p AS (
   SELECT page_id, lower(coalesce(url, '')) AS u, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
@@ -69,7 +70,7 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
        array_to_string(list_reverse(string_split(regexp_extract(u, '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.')), ',') || ')'
          || regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://[^/?#]*)?([^#]*)', 1) AS url_key,
        strftime(make_timestamp((1704067200 + coalesce(page_id, 0)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
-FROM f"""
+FROM f)"""
 
 NGRAM_LM = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORD}') AS w FROM documents),

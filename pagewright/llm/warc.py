@@ -1,9 +1,10 @@
 """WARC archives of page captures, and an external merge of their index.
 
-Writing: tasks append one gzip member a record to archives in the shared folder and give out their index as runs
-sorted by URL key, timestamp and id. Merging: index rows are dealt into ranges of that key; each task merges the runs
-in its range with a loser tree, and all ranges together are the capture histories in global order. Reading: tasks
-stream whole archives record by record.
+Writing: tasks append one gzip member a record to archives in the shared folder. Beside each archive lie the index rows
+of its records as runs, files of blocks sorted by URL key, timestamp and id. What a job carries on is one row a block.
+Merging: while there are more runs than a task can have open, groups of runs are merged into longer ones. Then the key
+is cut into ranges; each task merges the blocks of its range from all runs with a loser tree, holding one block a run,
+and all ranges together are the capture histories in global order. Reading: tasks stream archives record by record.
 
 Captures of equal payloads are stored once: that with the smallest id as a response, the others as revisits.
 """
@@ -12,20 +13,26 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, written
 
 #: Payloads below this many bytes are always stored whole.
 LEAST_BYTES = 100
-#: Compressed bytes after which a task begins another archive, and index rows after which it ends a run.
-ARCHIVE_BYTES, RUN_ROWS = 64 << 20, 50_000
+#: Compressed bytes after which a task begins another archive; index rows after which it ends a run, and rows of a block.
+ARCHIVE_BYTES, RUN_ROWS, BLOCK_ROWS = 64 << 20, 50_000, 2_000
+#: Runs that a task merges at once, about, and rows of a range, about.
+FAN_IN, RANGE_ROWS = 64, 200_000
+#: Blocks among whose first keys the ranges are cut: those with the smallest hashes. More of them would only even out ranges.
+MOST_CUTS = 20_000
 LEVEL = 1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -39,12 +46,17 @@ def url_key(url: Column) -> Column:
 
 
 def classify(captures: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """``captures`` (id, payload, ...) with payload_digest, record_type and refers_to."""
-    rows = captures.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = F.coalesce((F.col("payload_bytes") >= least) & (F.col("first") < F.col("id")), F.lit(False))
-    out = rows.join(first, "payload_digest", "left")
-    return out.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first"))).drop("first")
+    """``captures`` (id, payload, ...) with payload_digest, record_type and refers_to.
+
+    Only ids and digests meet by digest, so that a payload of many captures gathers no payloads in one task; payloads
+    are dealt by id.
+    """
+    rows = captures.withColumn("payload_digest", F.sha2("payload", 256))
+    prints = rows.where(F.octet_length("payload") >= least).select("id", "payload_digest")
+    first = prints.groupBy("payload_digest").agg(F.min("id").alias("refers_to"), F.max("id").alias("last")).where("refers_to < last").drop("last")
+    again = prints.join(first.hint("merge"), "payload_digest").where("refers_to < id").distinct()
+    out = rows.join(again.hint("merge"), ["id", "payload_digest"], "left")
+    return out.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
 def record(kind: str, id_: object, uri: str | None, date: str, digest: str, payload: bytes, refers_to: object = None) -> bytes:
@@ -69,36 +81,66 @@ def parse_record(data: bytes) -> dict:
     return headers | {"block": rest[: int(headers["content-length"])]}
 
 
-def write_archives(captures: DataFrame, folder: str) -> DataFrame:
-    """Writes classified captures (id, url, url_key, date, ...) and returns the index: a row for each record, in sorted runs.
+#: One row a block of a run: the run's file, how many rows it has, and the first and last key of the block.
+_KEY = "url_key string, date string, id long, file string, at long"
+_BLOCKS = f"run string, block int, n_rows long, first struct<{_KEY}>, last struct<{_KEY}>, archive string"
+_FIELDS = ("url_key", "date", "id", "file", "at", "size")
+_TYPES = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+_RUN_SCHEMA = pa.schema(list(zip(_FIELDS, _TYPES, strict=True)))
+_KEY_TYPE = pa.struct(list(_RUN_SCHEMA)[:5])
+_BLOCK_SCHEMA = pa.schema([("run", pa.string()), ("block", pa.int32()), ("n_rows", pa.int64()), ("first", _KEY_TYPE), ("last", _KEY_TYPE), ("archive", pa.string())])
+
+
+class _RunWriter:
+    """Writes sorted index rows as a run in the shared folder; ``blocks`` has what the job carries on."""
+
+    def __init__(self, store: fs.FileSystem, path: str, archive: str | None = None):
+        self.name, self.blocks, self.archive, self.rows = f"{uuid.uuid4().hex}.run", [], archive, []
+        self.out = store.open_output_stream(f"{path}/{self.name}", compression=None)
+        self.ipc = pa.ipc.new_file(self.out, _RUN_SCHEMA)
+
+    def add(self, row: Sequence) -> None:
+        self.rows.append(row)
+        if len(self.rows) >= BLOCK_ROWS:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.ipc.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows, strict=True), _TYPES, strict=True)], schema=_RUN_SCHEMA))
+        key = lambda r: dict(zip(_FIELDS[:5], r[:5], strict=True))
+        self.blocks.append({"run": self.name, "block": len(self.blocks), "n_rows": len(self.rows), "first": key(self.rows[0]), "last": key(self.rows[-1]), "archive": self.archive})
+        self.rows = []
+
+    def close(self) -> list[dict]:
+        if self.rows:
+            self._flush()
+        self.ipc.close()
+        self.out.close()
+        return self.blocks
 
-    Archives have names of their own for each attempt of a task, and the index names only those of attempts that
-    ended well; what a lost executor left behind is never read. The index itself is a table in the shared folder.
+
+def write_archives(captures: DataFrame, folder: str, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Writes classified captures (id, url, url_key, date, ...) and the runs of their index; gives a row for each block of a run.
+
+    Archives and runs have names of their own for each attempt of a task, and blocks name only those of attempts that
+    ended well; what a lost executor left behind is never read. The blocks are a table in the shared folder.
     """
-    kind = captures.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
-        part, out, name, at, rows, n_runs = TaskContext.get().partitionId(), None, "", 0, [], 0
-        id_type = None
+        out, name, at, rows = None, "", 0, []
 
         def index() -> pa.RecordBatch:
-            nonlocal n_runs
-            rows.sort(key=_key)
-            run_id = f"{part:06d}-{n_runs:04d}"
-            n_runs += 1
-            cols = list(zip(*rows, strict=True))
-            types = [pa.string(), pa.string(), id_type, pa.string(), pa.int64(), pa.int64()]
-            batch = pa.RecordBatch.from_arrays([pa.array([run_id] * len(rows)), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["run", "url_key", "date", "id", "file", "at", "size"])
+            writer = _RunWriter(store, path, name)
+            for row in sorted(rows, key=_key):
+                writer.add(row)
             rows.clear()
-            return batch
+            return pa.RecordBatch.from_pylist(writer.close(), _BLOCK_SCHEMA)
 
         for batch in batches:
-            id_type = batch.column("id").type
             for x in (r for start in range(0, batch.num_rows, 256) for r in batch.slice(start, 256).to_pylist()):
                 if out is None:
-                    name, at = f"{part:06d}-{uuid.uuid4().hex}.warc.gz", 0
+                    name, at = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(f"{path}/{name}", compression=None)
                 data = record(x["record_type"], x["id"], x["url"], x["date"], x["payload_digest"], x["payload"], x["refers_to"])
                 member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -106,33 +148,33 @@ def write_archives(captures: DataFrame, folder: str) -> DataFrame:
                 out.write(data)
                 rows.append((x["url_key"], x["date"], x["id"], name, at, len(data)))
                 at += len(data)
+                if len(rows) >= run_rows or at >= ARCHIVE_BYTES:
+                    yield index()
                 if at >= ARCHIVE_BYTES:
                     out.close()
                     out = None
-                if len(rows) >= RUN_ROWS:
-                    yield index()
-        if out is not None:
-            out.close()
         if rows:
             yield index()
+        if out is not None:
+            out.close()
 
     cols = captures.select("id", "url", "url_key", "date", "payload", "payload_digest", "record_type", "refers_to")
-    return written(cols.mapInArrow(run, f"run string, url_key string, date string, id {kind}, file string, at long, size long"), "runs")
+    return written(cols.mapInArrow(run, _BLOCKS), "blocks")
 
 
 def _key(row: Sequence) -> tuple:
-    """URL key, date, then id with nulls last, then place."""
+    """URL key, date, then id with nulls last, then place: what runs are sorted by."""
     return (row[0], row[1], row[2] is None, row[2] if row[2] is not None else 0, row[3], row[4])
 
 
-def merge_runs(runs: Sequence[list]) -> Iterator[list]:
+def merge_runs(runs: Sequence[Iterator[Sequence]]) -> Iterator[Sequence]:
     """The rows of sorted runs in order, by a tree of losers: every step replays one path from leaf to root."""
-    k = len(runs)
+    k, runs = len(runs), [iter(r) for r in runs]
     if k == 0:
         return
-    places = [0] * k
+    rows = [next(r, None) for r in runs]
     done = (1,)  # after every key, which begin with 0
-    heads = [(0, _key(r[0]), i) if r else done for i, r in enumerate(runs)]
+    heads = [done if r is None else (0, _key(r), i) for i, r in enumerate(rows)]
     losers = [-1] * k  # losers[0] is the winner
     for i in range(k):  # play the leaves in; the first to come to a match waits there
         winner, node = i, (i + k) // 2
@@ -146,10 +188,9 @@ def merge_runs(runs: Sequence[list]) -> Iterator[list]:
         if winner >= 0:
             losers[0] = winner
     while heads[top := losers[0]] is not done:
-        run = runs[top]
-        yield run[places[top]]
-        places[top] += 1
-        heads[top] = (0, _key(run[places[top]]), top) if places[top] < len(run) else done
+        yield rows[top]
+        rows[top] = row = next(runs[top], None)
+        heads[top] = done if row is None else (0, _key(row), top)
         winner, node = top, (top + k) // 2
         while node:
             if heads[losers[node]] < heads[winner]:
@@ -158,46 +199,90 @@ def merge_runs(runs: Sequence[list]) -> Iterator[list]:
         losers[0] = winner
 
 
-def merged_index(index: DataFrame, n_ranges: int | None = None) -> DataFrame:
-    """The index in global order of URL key, date and id: url_key, date, id, file, at, size and seq, which rises with it.
+def _read_blocks(store: fs.FileSystem, path: str, run: str, blocks: Sequence[int]) -> Iterator[list]:
+    """The rows of some blocks of a run, in order; one block is in memory at a time."""
+    with store.open_input_file(f"{path}/{run}") as f, pa.ipc.open_file(f) as ipc:
+        for i in blocks:
+            yield from zip(*(c.to_pylist() for c in ipc.get_batch(i).columns), strict=True)
 
-    Ranges are cut by the whole key, so that one URL with many captures is cut as well. A task holds its range only.
-    """
-    spark = index.sparkSession
-    kind = index.schema["id"].dataType.simpleString()
-    n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list] = {}
-        id_type = None
-        for batch in batches:
-            id_type = batch.column("id").type
-            cols = [batch.column(c).to_pylist() for c in ("run", "url_key", "date", "id", "file", "at", "size")]
-            for name, *row in zip(*cols, strict=True):
-                runs.setdefault(name, []).append(row)
-        for rows in runs.values():
-            rows.sort(key=_key)  # one pass over a run that the shuffle kept in order
-        base, out = TaskContext.get().partitionId() << 33, []
-        names = ["url_key", "date", "id", "file", "at", "size", "seq"]
-        types = [pa.string(), pa.string(), id_type, pa.string(), pa.int64(), pa.int64(), pa.int64()]
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-        for i, row in enumerate(merge_runs(list(runs.values()))):
-            out.append([*row, base + i])
+def _by_part(folder: str, found: Callable[[int, list[Iterator], fs.FileSystem, str], Iterator[pa.RecordBatch]]) -> Callable:
+    """A task over rows (part, run, block) in that order: ``found`` gets each part with readers of its runs."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(folder)
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("part", "run", "block")), strict=True))
+        for part, own in groupby(rows, key=lambda r: r[0]):
+            readers = [_read_blocks(store, path, run, [r[2] for r in some]) for run, some in groupby(own, key=lambda r: r[1])]
+            yield from found(part, readers, store, path)
+
+    return task
+
+
+def longer_runs(blocks: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
+    """The blocks of fewer runs: groups of about ``fan_in`` of them, chosen by hash, are merged each into one. Archives are no longer named."""
+    n_groups = -(-blocks.select("run").distinct().count() // fan_in)
+
+    def merged(part: int, readers: list[Iterator], store: fs.FileSystem, path: str) -> Iterator[pa.RecordBatch]:
+        writer = _RunWriter(store, path)
+        for row in merge_runs(readers):
+            writer.add(row)
+        yield pa.RecordBatch.from_pylist(writer.close(), _BLOCK_SCHEMA)
+
+    parts = blocks.select(F.pmod(F.xxhash64("run"), F.lit(n_groups)).cast("int").alias("part"), "run", "block")
+    parts = parts.repartition(n_groups, "part").sortWithinPartitions("part", "run", "block")
+    return written(parts.mapInArrow(_by_part(folder, merged), blocks.schema), "blocks")
+
+
+def merged_index(blocks: DataFrame, folder: str, range_rows: int = RANGE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+    """The index in global order of URL key, date and id: url_key, date, id, file, at, size and seq, the row's place from 1.
+
+    Ids are integers. Ranges are cut by the whole key, so that one URL with many captures is cut as well. A task
+    holds a block of each of about ``fan_in`` runs. An empty index gives an empty result.
+    """
+    spark = blocks.sparkSession
+    while blocks.select("run").distinct().count() > 2 * fan_in:
+        blocks = longer_runs(blocks, folder, fan_in)
+    n_rows = blocks.agg(F.sum("n_rows")).first()[0] or 0
+    n_ranges = -(-n_rows // range_rows)
+    sample = blocks.orderBy(F.xxhash64("run", "block")).limit(MOST_CUTS).select("first.*").collect() if n_ranges > 1 else []
+    keys = sorted(map(_key, sample))  # bounded: MOST_CUTS keys
+    cuts = sorted({keys[i * len(keys) // n_ranges] for i in range(1, n_ranges)}) if keys else []
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for run, block, first, last in zip(*(b.column(c).to_pylist() for c in ("run", "block", "first", "last")), strict=True):
+                lo, hi = (bisect_right(cuts, _key(tuple(x.values()))) for x in (first, last))
+                out += [(part, run, block) for part in range(lo, hi + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.int32()), strict=True)], names=["part", "run", "block"])
+
+    def merged(part: int, readers: list[Iterator], store: fs.FileSystem, path: str) -> Iterator[pa.RecordBatch]:
+        low, high = cuts[part - 1] if part else (), cuts[part] if part < len(cuts) else None
+        inside = lambda rows: (r for r in rows if low <= (k := _key(r)) and (high is None or k < high))
+        out, n = [], 0
+        for n, row in enumerate(merge_runs([inside(r) for r in readers]), 1):
+            out.append((part, n, *row))
             if len(out) >= 10_000:
-                yield done()
+                yield batch(out)
                 out = []
         if out:
-            yield done()
+            yield batch(out)
+
+    def batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *_TYPES), strict=True)], names=["part", "n", *_FIELDS])
 
-    ranges = index.repartitionByRange(n, "url_key", "date", F.col("id").asc_nulls_last())
-    return ranges.mapInArrow(merge, f"url_key string, date string, id {kind}, file string, at long, size long, seq long")
+    parts = blocks.select("run", "block", "first", "last").mapInArrow(ranges, "part int, run string, block int")
+    parts = parts.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "run", "block")
+    rows = written(parts.mapInArrow(_by_part(folder, merged), "part int, n long, url_key string, date string, id long, file string, at long, size long"), "history")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("part").agg(F.max("n").alias("m"))  # a row a range, MOST_CUTS at most
+    ends = ends.select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(ends), "part").select(*_FIELDS, (F.col("before") + F.col("n")).alias("seq"))
 
 
 def read_archives(files: DataFrame, folder: str, n_tasks: int) -> DataFrame:
-    """A row for each record of the archives named in ``files`` (file): place, headers and payload (null for revisits).
+    """A row for each record of the archives named in ``files`` (archive): place, headers and payload (null for revisits).
 
     Archives are streamed from end to end, a record at a time, ``n_tasks`` tasks at once.
     """
@@ -228,7 +313,7 @@ def read_archives(files: DataFrame, folder: str, n_tasks: int) -> DataFrame:
             yield out()
 
     schema = "file string, at long, record_id string, record_type string, refers_to string, url string, date string, header_digest string, header_bytes long, payload binary"
-    return files.select("file").distinct().repartition(n_tasks).mapInArrow(run, schema)
+    return files.select("archive").distinct().repartition(n_tasks).mapInArrow(run, schema)
 
 
 def members(f, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
@@ -246,13 +331,14 @@ def members(f, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
         at += used
 
 
-def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: Column | None = None, least: int = LEAST_BYTES) -> tuple[DataFrame, str]:
-    """Writes every row as a record; returns the index runs and the folder of the archives.
+def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: Column | None = None, least: int = LEAST_BYTES, run_rows: int = RUN_ROWS) -> tuple[DataFrame, str]:
+    """Writes every row as a record; returns the blocks of the index and the folder of archives and runs.
 
     A null html is an empty payload, a null URL leaves out the target. Ids are integers; rows that repeat an id and a
-    payload are all what the first of them is. A row with a null id is a response. Other columns are not read.
+    payload are all what the first of them is. A row with a null id is a response. Other columns are not read. Files
+    stay in the shared folder until it is cleared.
     """
     folder = scratch_path(pages.sparkSession, "warc")
     when = date if date is not None else F.lit("1970-01-01T00:00:00Z")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), url_key(F.col(url_col)).alias("url_key"), when.alias("date"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
-    return write_archives(classify(rows, least), folder), folder
+    return write_archives(classify(rows, least), folder, run_rows), folder
