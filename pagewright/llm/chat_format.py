@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -184,21 +184,36 @@ def read_back(formatted: DataFrame, id_col: str, keep: Sequence[str] = ()) -> Da
     return rows.mapInPandas(run, f"id {kind}, turns array<struct<role:string,text:string>>, loss_texts array<string>{more}").withColumnRenamed("id", id_col)
 
 
-def conversation_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Rows by turn as one JSON record for each conversation, in the layout that its roles allow.
+def conversation_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
+    """Rows by turn as one JSON record for each conversation, in one of the layouts that can hold its roles.
 
-    user, assistant: a prompt and its completion; system, user, assistant: an instruction, its input and output; others
-    a list of messages. Turns are in the order of ``turn``, then role and text; repeated rows repeat. Null roles and
-    texts are empty; rows with a null id make one conversation with a null id. A conversation must fit in a row.
+    Which one, a hash of the id says, so that a table of uniform rows becomes one of heterogeneous records. Turns are in
+    the order of ``turn``, then role and text; repeated rows repeat. Null roles and texts are empty; rows with a null
+    id make one conversation with a null id. A conversation must fit in a row.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     convs = rows.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    roles = F.array_join(F.transform("t", lambda x: x["role"]), "\n")
-    text = lambda i: F.get("t", F.lit(i))["content"]
-    messages = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
-    record = (
-        F.when(roles == "user\nassistant", F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion"))))
-        .when(roles == "system\nuser\nassistant", F.to_json(F.struct(text(0).alias("instruction"), text(1).alias("input"), text(2).alias("output"))))
-        .otherwise(messages)
-    )
-    return convs.select(F.col("_id").alias(id_col), record.alias("record"))
+    own = F.transform("t", lambda x: x["role"])
+
+    def tree(fields: dict[tuple[str, ...], Column]) -> Column:
+        """A struct of the fields by their paths."""
+        heads = dict.fromkeys(path[0] for path in fields)
+        return F.struct(*[(fields[(h,)] if (h,) in fields else tree({p[1:]: c for p, c in fields.items() if p[0] == h})).alias(h) for h in heads])
+
+    def fits(m: Mapping) -> Column:
+        if m.turns:
+            return own == F.array(*[F.lit(role) for _, role in m.turns])
+        return ~F.arrays_overlap(own, F.array(*[F.lit(name) for name, _ in m.roles])) if m.roles else F.lit(True)
+
+    def record(m: Mapping) -> Column:
+        if m.turns:
+            return F.to_json(tree({tuple(path.split(".")): F.get("t", F.lit(i))["content"] for i, (path, _) in enumerate(m.turns)}))
+        name = lambda role: F.coalesce(*[F.when(role == mine, F.lit(theirs)) for theirs, mine in m.roles], role)
+        items = F.transform("t", lambda x: F.struct(name(x["role"]).alias(m.role), x["content"].alias(m.text)))
+        return F.to_json(tree({tuple(m.items.split(".")): items}))
+
+    able = F.array_compact(F.array(*[F.when(fits(m), F.lit(i)) for i, m in enumerate(mappings)]))
+    convs = convs.withColumn("_able", able)
+    chosen = F.get("_able", F.pmod(F.xxhash64(F.col("_id").cast("string")), F.size("_able")).cast("int"))
+    records = F.coalesce(*[F.when(F.col("_layout") == i, record(m)) for i, m in enumerate(mappings)])
+    return convs.withColumn("_layout", chosen).select(F.col("_id").alias(id_col), records.alias("record"))
