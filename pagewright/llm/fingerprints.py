@@ -1,8 +1,9 @@
 """Document fingerprints: one-permutation MinHash with optimal densification, stored as packed low-order bits.
 
 Every shingle of a text is hashed once. The top bits of the hash choose one of ``bins`` bins, and each bin keeps the
-smallest hash that fell into it. An empty bin takes the value of a full one, which a fixed random sequence of its own
-chooses (optimal densification), so that two texts agree in a filled bin as often as in any other. Of each bin the
+smallest hash that fell into it. An empty bin takes the value of a full one (optimal densification): each bin has one
+fixed random order of all bins, the same for every text, and takes the first full bin in it, so that two texts agree
+in a filled bin as often as in any other. Of each bin the
 low ``bits`` bits are stored; chance agreement of these is taken off the likeness. All of it is built-in expressions.
 """
 
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 from .common import let, words
 
 BINS, BITS, SHINGLE = 256, 8, 5
-#: Draws of an empty bin: a first few, then many; if none meets a full bin, the next full bin in a circle is taken.
+#: The order of bins for an empty bin: by the draw that first gives them, among so many draws that are tried a step at a
+#: time; then, for bins that no draw gives, by hash. This is one random order, as it depends on no text.
 DRAWS = (8, 64)
-#: Ranges of ids at most, among which neighbours are looked up.
-RANGES = 20_000
+#: Ranges of ids at most, among which neighbours are looked up; beyond, ranges grow. A window sorts a range on disk, so
+#: that no range has to be in memory.
+RANGES = 4_000
 
 
 def bin_minima(text: Column, bins: int = BINS, shingle: int = SHINGLE) -> Column:
@@ -59,8 +62,8 @@ def densified(minima: Column, bins: int = BINS) -> Column:
             tried = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda t: F.get(m, F.pmod(F.xxhash64(b, t), F.lit(bins)).cast("int")))
             return F.get(F.filter(tried, lambda v: v.isNotNull()), 0)
 
-        around = lambda b: F.get(F.filter(F.concat(F.slice(m, b + 1, F.lit(bins)), m), lambda v: v.isNotNull()), 0)
-        return F.transform(m, lambda v, b: F.coalesce(v, *[drawn(b, n) for n in DRAWS], around(b)))
+        full = lambda b: F.filter(F.transform(m, lambda v, i: F.when(v.isNotNull(), F.struct(F.xxhash64(b, F.lit(-1), i).alias("h"), v.alias("v")))), lambda x: x.isNotNull())
+        return F.transform(m, lambda v, b: F.coalesce(v, *[drawn(b, n) for n in DRAWS], F.array_min(full(b))["v"]))
 
     empty = F.array_repeat(F.lit(0).cast("bigint"), bins)
     return let(minima, lambda m: F.when(F.size(F.array_compact(m)) > 0, fill(m)).otherwise(empty))
@@ -90,7 +93,7 @@ def likeness(a: Column, b: Column, bits: int = BITS) -> Column:
 def with_next(docs: DataFrame, id_col: str, carry: list[str], n_buckets: int, derive: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """``derive(docs)`` with ``next_<c>`` for each column of ``carry``: those of the next row by descending id.
 
-    After the last row comes the first. Null ids come last; equal ids are in the order of the first carried column.
+    Ids are numbers. After the last row comes the first. Null ids come last; equal ids are in the order of the first carried column.
     Rows are dealt into ranges of ids of about equal size; in a range a window gives the next row, and the first row
     of the range after it joins as a guest, so that no task sees more than its range.
     """
