@@ -5,12 +5,15 @@
 3. Buckets of equal band keys are divided by size: any two sizes that a link may have meet in one of them, and none is
    more than (100 / percent) ** 2 times another. In every bucket all members are compared with the smallest, its head: linear in the bucket.
    A candidate pair is a link only after its whole shingle sets have been compared.
-4. Members u, v of a bucket that the first components leave apart are decided by what they share beside its head R.
+4. Of members that the components leave apart from the head, the smallest is the bucket's next head, with which the others
+   are compared, as long as that joins a tenth of them or more. In a group of copies that are just not alike enough to
+   one head, most are linked to another.
+5. Members u, v of a bucket that are still apart are decided by what they share beside its head R.
    Where both are close to R, a link must share some of the shingles in which they differ from R; where u or v has
    little in common with R, some of the shingles outside R. How many is known from sizes, so that a prefix of these
    shingles must meet, in the order of how many members hold a shingle: what most of them share is met last, if at
    all. Pairs that meet are decided exactly, by their differences from R or on full sets.
-5. Links meet in union-find forests, first inside each partition, then across partitions by star contraction.
+6. Links meet in union-find forests, first inside each partition, then across partitions by star contraction.
 """
 
 from __future__ import annotations
@@ -219,7 +222,7 @@ def _prefix(items: str, need: Column) -> Column:
 
 
 def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(head, u, v) of members close to the head, of different components, that may be links.
+    """(head, u, v) of members close to the head, of different components, that may be links; one of them is loose.
 
     Let D be the shingles in which a member of n shingles differs from the head, d their number, and
     w = (100 + percent) d - (100 - percent) n. Links u, v have (w(u) + w(v)) / (2 (100 + percent)) of D in common, or
@@ -229,19 +232,21 @@ def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
     link shares (w + b) / (2 (100 + percent)) with one that isn't, and this (w - b) / (2 (100 + percent)).
     """
     p, q = 100 + percent, 100 - percent
-    rows = rows.select("head", "id", "n", "component", "linked", F.concat("outside", "missing").alias("d"), (q * F.col("nh")).alias("b"))
+    rows = rows.select("head", "id", "n", "component", "linked", "loose", F.concat("outside", "missing").alias("d"), (q * F.col("nh")).alias("b"))
     rows = _prefixes(rows.withColumn("w", p * F.size("d") - q * F.col("n")), "d")
     share = lambda x, over: F.ceil(x / over).cast("int")
-    side = lambda members, with_link, need: members.select("head", "id", "n", "w", "component", with_link.alias("with_link"), F.explode(_prefix("d", need)).alias("s"))
+    side = lambda members, need: members.select("head", "id", "n", "w", "component", "loose", F.explode(_prefix("d", need)).alias("s"))
     no_links = rows.where("not linked")
-    less = side(no_links, F.lit(False), share(F.col("w"), p))
-    alone = side(no_links, F.lit(True), share(F.col("w") - F.col("b"), 2 * p))
-    more = side(rows, F.col("linked"), share(F.col("w") + F.col("b"), 2 * p))
-    meet = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("head", "s", "with_link")]
-    near = (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-    ordered = F.col("a.with_link") | (F.col("a.w") <= F.col("b.w"))
-    met = less.union(alone).alias("a").join(more.alias("b"), meet[0] & meet[1] & meet[2] & near & ordered)
-    return met.select(F.col("a.head").alias("head"), F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
+    less, more = side(no_links, share(F.col("w"), p)), side(no_links, share(F.col("w") + F.col("b"), 2 * p))
+    alone, links = side(no_links.where("loose"), share(F.col("w") - F.col("b"), 2 * p)), side(rows.where("linked"), share(F.col("w") + F.col("b"), 2 * p))
+
+    def met(x: DataFrame, y: DataFrame, ordered: Column) -> DataFrame:
+        near = (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+        pairs = x.alias("a").join(y.alias("b"), (F.col("a.head") == F.col("b.head")) & (F.col("a.s") == F.col("b.s")) & near & ordered)
+        return pairs.select(F.col("a.head").alias("head"), F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
+
+    rising = F.col("a.w") <= F.col("b.w")
+    return met(less.where("loose"), more, rising).union(met(less, more.where("loose"), rising)).union(met(alone, links, F.lit(True))).distinct()
 
 
 def _apart(compared: DataFrame, buckets: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -250,9 +255,9 @@ def _apart(compared: DataFrame, buckets: DataFrame, groups: DataFrame, percent:
     With p = percent, a pair is a link where (100 + p) |u & v| >= p (nu + nv). Where both are close to the head, of size
     nh, |u & v| is nh less what u and what v lack of it, plus what both lack, plus what both have outside.
     """
-    members = buckets.where("id != first").join(groups, F.col("id") == F.col("node"), "left").select("key", "first", "id", F.coalesce("component", "id").alias("component"))
+    members = _members(buckets, groups).where("id != first")
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    apart = members.join(mixed, "key").select(F.col("first").alias("v"), F.col("id").alias("u"), "component").distinct()
+    apart = members.join(mixed, "key").select(F.col("first").alias("v"), F.col("id").alias("u"), "component", "loose").distinct()
     rows = written(compared.join(apart, ["u", "v"]).withColumnsRenamed({"v": "head", "u": "id", "nu": "n", "nv": "nh"}), "apart")
 
     d = rows.where("close")
@@ -263,11 +268,26 @@ def _apart(compared: DataFrame, buckets: DataFrame, groups: DataFrame, percent:
     links = pairs.where((100 + percent) * shared >= percent * (F.col("u_.n") + F.col("v_.n"))).select("u", "v").distinct()
 
     # a link shares percent * n / 100 - i of the shingles outside the head, one or more for the text that isn't close
-    s = _prefixes(rows.select("head", "id", "n", "i", "component", "close", "outside"), "outside")
-    s = s.select("head", "id", "n", "component", "close", F.explode(_prefix("outside", F.ceil((percent * F.col("n") - 100 * F.col("i")) / 100).cast("int"))).alias("s"))
-    near = (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-    far = s.alias("a").join(s.alias("b"), (F.col("a.head") == F.col("b.head")) & (F.col("a.s") == F.col("b.s")) & near & ~(F.col("a.close") & F.col("b.close")))
-    return links, far.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct().join(compared.select("u", "v"), ["u", "v"], "left_anti")
+    s = _prefixes(rows.select("head", "id", "n", "i", "component", "loose", "close", "outside"), "outside")
+    s = s.select("head", "id", "n", "component", "loose", "close", F.explode(_prefix("outside", F.ceil((percent * F.col("n") - 100 * F.col("i")) / 100).cast("int"))).alias("s"))
+    near = (F.col("a.id") != F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+    far = s.where("loose").alias("a").join(s.alias("b"), (F.col("a.head") == F.col("b.head")) & (F.col("a.s") == F.col("b.s")) & near & ~(F.col("a.close") & F.col("b.close")))
+    return links, far.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct().join(compared.select("u", "v"), ["u", "v"], "left_anti")
+
+
+def _members(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """``buckets`` (key, id, first) with the component of each member, and whether it is loose: of another component than the head."""
+    own = groups.select(F.col("node").alias("id"), "component")
+    rows = buckets.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    heads = groups.select(F.col("node").alias("first"), F.col("component").alias("top"))
+    return rows.join(heads, "first", "left").withColumn("loose", F.col("component") != F.coalesce("top", "first")).drop("top")
+
+
+def _next_heads(buckets: DataFrame, groups: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each loose member and the smallest loose one of its bucket, but for those ``tried`` already."""
+    loose = _members(buckets, groups).where("loose").select("key", "id")
+    heads = loose.groupBy("key").agg(F.min("id").alias("v"))
+    return loose.join(heads, "key").where("id != v").select(F.col("id").alias("u"), "v").distinct().join(tried, ["u", "v"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -292,6 +312,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(buckets.where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct(), "first")
     compared = written(_compared(first, texts, shingle, percent), "compared")
     groups = components(compared.where("linked").select("u", "v"))
+    tried, before = compared.select("u", "v"), None
+    while True:
+        pairs = written(_next_heads(buckets, groups, tried), "next")
+        n = pairs.count()
+        if not n or (before is not None and 10 * n > 9 * before):
+            break
+        found = written(_compared(pairs, texts, shingle, percent).select("u", "v", "linked"), "compared")
+        groups = components(found.where("linked").select("u", "v").union(groups.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        tried, before = tried.union(found.select("u", "v")), n
     more, second = _apart(compared, buckets, groups, percent)
     more, second = written(more, "links"), written(second, "second")
     if not second.isEmpty():
