@@ -4,26 +4,28 @@ Every word goes that lies in a stretch of ``min_words`` words which occurs earli
 smaller id, or before in the same document. A passage may begin and end inside a line, and is found in whatever lines
 it was put.
 
-1. Grams of GRAM words are hashed at every word. Where the least of WINDOW neighbouring grams stays the same, it is one
-   fingerprint with a range of places. A stretch of ``min_words`` words is GRAM + WINDOW - 1 words and holds just one
-   such window, so that all copies of the stretch have the same fingerprint.
-2. Where the whole range of a fingerprint occurs in a smaller document, all of its stretches occur earlier. Of the other
-   ranges those are left whose fingerprint is not the only one: they are joined back to their documents.
-3. In these ranges every stretch is hashed. Copies inside a document are found by sorting its own stretches, copies in
-   other documents by the smallest document that has the stretch.
+1. A stretch of ``min_words`` words holds WINDOW grams of GRAM words. The least of them, by the hash of its first two
+   words, is a fingerprint (winnowing), so that all copies of a stretch have one in common. Grams whose hash is among
+   the least of all are taken first, and the minima of windows that have none of these; of what is taken so, a gram goes
+   that lies between two lesser ones which no window parts.
+2. Where all words around a fingerprint that its stretches reach occur in a smaller document, all of these stretches
+   occur earlier. Of the others those are left whose fingerprint is not the only one: they are joined back to their
+   documents.
+3. There every stretch is hashed. Copies inside a document are found by sorting its own stretches, copies in other
+   documents by the smallest document that has the stretch.
 4. Words of stretches that occur earlier go. All of it is DataFrame operations on built-in functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let, words, written
 
-MIN_WORDS, WINDOW = 36, 16
+MIN_WORDS, WINDOW = 36, 29
+#: One gram in so many is taken as a fingerprint whatever stands beside it.
+RATE = 8
 _MARK = "\x01"
 
 
@@ -35,35 +37,62 @@ def cut_lines(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(_MARK)), F.split(text, r"(?<=\n)|(?<=[.!?] )")).otherwise(F.split(marked, _MARK))
 
 
+def count_lines(text: Column) -> Column:
+    """How many lines ``cut_lines`` gives."""
+    size = F.octet_length(text)
+    count = lambda end: F.floor((size - F.octet_length(F.replace(text, F.lit(end), F.lit("")))) / len(end))
+    return (1 + sum((count(end) for end in ("\n", ". ", "! ", "? ")), F.lit(0))).cast("int")
+
+
 def cut_words(text: Column) -> Column:
     """The words of a text, each with the blanks that follow it; blanks before the first word belong to none."""
     return F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
 
 
-def _over(x: Column, n: int, both: Callable[[Column, Column], Column], then: Callable[[Column], Column]) -> Column:
-    """``then`` of the array that has ``both`` folded over each ``n`` neighbours of ``x``, by doubling; the last two parts may overlap."""
+def fingerprints(h: Column, gram: int, window: int, rate: int = RATE) -> Column:
+    """The fingerprints of a document from the hashes of its words: an array of f (hash), a and b (first and last stretch), c (all words of these)."""
+    longest = 30  # bits of a place
+    reach = gram + window - 1
+    n = F.size(h) - (gram - 1)
+
+    def least(x: Column, size: int) -> Column:
+        """The least of each ``window`` neighbours, by doubling; the last two parts may overlap."""
+        if size == window:
+            return F.array_distinct(F.transform(x, lambda v: v.bitwiseAND(F.lit((1 << longest) - 1))))
+        by = min(size, window - size)
+        folded = F.transform(F.slice(x, F.lit(1), F.size(x) - by), lambda v, i: F.least(v, F.get(x, i + by)))
+        return let(folded, lambda y: least(y, size + by))
 
-    def step(part: Column, size: int) -> Column:
-        if size == n:
-            return then(part)
-        by = min(size, n - size)
-        folded = F.transform(F.slice(part, F.lit(1), F.greatest(F.lit(0), F.size(part) - by)), lambda v, i: both(v, F.get(part, i + by)))
-        return let(folded, lambda p: step(p, size + by))
+    def minima(keys: Column, after: Column, before: Column) -> Column:
+        """The places of window minima strictly between two places."""
+        own = F.transform(F.slice(keys, after + 2, before - after - 1), lambda k, i: F.shiftleft(F.shiftright(k, longest), longest).bitwiseOR(i.cast("long")))
+        return F.transform(let(own, lambda x: least(x, 1)), lambda i: i.cast("int") + after + 1)
 
-    return step(x, 1)
+    def taken(keys: Column) -> Column:
+        few = F.array_compact(F.transform(keys, lambda k, i: F.when((k < F.lit(-(2**63) + 2**64 // rate)) & (i < n), i)))
 
+        def filled(p: Column) -> Column:
+            each = lambda x, i: F.when(x - F.get(p, i - 1) > window, F.concat(minima(keys, F.get(p, i - 1), x), F.array(x))).otherwise(F.array(x))
+            return F.flatten(F.transform(p, lambda x, i: F.when(i == 0, F.array(x)).otherwise(each(x, i))))
 
-def fingerprints(g: Column, window: int = WINDOW) -> Column:
-    """The fingerprints of a document's grams: an array of f (hash), a and b (first and last window), c (all words of these), n (2 where f may repeat in them)."""
+        def thinned(p: Column) -> Column:
+            key = lambda i: F.get(keys, F.get(p, i))
+            lesser = lambda x, i: (F.get(keys, x) > key(i - 1)) & (F.get(keys, x) > key(i + 1)) & (F.get(p, i + 1) - F.get(p, i - 1) <= window)
+            return F.filter(p, lambda x, i: (x >= 0) & (x < n) & ~F.coalesce(lesser(x, i) & (F.get(p, i + 1) < n), F.lit(False)))
 
-    def ranges(least: Column, repeats: Column) -> Column:
-        starts = F.filter(F.transform(least, lambda f, i: F.struct(f.alias("f"), i.alias("a"))), lambda x, i: (i == 0) | (F.get(least, i - 1) != x["f"]))
-        ends = lambda s: F.transform(s, lambda x, i: F.struct(x["f"].alias("f"), x["a"].alias("a"), F.coalesce(F.get(s, i + 1)["a"], F.size(least)).alias("end")))
-        inside = lambda x: F.slice(g, x["a"] + 1, x["end"] - x["a"] + (window - 1))
-        twice = lambda x: F.when(repeats, F.size(F.array_distinct(inside(x))) < F.size(inside(x))).otherwise(F.lit(False))
-        return F.transform(let(starts, ends), lambda x: F.struct(x["f"].alias("f"), x["a"].alias("a"), (x["end"] - 1).alias("b"), F.xxhash64(inside(x)).alias("c"), (1 + twice(x).cast("int")).alias("n")))
+        ends = F.concat(F.array(F.lit(-1)), few, F.array(n))
+        places = let(let(ends, filled), thinned)
+        return F.transform(places, lambda x: print_(keys, x))
 
-    return let(F.size(F.array_distinct(g)) < F.size(g), lambda repeats: _over(g, window, F.least, lambda least: ranges(least, repeats)))
+    def print_(keys: Column, x: Column) -> Column:
+        """c covers the words from a on, two by two, up to the last that a stretch at b reaches, or a few more."""
+        f = F.xxhash64(*[F.get(h, x + i) for i in range(gram)])
+        c = lambda a: F.xxhash64(x - a, *[F.get(keys, a + i) for i in range(0, window - 1 + reach, 2)])
+        return let(F.greatest(F.lit(0), x - (window - 1)), lambda a: F.struct(f.alias("f"), a.alias("a"), F.least(x, n - window).alias("b"), c(a).alias("c")))
+
+    keys = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
+    none = F.array().cast("array<struct<f:bigint,a:int,b:int,c:bigint>>")
+    return F.when(n >= window, let(keys, taken)).otherwise(none)
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,21 +107,27 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """_pw_at and runs: for each document that has some, the runs of words (a to b) that occur earlier, in order. Ids must be unique."""
-    window = min(window, min_words)
-    gram = min_words - window + 1
+    window = max(1, min(window, min_words - 1))
     docs = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= 2 * min_words - 1)).select(F.col(id_col).alias("at"), F.col(text_col).alias("text"))
     hashed = F.transform(words(F.col("text")), lambda x: F.xxhash64(x))
-    grams = let(hashed, lambda h: _over(h, gram, lambda x, y: F.xxhash64(x, y), lambda g: g))
 
-    prints = docs.select("at", F.inline(let(grams, lambda g: fingerprints(g, window))))
+    prints = docs.select("at", F.inline(let(hashed, lambda h: fingerprints(h, min_words - window + 1, window))))
     prints = prints.withColumn("later", F.col("at") > F.min("at").over(Window.partitionBy("f", "c")))
-    prints = prints.withColumn("left", F.sum(F.when(F.col("later"), 0).otherwise(F.col("n"))).over(Window.partitionBy("f")))
+    prints = prints.withColumn("left", F.sum(F.when(F.col("later"), 0).otherwise(1)).over(Window.partitionBy("f")))
     ranges = written(prints.where("later or left > 1").select("at", "a", "b", "later"), "ranges")
-    hits = ranges.where("not later").groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("hits"))
+    span = F.struct("a", "b")
+    hits = ranges.groupBy("at").agg(F.collect_list(F.when(~F.col("later"), span)).alias("hits"), F.collect_list(F.when(F.col("later"), span)).alias("gone")).where(F.size("hits") > 0)
+
+    # what goes anyway needn't be looked at: the first document that has a stretch never has it there
+    each = lambda c: F.flatten(F.transform(c, lambda x: F.sequence(x["a"], x["b"])))
+    places = F.array_except(each("hits"), each("gone"))
+
+    def stretches_of(h: Column) -> Column:
+        pairs = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
+        rest = lambda p: [F.get(h, p + (min_words - 1))] if min_words % 2 else []
+        return let(pairs, lambda k: F.transform(places, lambda p: F.struct(F.xxhash64(*[F.get(k, p + i) for i in range(0, min_words - 1, 2)], *rest(p)).alias("c"), p.alias("p"))))
 
-    places = F.flatten(F.transform("hits", lambda x: F.sequence(x["a"], x["b"])))
-    stretch = lambda g: F.transform(places, lambda p: F.struct(F.xxhash64(F.get(g, p), F.get(g, p + (window - 1))).alias("c"), p.alias("p")))
-    in_order = docs.join(hits, "at").select("at", F.sort_array(let(grams, stretch)).alias("s"))
+    in_order = docs.join(hits, "at").select("at", F.sort_array(let(hashed, stretches_of)).alias("s"))
     again = lambda s, x, i: (i > 0) & (F.get(s, i - 1)["c"] == x["c"])
     own = lambda s: F.transform(F.filter(s, lambda x, i: again(s, x, i)), lambda x: x["p"])
     new = lambda s: F.filter(s, lambda x, i: (i == 0) | ~again(s, x, i))
@@ -135,7 +170,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     cut = let(cut_words(F.col(text_col)), lambda w: let(F.col("_pw_runs"), lambda r: kept(w, r)))
     out = out.withColumn("_pw_kept", F.when(F.col("_pw_runs").isNotNull(), cut).otherwise(F.col(text_col)))
-    n_lines = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(cut_lines(F.col(c)))).cast("long")
+    n_lines = lambda c: F.when(F.col(c).isNull(), 0).otherwise(count_lines(F.col(c))).cast("long")
     n_removed = F.when(F.col("_pw_runs").isNotNull(), n_lines(text_col) - n_lines("_pw_kept")).otherwise(F.lit(0)).cast("long")
     stats = F.struct(n_lines(text_col).alias("n_lines"), n_removed.alias("n_removed"), F.coalesce("_pw_runs", F.array().cast("array<struct<a:int,b:int>>")).alias("runs"))
     out = out.withColumn(out_col, stats).withColumn(text_col, F.col("_pw_kept"))

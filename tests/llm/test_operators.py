@@ -426,8 +426,9 @@ def test_line_dedup_on_copies_and_odd_rows(spark):
 
 def test_cut_lines_join_to_the_text(spark):
     texts = ["", "\n\n", "a. b! c? d", "x\x01y. z\n", "end. "]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.array_join(line_dedup.cut_lines(F.col("t")), "").alias("j")).collect()
-    assert all(r["t"] == r["j"] for r in got)
+    lines = line_dedup.cut_lines(F.col("t"))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.array_join(lines, "").alias("j"), F.size(lines).alias("n"), line_dedup.count_lines(F.col("t")).alias("m")).collect()
+    assert all(r["t"] == r["j"] and r["n"] == r["m"] for r in got)
 
 
 def lines_by_hand(texts: dict[int, str], n: int = 36) -> dict[int, str]:
