@@ -19,8 +19,17 @@ _END = regex.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+[」』”’
 _WORD_BEFORE = regex.compile(r"[\p{L}.]+$")
 
 
+#: Characters that may form one grapheme with what stands before or after them.
+_FUSES = regex.compile(r"[\p{M}\p{Cf}\u1100-\u11FF\U0001F1E6-\U0001F1FF]")
+
+
 def _size(s: str) -> int:
-    return len(s) if s.isascii() and "\r" not in s else len(regex.findall(r"\X", s))
+    return len(s) if s.isascii() and "\r" not in s else sum(1 for _ in regex.finditer(r"\X", s))
+
+
+def _size_with(left: str, n_left: int, more: str, n_more: int) -> int:
+    """The graphemes of ``left`` and ``more`` put together, from those of each; only where they may fuse are they counted."""
+    return _size(left + more) if _FUSES.match(left[-1]) or _FUSES.match(more[0]) else n_left + n_more
 
 
 def sentences(text: str) -> list[str]:
@@ -47,15 +56,16 @@ def _cut(text: str, config: ChunkConfig) -> list[str]:
     most, out = config.max_characters, []
     least = min(max(1, config.preferred_minimum), max(1, most - 1))
     marks = regex.findall(r"\X", text.strip())
-    while len(marks) > most:
-        at = next((i + 1 for i in range(most - 1, least - 1, -1) if marks[i] in CLAUSE_ENDS), 0)
-        at = at or next((i for i in range(most - 1, 0, -1) if marks[i].isspace()), 0) or most
-        if head := "".join(marks[:at]).strip():
+    start = 0
+    while len(marks) - start > most:
+        at = next((i + 1 for i in range(start + most - 1, start + least - 1, -1) if marks[i] in CLAUSE_ENDS), 0)
+        at = at or next((i for i in range(start + most - 1, start, -1) if marks[i].isspace()), 0) or start + most
+        if head := "".join(marks[start:at]).strip():
             out.append(head)
         while at < len(marks) and marks[at].isspace():
             at += 1
-        marks = marks[at:]
-    return [*out, "".join(marks)] if marks else out
+        start = at
+    return [*out, "".join(marks[start:])] if start < len(marks) else out
 
 
 def chunk_text(text: str | None, config: ChunkConfig) -> list[str]:
@@ -69,18 +79,20 @@ def chunk_text(text: str | None, config: ChunkConfig) -> list[str]:
         if _size(paragraph) <= config.max_characters:
             out.append(paragraph)
             continue
-        now = ""
+        now, size = "", 0
         for s in sentences(paragraph):
-            longer = now + _joint(now, s) + s if now else s
-            if _size(longer) <= config.max_characters:
-                now = longer
+            n = _size(s)
+            joint = _joint(now, s) if now else ""
+            longer = _size_with(now, size, joint + s, len(joint) + n) if now else n
+            if longer <= config.max_characters:
+                now, size = now + joint + s, longer
                 continue
             if now:
                 out.append(now)
-            now = s
-            if _size(s) > config.max_characters:
+            now, size = s, n
+            if n > config.max_characters:
                 out += _cut(s, config)
-                now = ""
+                now, size = "", 0
         if now:
             out.append(now)
     return out

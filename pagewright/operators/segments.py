@@ -9,6 +9,7 @@ from pagewright.config import ChunkConfig
 from pagewright.functions.chunks import chunks
 from pagewright.functions.ids import stable_id
 from pagewright.functions.text import graphemes
+from pagewright.operators.chapters import with_start
 
 PIECE = "struct<text:string,lo:int,hi:int,confidence:double,n:int>"
 
@@ -16,10 +17,11 @@ PIECE = "struct<text:string,lo:int,hi:int,confidence:double,n:int>"
 def pieces(pages: DataFrame, chapters: DataFrame, config: ChunkConfig) -> DataFrame:
     """book_id, chapter_order, title and the pieces (page order, then place) of each chapter; a chapter whose pages are missing is cut from its own text."""
     cut = pages.select("book_id", "page_index", "confidence", chunks(F.col("text"), config).alias("c"))
-    ranges = chapters.select("book_id", "chapter_order", "title", "page_lo", "page_hi")
-    inside = cut.join(ranges, "book_id").where("page_index between page_lo and page_hi")
+    starts = chapters.select("book_id", F.col("page_lo").alias("page_index"), "chapter_order", "title", "page_hi")
+    inside = with_start(cut, starts, "chapter_order", "title", "page_hi").where("page_index <= page_hi")
     of_pages = inside.select("book_id", "chapter_order", "title", F.col("page_index").alias("at"), F.posexplode("c").alias("i", "text"), F.col("page_index").cast("int").alias("lo"), F.col("page_index").cast("int").alias("hi"), "confidence")
-    bare = chapters.join(inside.select("book_id", "chapter_order").distinct(), ["book_id", "chapter_order"], "left_anti")
+    there = with_start(pages.select("book_id", "page_index"), starts, "chapter_order", "page_hi").where("page_index <= page_hi")
+    bare = chapters.join(there.select("book_id", "chapter_order").distinct(), ["book_id", "chapter_order"], "left_anti")
     of_text = bare.select("book_id", "chapter_order", "title", F.col("page_lo").alias("at"), F.posexplode(chunks(F.col("plain_text"), config)).alias("i", "text"), F.col("page_lo").cast("int").alias("lo"), F.col("page_hi").cast("int").alias("hi"), "confidence")
     return of_pages.unionByName(of_text)
 
