@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: White space: tab to carriage return, next line, and all separators. In the common part of Java's and RE2's syntax.
 WS = r"[\t-\r\x{85}\p{Z}]"
 NOT_WS = r"[^\t-\r\x{85}\p{Z}]"
-ALNUM = r"[\p{L}\p{M}\p{N}]"
+NOT_ALNUM = r"[^\p{L}\p{M}\p{N}]"
 CONTROL = r"[\x00-\x1F\x7F-\x{9F}\p{Cf}]"
 
 # ---- fixed values that results depend on
@@ -57,11 +57,12 @@ def at_most_graphemes(s: Column, n: int) -> Column:
 
 
 def visible_count(s: Column) -> Column:
-    return F.regexp_count(s, F.lit(NOT_WS))
+    """Code points that aren't white space; what is counted is the rest, of which texts have less."""
+    return F.length(s) - F.regexp_count(s, F.lit(WS))
 
 
 def alnum_count(s: Column) -> Column:
-    return F.regexp_count(s, F.lit(ALNUM))
+    return F.length(s) - F.regexp_count(s, F.lit(NOT_ALNUM))
 
 
 def normalize_newlines(s: Column) -> Column:

@@ -61,10 +61,11 @@ def page_clean(spark, sf_dir):
 
 def quality_policy(spark, sf_dir):
     odd = [F.col("text"), F.lit(""), F.lit("Short text"), F.repeat(F.lit("�"), F.lit(20)), F.lit("@@@ ### $$$ %%% !!!"), F.substring("text", 1, 60)]
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(*odd)).alias("variant", "native"), F.col("text").alias("ocr"))
     config = OcrConfig(native_text_threshold=60)
-    wins = policy.prefers_recognized(F.col("ocr"), F.lit(0.85), F.col("native"), config)
-    return rows.select("doc_id", "variant", policy.native_quality(F.col("native"), 60).alias("quality"), policy.should_recognize(F.col("native"), config).alias("asks"), wins.alias("prefers"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(*odd)).alias("variant", "native"), F.col("text").alias("ocr"))
+    rows = rows.withColumn("quality", policy.native_quality(F.col("native"), 60))
+    asks = policy.should_recognize(F.col("native"), config, F.col("quality"))
+    return rows.select("doc_id", "variant", "quality", asks.alias("asks"), policy.prefers_recognized(F.col("ocr"), F.lit(0.85), F.col("native"), config, F.col("quality")).alias("prefers"))
 
 
 def source_selection(spark, sf_dir):
@@ -227,7 +228,7 @@ def reading_edges(spark, sf_dir):
 
 def text_similarity(spark, sf_dir):
     d = _read(spark, sf_dir, "benchmark")
-    other = F.concat(F.lit("The  "), F.substring("text", 3, 400))
+    other = F.concat(F.lit("The  "), F.expr("substring(text, 3)"))
     return d.select("item_id", F.round(t.similarity(F.col("text"), other), 9).alias("similarity"))
 
 
@@ -407,9 +408,9 @@ SELECT book_id, page_index, CASE WHEN wins THEN ocr WHEN visible > 0 THEN native
 SELECT doc_id, coalesce(text, '') AS ocr_text, round(list_avg([(length(x) % 8) / 8.0::DOUBLE for x in string_split(coalesce(text, ''), chr(10))]), 9) AS ocr_confidence FROM documents""",
     "scanned": rf"""
 WITH p AS (SELECT conv_id AS book_id, turn, CASE WHEN turn > 2 THEN coalesce(text, '') ELSE 'x' END AS x FROM conversations),
-s AS (SELECT book_id, greatest(1, (max(turn) + 1) // 5) AS step FROM p GROUP BY book_id)
-SELECT p.book_id, avg((length_grapheme({_trim('x')}) < 30)::INT) >= 0.6 AS is_scanned
-FROM p JOIN s ON s.book_id = p.book_id WHERE turn % step = 0 AND turn // step < 5 GROUP BY p.book_id""",
+s AS (SELECT book_id, x, row_number() OVER (PARTITION BY book_id ORDER BY turn) - 1 AS nth, greatest(1, count(*) OVER (PARTITION BY book_id) // 5) AS step FROM p)
+SELECT book_id, avg((length_grapheme({_trim('x')}) < 30)::INT) >= 0.6 AS is_scanned
+FROM s WHERE nth % step = 0 AND nth // step < 5 GROUP BY book_id""",
     "edge_lines": f"WITH {_PAGES}, {_EDGES} SELECT * FROM edges",
     "book_cleanup": rf"""
 WITH {_PAGES}, {_EDGES}, {_GONE},
@@ -502,7 +503,7 @@ FROM w GROUP BY l_orderkey""",
 WITH e AS (SELECT l_partkey % 100 AS src, l_suppkey % 100 AS dst, l_linenumber / 8.0::DOUBLE AS confidence, l_returnflag AS reason FROM lineitem)
 SELECT src, dst, max(confidence) AS confidence, arg_min(reason, (-confidence, reason)) AS reason FROM e WHERE src != dst GROUP BY src, dst""",
     "text_similarity": rf"""
-WITH p AS (SELECT item_id, lower({_trim(f"regexp_replace(text, '{_W}+', ' ', 'g')")}) AS a, lower({_trim(f"regexp_replace('The  ' || text[3:402], '{_W}+', ' ', 'g')")}) AS b FROM benchmark)
+WITH p AS (SELECT item_id, lower({_trim(f"regexp_replace(text, '{_W}+', ' ', 'g')")}) AS a, lower({_trim(f"regexp_replace('The  ' || text[3:], '{_W}+', ' ', 'g')")}) AS b FROM benchmark)
 SELECT item_id, round(CASE WHEN a = b THEN 1.0 WHEN greatest(length(a), length(b)) > 512 THEN 0.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE END, 9) AS similarity FROM p""",
 }
 
