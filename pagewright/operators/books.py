@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import is_blank, trim, word_count
+from pagewright.sources.staging import staged
 
 
 def metadata(attributes: DataFrame) -> DataFrame:
@@ -48,20 +51,26 @@ def statistics(pages: DataFrame) -> DataFrame:
     )
 
 
-def flatten_outline(items: DataFrame) -> DataFrame:
+def flatten_outline(items: DataFrame, n_pages: DataFrame | None = None) -> DataFrame:
     """Outline rows (book_id, id, parent_id, position, title, page_index) with level, path id and pre-order source_order.
 
-    Roots have a null parent. A level is one join; there are as many as the deepest outline has. Blank titles become
-    Untitled, page numbers outside the book (``n_pages``, where given) null. Items in a cycle are not reachable and go.
+    Roots have a null parent. A level is one join, and levels are walked until one is empty, however deep an outline is;
+    each is written to the shared folder. Blank titles become Untitled; pages outside the book (``n_pages``: book_id,
+    n_pages) become null. Items in a cycle are not reachable and go.
     """
-    spark = items.sparkSession
-    items.createOrReplaceTempView("_outline_items")
-    walked = spark.sql("""
-        WITH RECURSIVE walk(book_id, id, level, path, sort_key) MAX RECURSION LEVEL 100 AS (
-          SELECT book_id, id, 0, concat('outline:', position), array(CAST(position AS INT)) FROM _outline_items WHERE parent_id IS NULL
-          UNION ALL
-          SELECT i.book_id, i.id, w.level + 1, concat(w.path, '/', i.position), array_append(w.sort_key, CAST(i.position AS INT))
-          FROM walk w JOIN _outline_items i ON i.book_id = w.book_id AND i.parent_id = w.id)
-        SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY sort_key) - 1 AS source_order FROM walk""")
+    items = staged(items.select("book_id", "id", "parent_id", F.col("position").cast("int").alias("position"), "title", "page_index"), "outline")
+    walk = items.where("parent_id is null").select("book_id", "id", F.lit(0).alias("level"), F.concat(F.lit("outline:"), "position").alias("path"), F.array("position").alias("sort_key"))
+    levels = [staged(walk, "level")]
+    children = items.where("parent_id is not null").select("book_id", F.col("id").alias("child"), F.col("parent_id").alias("id"), "position")
+    while not levels[-1].isEmpty():
+        below = levels[-1].join(children, ["book_id", "id"])
+        below = below.select("book_id", F.col("child").alias("id"), (F.col("level") + 1).alias("level"), F.concat("path", F.lit("/"), "position").alias("path"), F.array_append("sort_key", F.col("position")).alias("sort_key"))
+        levels.append(staged(below, "level"))
+    walked = reduce(DataFrame.union, levels)
+    walked = walked.withColumn("source_order", F.row_number().over(Window.partitionBy("book_id").orderBy("sort_key")) - 1).drop("sort_key")
     title = F.when(is_blank(F.col("title")), "Untitled").otherwise(trim(F.col("title")))
-    return walked.drop("sort_key").join(items.select("book_id", "id", "parent_id", title.alias("title"), "page_index"), ["book_id", "id"])
+    out = walked.join(items.select("book_id", "id", "parent_id", title.alias("title"), "page_index"), ["book_id", "id"])
+    if n_pages is None:
+        return out
+    inside = F.when((F.col("page_index") >= 0) & (F.col("page_index") < F.col("_n")), F.col("page_index"))
+    return out.join(n_pages.select("book_id", F.col("n_pages").alias("_n")), "book_id", "left").withColumn("page_index", inside).drop("_n")

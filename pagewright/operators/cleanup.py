@@ -6,6 +6,8 @@ windows and groups are within one book.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +68,13 @@ def required_pages(n_pages: Column) -> Column:
 def _recurring(candidates: DataFrame, group: list[str], required: Column, geometry: bool) -> DataFrame:
     """Candidates of groups on enough pages. Where enough of those have geometry, only the densest band of heights counts."""
     by = Window.partitionBy("book_id", *group)
+    keys = ["book_id", *group]
+    counts = candidates.groupBy(*keys).agg(F.count_distinct("page_index").alias("_pages"), F.count_distinct(F.when(F.col("mid_y").isNotNull(), F.col("page_index"))).alias("_placed"))
+    same = reduce(lambda a, b: a & b, [F.col(f"c.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
+    seen = candidates.alias("c").join(counts.alias("n"), same).select("c.*", "n._pages", "n._placed")
     if not geometry:
-        seen = candidates.withColumn("_pages", F.size(F.collect_set("page_index").over(by)))
-        return seen.where(F.col("_pages") >= required).drop("_pages")
-    pages_of = lambda cond: F.size(F.collect_set(F.when(cond, F.col("page_index"))).over(by))
-    seen = candidates.withColumn("_pages", pages_of(F.lit(True))).withColumn("_placed", pages_of(F.col("mid_y").isNotNull())).withColumn("_required", required)
+        return seen.where(F.col("_pages") >= required).drop("_pages", "_placed")
+    seen = seen.withColumn("_required", required)
     seen = seen.where("_pages >= _required")
     text_only = seen.where("_placed < _required").drop("_pages", "_placed", "_required")
     placed = seen.where("_placed >= _required and mid_y is not null")
