@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.config import OcrConfig
 from pagewright.functions import geometry as g
 from pagewright.functions import text as t
 from pagewright.functions.ids import stable_id
-from pagewright.operators import blocks, books, chapters, cleanup, policy, segments
+from pagewright.operators import assembly, blocks, books, chapters, cleanup, columns, complexity, layout, lines, paragraphs, policy, reading, regions, roles, segments
 from pagewright.sources.adapters import PAGES_PER_BOOK, conversation_pages, document_pages
 from pagewright.sources.staging import staged
 
@@ -221,6 +221,95 @@ def block_backtracks(spark, sf_dir):
     return blocks.backtracks(_blocks(spark, sf_dir)).drop("book_id")
 
 
+def _fragments(spark, sf_dir):
+    """Line items as positioned fragments: an order is a page, and a fragment says its part and how it is shipped."""
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").distinct()
+    order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    rows = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", _rect_of_item().alias("rect"), order.alias("at"))
+    said = F.concat(F.lit("Part "), "l_partkey", F.lit(" of "), "l_returnflag", F.when(F.col("l_linestatus") == "O", ".").otherwise(""))
+    size = F.when(F.col("l_suppkey") % 5 == 0, 14.0).otherwise(10.0)
+    return rows.select(F.lit(0).alias("book_id"), F.col("l_orderkey").cast("int").alias("page_index"), F.col("at").alias("fragment_id"), said.alias("text"), "rect", F.col("at").alias("source_order"), size.alias("font_size"), (F.col("l_suppkey") % 7 == 0).alias("is_bold"), F.lit("native").alias("source"), F.lit(1.0).alias("confidence"))
+
+
+def page_gaps(spark, sf_dir):
+    return columns.longest_interior_gap(lines.valid_fragments(_fragments(spark, sf_dir))).drop("book_id")
+
+
+def page_gutters(spark, sf_dir):
+    """Every gutter that two rows give, or one."""
+    g = columns.gutters(lines.valid_fragments(_fragments(spark, sf_dir)).withColumnRenamed("fragment_id", "line_id"), least_rows=1)
+    six = lambda c: F.round(c, 6).alias(c)
+    return g.select("page_index", six("min_x"), six("max_x"), six("y_lo"), six("y_hi"))
+
+
+def page_inventories(spark, sf_dir):
+    d = _read(spark, sf_dir, "benchmark")
+    return d.select("item_id", layout.inventory(F.col("text")).alias("inventory"))
+
+
+def fragment_widths(spark, sf_dir):
+    f = lines.valid_fragments(_fragments(spark, sf_dir))
+    return f.select("page_index", "fragment_id", F.round(lines.character_width(F.col("text"), F.col("rect")), 9).alias("width"), roles.begins_reference(F.col("text")).alias("is_note"), assembly.begins_list_item(F.col("text")).alias("is_item"), paragraphs.ends_sentence(F.col("text")).alias("ends"), paragraphs.is_prose(F.col("text")).alias("is_prose"))
+
+
+def note_marks(spark, sf_dir):
+    """How the beginnings and ends of lines are read, with marks planted before and behind them."""
+    kinds = ["{}", "12) {}", "• {}", "a. {}", "* {}", "// {}", "{}.”", "{};", "- {}", "†{}", "{} —"]
+    d = _read(spark, sf_dir, "benchmark")
+    rows = d.select("item_id", F.posexplode(F.array(*[F.concat(F.lit(k.partition("{}")[0]), F.col("text"), F.lit(k.partition("{}")[2])) for k in kinds])).alias("kind", "line"))
+    x = F.col("line")
+    return rows.select("item_id", "kind", roles.begins_reference(x).alias("is_note"), assembly.begins_list_item(x).alias("is_item"), paragraphs.ends_sentence(x).alias("ends"), paragraphs.is_prose(x).alias("is_prose"), roles.visible(x).alias("n_visible"))
+
+
+def column_serials(spark, sf_dir):
+    """Whether suppliers as columns follow each other in the order of an order's lines."""
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    members = li.select(F.lit(0).alias("book_id"), F.col("l_orderkey").alias("page_index"), F.lit(0).alias("region_id"), (F.col("l_suppkey") % 3).alias("column_id"), g.rect((F.col("l_suppkey") % 3).cast("double"), F.lit(0.0), F.lit(0.3), F.lit(1.0)).alias("rect"), F.col("l_linenumber").alias("source_order"))
+    return columns.columns_follow_source(members).select("page_index", "serial")
+
+
+def page_complexity(spark, sf_dir):
+    a = complexity.assess(_fragments(spark, sf_dir))
+    return a.select("page_index", *[F.round(c, 6).alias(c) if c in ("interior_gap", "lane_gap", "median_w", "median_h", "short_share") else c for c in complexity.FEATURES], "complexity", F.round("confidence", 6).alias("confidence"), "analyzes")
+
+
+def layout_lines(spark, sf_dir):
+    f = _fragments(spark, sf_dir)
+    return lines.build_lines(f).select("page_index", "line_id", F.size("fragment_ids").alias("n_fragments"), "text", "rtl")
+
+
+def layout_blocks(spark, sf_dir):
+    return _layout_blocks(spark, sf_dir).select("page_index", "block_id", "text", "n_lines", "is_bold")
+
+
+def _layout_blocks(spark, sf_dir):
+    return staged(assembly.build_blocks(staged(lines.build_lines(_fragments(spark, sf_dir)), "lines")), "blocks")
+
+
+def layout_regions(spark, sf_dir):
+    areas, _ = regions.regions(_layout_blocks(spark, sf_dir))
+    return areas.select("page_index", "region_id", "kind", F.round("confidence", 6).alias("confidence"), "primary_ids", "sidebar_ids", "spanning_ids")
+
+
+def layout_roles(spark, sf_dir):
+    b = _layout_blocks(spark, sf_dir)
+    return roles.assign_roles(b, regions.sidebars(b)).select("page_index", "block_id", "role", F.round("confidence", 6).alias("confidence"))
+
+
+def layout_order(spark, sf_dir):
+    b = _layout_blocks(spark, sf_dir)
+    areas, own = regions.regions(b)
+    assigned = staged(roles.assign_roles(b, regions.sidebars(b)), "roles")
+    o = reading.reading_order(b, areas, staged(own, "columns"), assigned, roles.hints(b, assigned))
+    return o.select("page_index", "ordered_ids", F.size("removed").alias("n_removed"), "n_conflicts", F.round("confidence", 6).alias("confidence"), "used_fallback")
+
+
+def layout_decisions(spark, sf_dir):
+    f = staged(_fragments(spark, sf_dir), "fragments")
+    decisions, _ = layout.analyze(f.select("book_id", "page_index").distinct(), f)
+    return decisions.select("page_index", "decision", "reason", "text")
+
+
 def reading_edges(spark, sf_dir):
     li = _read(spark, sf_dir, "lineitem")
     return blocks.distinct_edges(li.select((F.col("l_partkey") % 100).alias("src"), (F.col("l_suppkey") % 100).alias("dst"), (F.col("l_linenumber") / 8.0).alias("confidence"), F.col("l_returnflag").alias("reason")))
@@ -247,6 +336,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         page_clean, quality_policy, source_selection, recognized_text, scanned, edge_lines, book_cleanup, chapters_by_heading, chapters_by_outline, chapters_by_bucket, book_statistics, book_text,
         latest_turns, book_metadata, outline_walk, line_signatures, page_numbers, html_pages, stable_ids, table_rows, rect_unions, rect_conflicts, rect_normalized, block_neighbours, block_rows, block_backtracks, reading_edges, text_similarity, speech_segments, speech_segments_by_page,
+        page_gaps, page_gutters, page_inventories, fragment_widths, note_marks, column_serials, page_complexity, layout_lines, layout_blocks, layout_regions, layout_roles, layout_order, layout_decisions,
     )
 }
 
@@ -379,7 +469,38 @@ blocks AS (
          (l_partkey % 300) / 1000.0::DOUBLE AS w, (l_suppkey % 40 + 10) / 1000.0::DOUBLE AS h
   FROM lineitem WHERE l_partkey % 300 > 0)"""
 
+_FRAGMENTS = """
+items AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus FROM lineitem),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS nth FROM items),
+fragments AS (
+  SELECT l_orderkey::INT AS page_index, nth::INT AS fragment_id, (l_partkey % 700) / 1000.0::DOUBLE AS x, (l_suppkey % 90) * 10 / 1000.0::DOUBLE AS y,
+         (l_partkey % 300) / 1000.0::DOUBLE AS w, (l_suppkey % 40 + 10) / 1000.0::DOUBLE AS h,
+         'Part ' || l_partkey || ' of ' || l_returnflag || CASE WHEN l_linestatus = 'O' THEN '.' ELSE '' END AS text
+  FROM numbered WHERE l_partkey % 300 > 0)"""
+_MARKS = r"""regexp_matches(trimmed, '^[\p{N}*†‡]') AS is_note, regexp_matches(trimmed, '^([•◦▪▫‣⁃*–—-]|\p{N}{1,4}[.)\]:]|\p{L}[.)])') AS is_item,
+regexp_matches(trimmed, '[.!?…。！？]["''’”»)\]}]*$') AS ends,
+trimmed != '' AND NOT regexp_matches(trimmed, '[{}]|;$|^(//|```|#|[•◦▪▫‣⁃])|^[*–—-]([\t-\r\p{Z}]|$)|^(\p{N}+|\p{L})[.)\]:]([\t-\r\p{Z}]|$)') AS is_prose"""
+
 SQL: dict[str, str] = {
+    "page_gaps": f"""
+WITH {_FRAGMENTS}, strips AS (
+  SELECT DISTINCT page_index, unnest(range(least(63, floor(x * 64)::INT), least(63, floor(greatest(x, x + w - 0.000001::DOUBLE) * 64)::INT) + 1)) AS strip FROM fragments),
+steps AS (SELECT page_index, strip - lag(strip) OVER (PARTITION BY page_index ORDER BY strip) - 1 AS empty FROM strips)
+SELECT page_index, coalesce(max(empty), 0) / 64.0::DOUBLE AS gap FROM steps GROUP BY page_index""",
+    "fragment_widths": rf"""
+WITH {_FRAGMENTS}, t AS (SELECT *, text AS trimmed FROM fragments)
+SELECT page_index, fragment_id, round(greatest(0.001::DOUBLE, w / greatest(1, length(replace(text, ' ', '')))), 9) AS width, {_MARKS} FROM t""",
+    "note_marks": rf"""
+WITH v AS (
+  SELECT item_id, unnest([text, '12) ' || text, '• ' || text, 'a. ' || text, '* ' || text, '// ' || text, text || '.”', text || ';', '- ' || text, '†' || text, text || ' —']) AS line, unnest(range(11))::INT AS kind FROM benchmark),
+t AS (SELECT *, {_trim('line')} AS trimmed FROM v)
+SELECT item_id, kind, {_MARKS}, len(regexp_extract_all(line, '{_NW}'))::INT AS n_visible FROM t""",
+    "page_inventories": r"""
+SELECT item_id, array_to_string(list_sort(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]')), '') AS inventory FROM benchmark""",
+    "column_serials": """
+WITH c AS (SELECT l_orderkey, l_suppkey % 3 AS k, min(l_linenumber) AS lo, max(l_linenumber) AS hi FROM lineitem GROUP BY 1, 2),
+w AS (SELECT l_orderkey, coalesce(lag(hi) OVER o < lo, true) AS up, coalesce(lag(lo) OVER o > hi, true) AS down FROM c WINDOW o AS (PARTITION BY l_orderkey ORDER BY k))
+SELECT l_orderkey AS page_index, bool_and(up) OR bool_and(down) AS serial FROM w GROUP BY l_orderkey""",
     "page_clean": f"WITH {_PAGES} SELECT book_id, page_index, text, {_words('text')}::INT AS n_words FROM pages_in",
     "quality_policy": rf"""
 WITH v AS (
