@@ -5,15 +5,13 @@
 3. Buckets of equal band keys are divided by size: any two sizes that a link may have meet in one of them, and none is
    more than (100 / percent) ** 2 times another. In every bucket all members are compared with the smallest, its head: linear in the bucket.
    A candidate pair is a link only after its whole shingle sets have been compared.
-4. Of members that the components leave apart from the head, the smallest is the bucket's next head, with which the others
-   are compared, as long as that joins a tenth of them or more. In a group of copies that are just not alike enough to
-   one head, most are linked to another.
-5. Members u, v of a bucket that are still apart are decided by what they share beside its head R.
+4. Members u, v of a bucket that the first components leave apart are decided by what they share beside its head R.
    Where both are close to R, a link must share some of the shingles in which they differ from R; where u or v has
    little in common with R, some of the shingles outside R. How many is known from sizes, so that a prefix of these
    shingles must meet, in the order of how many members hold a shingle: what most of them share is met last, if at
-   all. Pairs that meet are decided exactly, by their differences from R or on full sets.
-6. Links meet in union-find forests, first inside each partition, then across partitions by star contraction.
+   all. Sketches of the differences, a few words a text, then bound what a pair can have in common. Pairs that are left
+   are decided exactly, by their differences from R or on full sets.
+5. Links meet in union-find forests, first inside each partition, then across partitions by star contraction.
 """
 
 from __future__ import annotations
@@ -221,6 +219,17 @@ def _prefix(items: str, need: Column) -> Column:
     return F.transform(prefix, lambda x: x["s"])
 
 
+#: Words of 64 bits in a sketch.
+SKETCH = 8
+
+
+def _sketch(items: Column) -> Column:
+    """A bit for each item, of SKETCH * 64: a bit that one sketch has and another lacks stands for an item that the other set lacks."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 3).bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda j: F.aggregate(items, F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(F.lit(SKETCH - 1)) == j, a.bitwiseOR(bit(x))).otherwise(a))
+    return F.array(*[word(j) for j in range(SKETCH)])
+
+
 def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(head, u, v) of members close to the head, of different components, that may be links; one of them is loose.
 
@@ -233,16 +242,18 @@ def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """
     p, q = 100 + percent, 100 - percent
     rows = rows.select("head", "id", "n", "component", "linked", "loose", F.concat("outside", "missing").alias("d"), (q * F.col("nh")).alias("b"))
-    rows = _prefixes(rows.withColumn("w", p * F.size("d") - q * F.col("n")), "d")
+    rows = _prefixes(rows.withColumns({"w": p * F.size("d") - q * F.col("n"), "sketch": _sketch(F.col("d"))}), "d")
     share = lambda x, over: F.ceil(x / over).cast("int")
-    side = lambda members, need: members.select("head", "id", "n", "w", "component", "loose", F.explode(_prefix("d", need)).alias("s"))
+    side = lambda members, need: members.select("head", "id", "n", "w", "component", "loose", "sketch", F.size("d").alias("size"), F.explode(_prefix("d", need)).alias("s"))
     no_links = rows.where("not linked")
     less, more = side(no_links, share(F.col("w"), p)), side(no_links, share(F.col("w") + F.col("b"), 2 * p))
     alone, links = side(no_links.where("loose"), share(F.col("w") - F.col("b"), 2 * p)), side(rows.where("linked"), share(F.col("w") + F.col("b"), 2 * p))
 
     def met(x: DataFrame, y: DataFrame, ordered: Column) -> DataFrame:
         near = (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-        pairs = x.alias("a").join(y.alias("b"), (F.col("a.head") == F.col("b.head")) & (F.col("a.s") == F.col("b.s")) & near & ordered)
+        lacks = lambda i, j: sum((F.bit_count(F.get(f"{i}.sketch", F.lit(k)).bitwiseAND(F.bitwise_not(F.get(f"{j}.sketch", F.lit(k))))) for k in range(SKETCH)), F.lit(0))
+        at_most = F.least(F.col("a.size") - lacks("a", "b"), F.col("b.size") - lacks("b", "a"))
+        pairs = x.alias("a").join(y.alias("b"), (F.col("a.head") == F.col("b.head")) & (F.col("a.s") == F.col("b.s")) & near & ordered & (2 * p * at_most >= F.col("a.w") + F.col("b.w")))
         return pairs.select(F.col("a.head").alias("head"), F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
 
     rising = F.col("a.w") <= F.col("b.w")
@@ -283,13 +294,6 @@ def _members(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(heads, "first", "left").withColumn("loose", F.col("component") != F.coalesce("top", "first")).drop("top")
 
 
-def _next_heads(buckets: DataFrame, groups: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs (u, v) of each loose member and the smallest loose one of its bucket, but for those ``tried`` already."""
-    loose = _members(buckets, groups).where("loose").select("key", "id")
-    heads = loose.groupBy("key").agg(F.min("id").alias("v"))
-    return loose.join(heads, "key").where("id != v").select(F.col("id").alias("u"), "v").distinct().join(tried, ["u", "v"], "left_anti")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row for each id: id, n_shingles, component_id (the smallest id reachable over links, itself included), kept.
 
@@ -312,15 +316,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(buckets.where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct(), "first")
     compared = written(_compared(first, texts, shingle, percent), "compared")
     groups = components(compared.where("linked").select("u", "v"))
-    tried, before = compared.select("u", "v"), None
-    while True:
-        pairs = written(_next_heads(buckets, groups, tried), "next")
-        n = pairs.count()
-        if not n or (before is not None and 10 * n > 9 * before):
-            break
-        found = written(_compared(pairs, texts, shingle, percent).select("u", "v", "linked"), "compared")
-        groups = components(found.where("linked").select("u", "v").union(groups.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-        tried, before = tried.union(found.select("u", "v")), n
     more, second = _apart(compared, buckets, groups, percent)
     more, second = written(more, "links"), written(second, "second")
     if not second.isEmpty():
