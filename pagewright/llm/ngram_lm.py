@@ -96,7 +96,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of other characters than blanks, in lower case; n-grams don't cross documents. A null or blank text
     has no words and zeros throughout. Repeated rows are documents of their own, and so is each row with a null id.
-    Other columns are not read. An empty table gives an empty result. A document must fit in a task.
+    Other columns are not read. An empty table gives an empty result. A document must fit in a task; equal rows, with one
+    id and one text, are in one block, which then holds all of them.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")).first()
@@ -104,7 +105,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_blocks = max(1, -(-int(size["chars"] or 0) // block_chars))
     bits = max(1, (n_blocks - 1).bit_length())
     kind = rows.schema["id"].dataType.simpleString()
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(n_blocks)).cast("int"))
+    # by the text as well, so that rows without an id or with one id spread over the blocks
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
 
     def count(table: pa.Table) -> pa.Table:
         _, levels = block_ngrams(table.column("text").to_pylist(), order)

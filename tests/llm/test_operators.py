@@ -389,6 +389,25 @@ def test_language_model_on_odd_rows(spark):
             total += np.log(c / others if c else 1 / (others + 1)) + (np.log(0.4) if h is not None else 0)
         return total
 
+    three = Counter(g for x in words.values() for g in zip(x, x[1:], x[2:], strict=False))
+
+    def score_three(d):
+        w, own1, own2, own3 = words[d], Counter(words[d]), Counter(itertools.pairwise(words[d])), Counter(zip(words[d], words[d][1:], words[d][2:], strict=False))
+        others, total = sum(one.values()) - len(w), 0.0
+        for i, x in enumerate(w):
+            rest3 = three[tuple(w[i - 2 : i + 1])] - own3[tuple(w[i - 2 : i + 1])] if i > 1 else 0
+            rest2 = two[w[i - 1], x] - own2[w[i - 1], x] if i else 0
+            rest1 = one[x] - own1[x]
+            if rest3:
+                total += np.log(rest3 / (two[w[i - 2], w[i - 1]] - own2[w[i - 2], w[i - 1]]))
+            elif rest2:
+                total += (np.log(0.4) if i > 1 else 0) + np.log(rest2 / (one[w[i - 1]] - own1[w[i - 1]]))
+            else:
+                total += min(i, 2) * np.log(0.4) + np.log(rest1 / others if rest1 else 1 / (others + 1))
+        return total
+
+    for r in ngram_lm.score_documents(docs, order=3).collect():
+        assert r["log_score"] == pytest.approx(score_three(r["doc_id"]))
     for block_chars in (12_000_000, 5):
         got = {r["doc_id"]: r for r in ngram_lm.score_documents(docs, block_chars=block_chars).collect()}
         assert {d: r["n_words"] for d, r in got.items()} == {d: len(x) for d, x in words.items()}
