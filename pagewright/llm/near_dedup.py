@@ -261,14 +261,16 @@ def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart(compared: DataFrame, buckets: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links, and pairs that may be links, (u, v) of a bucket beside its head and of different components.
+    """Links, and pairs that may be links, (u, v) of a bucket beside its head and of different components; one is loose, of another than the head.
 
     With p = percent, a pair is a link where (100 + p) |u & v| >= p (nu + nv). Where both are close to the head, of size
     nh, |u & v| is nh less what u and what v lack of it, plus what both lack, plus what both have outside.
     """
-    members = _members(buckets, groups).where("id != first")
+    members = buckets.where("id != first").join(groups, F.col("id") == F.col("node"), "left").select("key", "first", "id", F.coalesce("component", "id").alias("component"))
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    apart = members.join(mixed, "key").select(F.col("first").alias("v"), F.col("id").alias("u"), "component", "loose").distinct()
+    apart = members.join(mixed, "key").select(F.col("first").alias("v"), F.col("id").alias("u"), "component").distinct()
+    heads = groups.select(F.col("node").alias("v"), F.col("component").alias("top"))
+    apart = apart.join(heads, "v", "left").withColumn("loose", F.col("component") != F.coalesce("top", "v")).drop("top")
     rows = written(compared.join(apart, ["u", "v"]).withColumnsRenamed({"v": "head", "u": "id", "nu": "n", "nv": "nh"}), "apart")
 
     d = rows.where("close")
@@ -286,14 +288,6 @@ def _apart(compared: DataFrame, buckets: DataFrame, groups: DataFrame, percent:
     return links, far.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct().join(compared.select("u", "v"), ["u", "v"], "left_anti")
 
 
-def _members(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """``buckets`` (key, id, first) with the component of each member, and whether it is loose: of another component than the head."""
-    own = groups.select(F.col("node").alias("id"), "component")
-    rows = buckets.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    heads = groups.select(F.col("node").alias("first"), F.col("component").alias("top"))
-    return rows.join(heads, "first", "left").withColumn("loose", F.col("component") != F.coalesce("top", "first")).drop("top")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row for each id: id, n_shingles, component_id (the smallest id reachable over links, itself included), kept.
 
