@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 WS = r"[\t-\r\x{85}\p{Z}]"
 NOT_WS = r"[^\t-\r\x{85}\p{Z}]"
 NOT_ALNUM = r"[^\p{L}\p{M}\p{N}]"
-CONTROL = r"[\x00-\x1F\x7F-\x{9F}\p{Cf}]"
 
 # ---- fixed values that results depend on
 LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
@@ -196,9 +195,3 @@ def similarity(a: Column, b: Column) -> Column:
     a, b = (F.lower(table_cell(x)) for x in (a, b))
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(a == b, F.lit(1.0)).when(longest > 512, F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)
-
-
-def is_rtl(s: Column) -> Column:
-    """Whether right-to-left letters outnumber other letters and digits."""
-    rtl = F.regexp_count(s, F.lit(r"[\x{590}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]"))
-    return rtl > F.regexp_count(s, F.lit(r"[\p{L}\p{N}]")) - rtl
