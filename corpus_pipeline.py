@@ -44,7 +44,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (shingles of five words, 0.8); rows without an id stay."""
+    """The document with the smallest id of each group of near duplicates (shingles of five words, 0.8); rows without an id stay.
+
+    At five words each edited word breaks five shingles, so that only copies with few edits for their length are linked.
+    """
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
