@@ -12,6 +12,7 @@ from .bpe import decode_documents, encode_documents
 from .chat_format import canonical_turns, conversation_records, format_conversations, read_back
 from .common import read_table
 from .fingerprints import fingerprint_edits
+from .hard_negatives import mine_hard_negatives
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -88,6 +89,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(read_table(spark, sf_dir, "embeddings").withColumn("label", label), anchor=F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bt_quality": op1_bt_quality,
     "op2_byte_bpe": op2_byte_bpe,
@@ -99,10 +105,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": sql.CHAT_FORMAT,
     "op6_ngram_lm": sql.NGRAM_LM,
     "op8_warc": sql.WARC,
     "op10_quality_rules": sql.QUALITY_RULES,
+    "op11_hard_negatives": sql.HARD_NEGATIVES,
 }
