@@ -17,6 +17,7 @@ from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import apply_rules
+from .substring_dedup import remove_repeats
 from .warc import archive_pages, merged_index, read_archives
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -94,6 +95,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_hard_negatives(read_table(spark, sf_dir, "embeddings").withColumn("label", label), anchor=F.col("vec_id") % 50 == 0)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bt_quality": op1_bt_quality,
     "op2_byte_bpe": op2_byte_bpe,
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": sql.CHAT_FORMAT,
@@ -113,4 +120,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_warc": sql.WARC,
     "op10_quality_rules": sql.QUALITY_RULES,
     "op11_hard_negatives": sql.HARD_NEGATIVES,
+    "op12_substring_dedup": sql.SUBSTRING_DEDUP,
 }

@@ -116,3 +116,16 @@ SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, po
        id AS negative_id, positive_score, score AS negative_score, positive_rank
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY rank <= 3"""
+
+SUBSTRING_DEDUP = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35),
+k AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS k FROM s),
+r AS (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS c FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM r WHERE c > 1),
+b AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+x AS (
+  SELECT b.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY b.i) FILTER (WHERE g.i IS NULL) AS kept
+  FROM b LEFT JOIN g ON g.doc_id = b.doc_id AND g.i = b.i GROUP BY b.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id"""
