@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import bt_quality, ngram_lm, sql
 from .bpe import decode_documents, encode_documents
 from .chat_format import canonical_turns, conversation_records, format_conversations, read_back
+from .collocations import collocations
 from .common import read_table
 from .fingerprints import fingerprint_edits
 from .hard_negatives import mine_hard_negatives
@@ -100,6 +101,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bt_quality": op1_bt_quality,
     "op2_byte_bpe": op2_byte_bpe,
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_collocations": op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": sql.CHAT_FORMAT,
@@ -121,4 +127,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_quality_rules": sql.QUALITY_RULES,
     "op11_hard_negatives": sql.HARD_NEGATIVES,
     "op12_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op13_collocations": sql.COLLOCATIONS,
 }

@@ -129,3 +129,34 @@ x AS (
   FROM b LEFT JOIN g ON g.doc_id = b.doc_id AND g.i = b.i GROUP BY b.doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN x ON x.doc_id = d.doc_id"""
+
+COLLOCATIONS = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i
+  FROM w, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(w) >= k),
+f AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+u AS (
+  SELECT c.lang, c.phrase, c.k, a, w, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT u.lang, u.phrase, a, cut, x.f AS l, y.f AS r, n,
+         ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM u JOIN t ON t.lang = u.lang
+  JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+  JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, cut) = 1),
+i AS (
+  SELECT lang, array_to_string(w[b:b + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, k, m, unnest(range(1, k - m + 2)) AS b FROM c, (VALUES (2), (3), (4)) v(m) WHERE m < k) GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank,
+       s.phrase, a, l, r, n, score, cut::BIGINT AS cut
+FROM s LEFT JOIN i ON i.lang = s.lang AND i.phrase = s.phrase
+WHERE longer IS NULL OR 100 * longer < 100 * a
+QUALIFY rank <= 2000"""
