@@ -180,7 +180,7 @@ def _frequent_buckets(counted: DataFrame, min_count: int) -> np.ndarray:
     while most > 1:
         groups = -(-most // SUMMED)
         spread = F.pmod(F.xxhash64("task"), F.lit(groups))
-        tasks = tasks.groupBy("share", spread.alias("task")).applyInArrow(added, "share int, task long, counts binary")
+        tasks = tasks.withColumn("task", spread).groupBy("share", "task").applyInArrow(added, "share int, task long, counts binary")
         if groups > 1:
             tasks = written(tasks, "buckets")
         most = groups
