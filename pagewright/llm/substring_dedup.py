@@ -26,8 +26,9 @@ from .common import written
 
 #: Words of a window.
 WINDOW = 35
-#: Rounds: runs become one symbol, or pairs do. Runs are rare, and their rounds cost a symbol at either end of a core.
-ROUNDS = ("runs", "pairs", "pairs", "pairs", "runs", "pairs", "pairs", "pairs")
+#: Rounds: runs become one symbol, or pairs do. A round of runs costs each core a symbol at either end. After more rounds
+#: symbols are longer, but cores have fewer of them, and windows side by side share their longest one less often.
+ROUNDS = ("runs", "pairs", "pairs", "pairs", "pairs", "pairs")
 #: An anchor of fewer words tells too little; the window's own hash takes its place.
 SHORTEST = 4
 #: Words that are renamed at once; a longer text is one piece.
@@ -133,6 +134,11 @@ def anchors(h: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray,
     f = _mix(name[group] + level[group].astype(_U) * _GOLD)
     alone = short[group]
     f[alone] = _Stretches(h, _OTHER).of(a[alone], a[alone] + window)
+    # windows of the same words one after the other, inside a run of one word: all but the first are one range, of the first one's kind
+    again = np.r_[False, alone[1:] & alone[:-1] & (f[1:] == f[:-1]) & (c[1:] == c[:-1]) & (a[1:] == a[:-1] + 1) & (text[group][1:] == text[group][:-1])]
+    heads = np.flatnonzero(~again | ~np.r_[False, again[:-1]])
+    b = b[np.r_[heads[1:], len(b)] - 1]
+    group, f, a, c = group[heads], f[heads], a[heads], c[heads]
     return text[group], f.view(np.int64), a - begins[text[group]], b - begins[text[group]], c.view(np.int64)
 
 
@@ -184,16 +190,17 @@ def _window_rows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def repeated_ranges(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(at, a, e) for ``texts`` (at, text), at a unique long: words a to e - 1 of the text are covered by repeated windows. Ranges may overlap."""
     found = written(texts.mapInArrow(_anchor_rows(window), "at long, f long, a int, b int, c long"), "anchors")
-    shared = found.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
+    # what is joined is written first: Spark splits a frequent name's rows only where both sides come straight from a shuffle
+    shared = written(found.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "names")
     found = written(found.join(shared, "f", "left_semi"), "shared")
     kinds = written(found.groupBy("f", "c").agg(F.count("*").alias("n"), F.min(F.struct("at", "a", "b")).alias("one")), "kinds")
     whole = found.join(kinds.where("n > 1").select("f", "c"), ["f", "c"], "left_semi").select("at", "a", (F.col("b") + window).alias("e"))
 
-    several = kinds.groupBy("f").agg(F.count("*").alias("k")).where("k > 1").select("f")
+    several = written(kinds.groupBy("f").agg(F.count("*").alias("k")).where("k > 1").select("f"), "several")
     asked = kinds.join(several, "f", "left_semi").select("one.at", F.struct("f", "one.a", "one.b", "n").alias("x"))
     asked = asked.groupBy("at").agg(F.collect_list("x").alias("ranges"))
     windows = written(texts.join(asked, "at").select("at", "text", "ranges").mapInArrow(_window_rows(window), "at long, p int, f long, w long, n long"), "windows")
-    again = windows.groupBy("f", "w").agg(F.sum("n").alias("n")).where("n > 1").select("f", "w")
+    again = written(windows.groupBy("f", "w").agg(F.sum("n").alias("n")).where("n > 1").select("f", "w"), "again")
     single = windows.where("n = 1").join(again, ["f", "w"], "left_semi").select("at", F.col("p").alias("a"), (F.col("p") + window).alias("e"))
     return whole.union(single)
 
