@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ BUCKETS = 1 << 22
 #: Buckets that travel in one row, and rows that are summed at once.
 SHARE, SUMMED = 1 << 16, 64
 #: Words of a block; a longer text is a block of its own.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -110,15 +111,16 @@ def _bit(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
 def _pass(k: int, most: int, min_count: int, buckets: np.ndarray | None, frequent: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts of the phrases of k words that may be frequent, a row for each and block, and of the buckets of k + 1 words, up to ``min_count`` a task."""
 
-    def counted(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Names of k words, where they may be frequent, names of k + 1 words and where both of their parts may be; ids."""
-        ids = np.frombuffer(block["ids"], np.int32)
-        own = np.array([xxhash.xxh3_64_intdigest(w) for w in block["words"]] + [0], _U)
-        single = _mix(own + _U(xxhash.xxh3_64_intdigest(block["lang"])))[ids]
+    def counted(lang: str, words: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Names of k words, where they may be frequent, names of k + 1 words and where both of their parts may be."""
+        own = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in words), _U, len(words))
+        single = _mix(np.r_[own, _U(0)] + _U(xxhash.xxh3_64_intdigest(lang)))[ids]
         names, word = [None, single], ids >= 0
         inside = [np.ones(len(ids), bool), word]
         for j in range(2, k + 2):
             at = max(0, len(ids) - j + 1)
+            if j > 2:
+                names[j - 3] = None
             names.append(_mix(names[-1][:at] * _GOLD + single[j - 1 : j - 1 + at]))
             inside.append(inside[-1][:at] & word[j - 1 : j - 1 + at])
         may = inside[k].copy()
@@ -131,25 +133,25 @@ def _pass(k: int, most: int, min_count: int, buckets: np.ndarray | None, frequen
             may[:] = False
             may[own] = True
         longer = inside[k + 1] & may[: len(inside[k + 1])] & may[1 : 1 + len(inside[k + 1])] if k else inside[1]
-        return names[k], np.flatnonzero(may), names[k + 1], np.flatnonzero(longer), ids
+        return names[k], np.flatnonzero(may), names[k + 1], np.flatnonzero(longer)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(BUCKETS, np.int64)
+        sums = np.zeros(BUCKETS, np.int32)
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("n", pa.int64()), ("share", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
-            for block in batch.to_pylist():
-                names, at, longer, both, ids = counted(block)
+            for lang, words, packed in zip(batch["lang"].to_pylist(), batch["words"], batch["ids"], strict=True):
+                ids = np.frombuffer(packed.as_buffer(), np.int32)
+                names, at, longer, both = counted(lang, words.values, ids)
                 if k and len(at):
                     first, name, n = _phrases(ids, at, names, k)
-                    words = np.array(block["words"], object)
-                    phrase = words[ids[first]]
-                    for j in range(1, k):
-                        phrase = phrase + " " + words[ids[first + j]]
+                    phrase = pc.binary_join_element_wise(*[words.values.take(pa.array(ids[first + j])) for j in range(k)], " ")
                     nothing = pa.nulls(len(n))
-                    columns = [pa.array([block["lang"]] * len(n)), pa.array(phrase, pa.string()), pa.array(name.view(np.int64)), pa.array(n), nothing.cast(pa.int32()), nothing.cast(pa.binary())]
+                    columns = [pa.array([lang] * len(n), pa.string()), phrase, pa.array(name.view(np.int64)), pa.array(n), nothing.cast(pa.int32()), nothing.cast(pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
                 if k < most:
-                    sums += np.bincount((longer[both] & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                    own = np.bincount((longer[both] & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                    np.minimum(own, min_count, out=own)
+                    sums += own.astype(np.int32)
                     np.minimum(sums, min_count, out=sums)
         for share in range(BUCKETS // SHARE):
             part = sums[share * SHARE : (share + 1) * SHARE]
