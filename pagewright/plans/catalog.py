@@ -118,7 +118,6 @@ def book_text(spark, sf_dir):
 
 
 def latest_turns(spark, sf_dir):
-    p = conversation_pages(spark, sf_dir).withColumn("page_index", F.floor(F.col("page_index") / 2).cast("int"))
     order = conversation_pages(spark, sf_dir)
     p = order.select("book_id", F.floor(F.col("page_index") / 2).cast("int").alias("page_index"), F.col("page_index").alias("input_order"), "native_text")
     return books.latest_pages(p, "input_order").select("book_id", "page_index", "native_text")
@@ -224,7 +223,7 @@ def block_backtracks(spark, sf_dir):
 def _fragments(spark, sf_dir):
     """Line items as positioned fragments: an order is a page, and a fragment says its part and how it is shipped."""
     li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").distinct()
-    order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")) - 1
     rows = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", _rect_of_item().alias("rect"), order.alias("at"))
     said = F.concat(F.lit("Part "), "l_partkey", F.lit(" of "), "l_returnflag", F.when(F.col("l_linestatus") == "O", ".").otherwise(""))
     size = F.when(F.col("l_suppkey") % 5 == 0, 14.0).otherwise(10.0)
@@ -471,7 +470,7 @@ blocks AS (
 
 _FRAGMENTS = """
 items AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus FROM lineitem),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS nth FROM items),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 AS nth FROM items),
 fragments AS (
   SELECT l_orderkey::INT AS page_index, nth::INT AS fragment_id, (l_partkey % 700) / 1000.0::DOUBLE AS x, (l_suppkey % 90) * 10 / 1000.0::DOUBLE AS y,
          (l_partkey % 300) / 1000.0::DOUBLE AS w, (l_suppkey % 40 + 10) / 1000.0::DOUBLE AS h,
