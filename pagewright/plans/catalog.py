@@ -15,7 +15,7 @@ from pagewright.config import OcrConfig
 from pagewright.functions import geometry as g
 from pagewright.functions import text as t
 from pagewright.functions.ids import stable_id
-from pagewright.operators import assembly, blocks, books, chapters, cleanup, columns, complexity, layout, lines, paragraphs, policy, reading, regions, roles, segments
+from pagewright.operators import assembly, bands, blocks, books, chapters, cleanup, columns, complexity, layout, lines, paragraphs, policy, reading, regions, roles, segments
 from pagewright.sources.adapters import PAGES_PER_BOOK, conversation_pages, document_pages
 from pagewright.sources.staging import staged
 
@@ -309,6 +309,48 @@ def layout_decisions(spark, sf_dir):
     return decisions.select("page_index", "decision", "reason", "text")
 
 
+#: Lines of a planted page, and the rows that its planted gutters reach down.
+LINES_PER_PAGE, ROWS_WITH_GUTTER = 60, 18
+
+
+def _column_lines(spark, sf_dir):
+    """Documents set in two or three lanes: their sentences are lines, some across all lanes, inset, or of another height."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"\n|\. "), lambda x: F.length(F.trim(x)) > 0).alias("s"))
+    rows = d.select("doc_id", F.posexplode("s").alias("k", "s"))
+    n, slot = 2 + F.col("doc_id") % 2, F.col("k") % LINES_PER_PAGE
+    rows = rows.withColumns({"page_index": F.floor(F.col("k") / LINES_PER_PAGE).cast("int"), "n": n.cast("int"), "slot": slot, "lane": (slot % n).cast("int"), "row": F.floor(slot / n).cast("int")})
+    spans = ((F.col("doc_id") % 4 == 0) & (F.col("slot") % 20 == 19)) | ((F.col("doc_id") % 4 == 1) & (F.col("slot") == LINES_PER_PAGE - 1))
+    inset = F.when((F.col("doc_id") % 5 == 0) & (F.col("row") % 6 == 5), 20).otherwise(0)
+    lower = F.when(F.col("doc_id") % 7 == 0, F.col("lane") * 4).otherwise(0) + F.when(spans, 12).otherwise(0)
+    y = 60 + F.col("row") * 28 + lower + F.when((F.col("doc_id") % 3 == 2) & (F.col("slot") >= 3 * LINES_PER_PAGE / 4), 60).otherwise(0)
+    w = F.when(spans, 850).otherwise(F.least(F.lit(230), 40 + F.length("s") * 3))
+    h = F.when((F.col("doc_id") % 11 == 0) & (F.col("lane") == 1), 10).otherwise(15)
+    box = g.rect((50 + F.when(spans, 0).otherwise(F.col("lane") * 300 + inset)) / 1000.0, y / 1000.0, w / 1000.0, h / 1000.0)
+    text = F.concat("s", F.when((F.col("k") * 7 + F.col("doc_id")) % 5 < 3, F.lit(".")).otherwise(F.lit("")))
+    rtl = F.col("doc_id") % 6 == 3
+    return rows.select(F.col("doc_id").alias("book_id"), "page_index", F.col("slot").alias("line_id"), text.alias("text"), box.alias("rect"), rtl.alias("rtl"), F.col("slot").alias("source_order"), F.lit(10.0).alias("font_size"), spans.alias("is_bold"), F.array(F.col("slot")).alias("fragment_ids"), "n", "lane", "row")
+
+
+def column_lanes(spark, sf_dir):
+    """Pages that are plain between planted gutters, which end above the last rows."""
+    rows = staged(_column_lines(spark, sf_dir), "lines")
+    page = ["book_id", "page_index"]
+    reach = rows.where(F.col("row") < ROWS_WITH_GUTTER).groupBy(*page).agg(F.min("rect.y").alias("y_lo"), F.max(F.col("rect.y") + F.col("rect.h")).alias("y_hi"), F.first("n").alias("n"))
+    found = reach.select(*page, "y_lo", "y_hi", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("j")).withColumns({"min_x": (F.col("j") * 300 - 15) / 1000.0, "max_x": (F.col("j") * 300 + 45) / 1000.0})
+    found = found.withColumn("center", (F.col("min_x") + F.col("max_x")) / 2)
+    return bands.lanes(rows, found).select(*page, "line_id", "part", "lane", "rtl")
+
+
+def column_bands(spark, sf_dir):
+    """The bands and lanes of documents set in columns, with the gutters that their lines leave open."""
+    rows = staged(_column_lines(spark, sf_dir).drop("n", "lane", "row"), "lines")
+    found = staged(columns.gutters(rows), "gutters")
+    mixed = staged(bands.mixed_parts(rows, found), "mixed")
+    whole = bands.lanes(rows.join(mixed.select("book_id", "page_index").distinct(), ["book_id", "page_index"], "left_anti"), found)
+    whole = whole.select("book_id", "page_index", F.lit(0).alias("band"), "line_id", "part", "lane", "rtl", F.lit("lanes").alias("kind"))
+    return mixed.unionByName(whole).select("book_id", "page_index", "line_id", "band", "part", "kind")
+
+
 def reading_edges(spark, sf_dir):
     li = _read(spark, sf_dir, "lineitem")
     return blocks.distinct_edges(li.select((F.col("l_partkey") % 100).alias("src"), (F.col("l_suppkey") % 100).alias("dst"), (F.col("l_linenumber") / 8.0).alias("confidence"), F.col("l_returnflag").alias("reason")))
@@ -335,7 +377,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         page_clean, quality_policy, source_selection, recognized_text, scanned, edge_lines, book_cleanup, chapters_by_heading, chapters_by_outline, chapters_by_bucket, book_statistics, book_text,
         latest_turns, book_metadata, outline_walk, line_signatures, page_numbers, html_pages, stable_ids, table_rows, rect_unions, rect_conflicts, rect_normalized, block_neighbours, block_rows, block_backtracks, reading_edges, text_similarity, speech_segments, speech_segments_by_page,
-        page_gaps, page_gutters, page_inventories, fragment_widths, note_marks, column_serials, page_complexity, layout_lines, layout_blocks, layout_regions, layout_roles, layout_order, layout_decisions,
+        page_gaps, page_gutters, page_inventories, fragment_widths, note_marks, column_serials, page_complexity, layout_lines, layout_blocks, layout_regions, layout_roles, layout_order, layout_decisions, column_lanes, column_bands,
     )
 }
 
