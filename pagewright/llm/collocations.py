@@ -30,12 +30,15 @@ BUCKETS = 1 << 22
 SHARE, SUMMED = 1 << 16, 64
 #: Words of a block; a longer text is a block of its own.
 BLOCK = 1_000_000
+#: Counted phrases that a task holds before it gives them out; those of its blocks are added up so far.
+HELD = 1_000_000
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _CUT = b"\xff"  # no byte of UTF-8
 _CODED = "lang string, words array<string>, ids binary, n long"
 _COUNTED = "lang string, phrase string, hash long, n long, share int, counts binary"
+_OWN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("n", pa.int64())])
 
 
 def _table() -> bytes:
@@ -109,7 +112,7 @@ def _bit(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 
 def _pass(k: int, most: int, min_count: int, buckets: np.ndarray | None, frequent: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of the phrases of k words that may be frequent, a row for each and block, and of the buckets of k + 1 words, up to ``min_count`` a task."""
+    """Counts of the phrases of k words that may be frequent, added up in the task, and of the buckets of k + 1 words, up to ``min_count`` a task."""
 
     def counted(lang: str, words: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Names of k words, where they may be frequent, names of k + 1 words and where both of their parts may be."""
@@ -135,7 +138,17 @@ def _pass(k: int, most: int, min_count: int, buckets: np.ndarray | None, frequen
         longer = inside[k + 1] & may[: len(inside[k + 1])] & may[1 : 1 + len(inside[k + 1])] if k else inside[1]
         return names[k], np.flatnonzero(may), names[k + 1], np.flatnonzero(longer)
 
+    def added(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by(_OWN.names[:3]).aggregate([("n", "sum")]).rename_columns(_OWN.names)
+
+    def given(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        nothing = pa.nulls(len(table))
+        for c, kind in (("share", pa.int32()), ("counts", pa.binary())):
+            table = table.append_column(c, nothing.cast(kind))
+        yield from table.cast(schema).to_batches(max_chunksize=100_000)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         sums = np.zeros(BUCKETS, np.int32)
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("n", pa.int64()), ("share", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
@@ -145,14 +158,18 @@ def _pass(k: int, most: int, min_count: int, buckets: np.ndarray | None, frequen
                 if k and len(at):
                     first, name, n = _phrases(ids, at, names, k)
                     phrase = pc.binary_join_element_wise(*[words.values.take(pa.array(ids[first + j])) for j in range(k)], " ")
-                    nothing = pa.nulls(len(n))
-                    columns = [pa.array([lang] * len(n), pa.string()), phrase, pa.array(name.view(np.int64)), pa.array(n), nothing.cast(pa.int32()), nothing.cast(pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    held.append(pa.Table.from_arrays([pa.array([lang] * len(n), pa.string()), phrase, pa.array(name.view(np.int64)), pa.array(n)], schema=_OWN))
+                    if sum(map(len, held)) > HELD:
+                        held = [added(held)]
+                        if 2 * len(held[0]) > HELD:
+                            yield from given(held.pop(), schema)
                 if k < most:
                     own = np.bincount((longer[both] & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                     np.minimum(own, min_count, out=own)
                     sums += own.astype(np.int32)
                     np.minimum(sums, min_count, out=sums)
+        if held:
+            yield from given(added(held), schema)
         for share in range(BUCKETS // SHARE):
             part = sums[share * SHARE : (share + 1) * SHARE]
             if part.any():

@@ -185,6 +185,7 @@ def test_collocations_match_brute_force(spark, min_count, max_words, top):
 
 def test_collocations_with_few_buckets_and_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK", 100)
+    monkeypatch.setattr(collocations, "HELD", 20)
     monkeypatch.setattr(collocations, "SUMMED", 2)
     rows = wordy_rows(random.Random(1), 100)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(9)
