@@ -15,7 +15,7 @@ from pagewright.config import OcrConfig
 from pagewright.functions import geometry as g
 from pagewright.functions import text as t
 from pagewright.functions.ids import stable_id
-from pagewright.operators import assembly, bands, blocks, books, chapters, cleanup, columns, complexity, layout, lines, paragraphs, policy, reading, regions, roles, segments
+from pagewright.operators import assembly, bands, blocks, books, chapters, cleanup, columns, complexity, glyphs, layout, lines, paragraphs, policy, reading, regions, roles, segments
 from pagewright.sources.adapters import PAGES_PER_BOOK, conversation_pages, document_pages
 from pagewright.sources.staging import staged
 
@@ -351,6 +351,71 @@ def column_bands(spark, sf_dir):
     return mixed.unionByName(whole).select("book_id", "page_index", "line_id", "band", "part", "kind")
 
 
+#: Glyphs of a planted line, lines of a planted page.
+LINE_GLYPHS, PAGE_LINES = 40, 40
+
+
+def _glyphs(spark, sf_dir):
+    """Turns set in lines of 40 glyphs: some have a wide gap inside, some are made of two stretches, some pages are turned."""
+    t = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "")).alias("k", "char"))
+    k, i = F.floor(F.col("k") / LINE_GLYPHS), F.col("k") % LINE_GLYPHS
+    rows = t.where("char != ''").select(F.col("conv_id").alias("book_id"), (F.col("turn") * 1000 + F.floor(k / PAGE_LINES)).cast("int").alias("page_index"), (k % PAGE_LINES).cast("int").alias("line_id"), i.cast("int").alias("at"), "char")
+    odd = (F.col("book_id") + F.col("line_id")) % 3 != 0
+    x = 40 + F.col("at") * 12 + F.when((F.col("at") >= 20) & odd, 60).otherwise(0) + F.when((F.col("at") >= 30) & (F.col("line_id") % 5 == 0), 31).otherwise(0)
+    box = g.rect(x / 1000.0, (50 + F.col("line_id") * 20) / 1000.0, (8 + F.ascii("char") % 5) / 1000.0, F.lit(0.012))
+    part = F.when((F.col("book_id") % 7 == 0) & (F.col("at") >= 35), 1).otherwise(0)
+    size = F.when(F.col("at") % 9 == 0, 14.0).otherwise(10.0)
+    return rows.select("book_id", "page_index", "line_id", part.alias("part"), "at", "char", box.alias("rect"), size.alias("font_size"), ((F.col("line_id") % 4 == 0) & (F.col("at") % 11 == 3)).alias("is_bold"), F.lit(False).alias("is_italic"))
+
+
+def _native_lines(rows):
+    """The lines of planted glyphs: a page is 600 points wide and 1000 high; text without a wide gap is tightly set."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "char"))), lambda x: x["char"]), "")
+    last = F.max_by(F.col("rect.w"), "at")
+    l = rows.groupBy("book_id", "page_index", "line_id").agg(text.alias("text"), g.union_agg(F.col("rect")).alias("rect"), F.count_distinct("part").cast("int").alias("n_ranges"), ((F.count("*") - 1) * 12 / 1000.0 + last).alias("set"))  # noqa: E741
+    box = g.rect(F.col("rect.x") * 600, (1 - F.col("rect.y") - F.col("rect.h")) * 1000, F.col("rect.w") * 600, F.col("rect.h") * 1000)
+    turned = F.when(F.col("book_id") % 13 == 0, 90).otherwise(0)
+    return l.select("book_id", "page_index", "line_id", "text", "rect", box.alias("box"), F.lit(600.0).alias("page_width"), turned.alias("rotation"), (F.col("set") * 600).alias("natural_width"), "n_ranges")
+
+
+def glyph_islands(spark, sf_dir):
+    """Every stretch of a line cut at its wide gaps."""
+    p = glyphs.pieces(glyphs.glyph_islands(_glyphs(spark, sf_dir)))
+    return p.select("book_id", "page_index", "line_id", "part", "island", "text", F.round("rect.x", 6).alias("x"), F.round("rect.w", 6).alias("w"), "n_glyphs", "font_size", "is_bold")
+
+
+def glyph_samples(spark, sf_dir):
+    rows = staged(_glyphs(spark, sf_dir), "glyphs")
+    return glyphs.sampled_lines(_native_lines(rows), rows)
+
+
+def glyph_gutters(spark, sf_dir):
+    rows = staged(_glyphs(spark, sf_dir), "glyphs")
+    found = glyphs.glyph_gutters(_native_lines(rows), glyphs.glyph_islands(rows))
+    six = lambda c: F.round(c, 6).alias(c)
+    return found.select("book_id", "page_index", *map(six, ("min_x", "max_x", "y_lo", "y_hi")))
+
+
+def native_fragments(spark, sf_dir):
+    rows = staged(_glyphs(spark, sf_dir), "glyphs")
+    f = glyphs.native_fragments(staged(_native_lines(rows), "lines"), rows)
+    return f.select("book_id", "page_index", "fragment_id", "text", F.round("rect.x", 6).alias("x"), F.round("rect.w", 6).alias("w"), "font_size", "is_bold")
+
+
+def native_order(spark, sf_dir):
+    return glyphs.natively_ordered(_native_lines(_glyphs(spark, sf_dir)))
+
+
+def native_paragraphs(spark, sf_dir):
+    """Documents as pages of native lines, further apart before every fourth line."""
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.lit(0).alias("page_index"), F.coalesce("text", F.lit("")).alias("text"))
+    l = d.select("book_id", "page_index", F.posexplode(F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: F.length(F.trim(x)) > 0)).alias("line_id", "text"))  # noqa: E741
+    y = F.col("line_id") * 12 + F.floor(F.col("line_id") / 4) * 9
+    box = g.rect(F.lit(0.1), y / 1000.0, F.least(F.lit(800), F.length("text") * 6) / 1000.0, F.lit(0.01))
+    l = l.select("*", box.alias("rect"), F.lit(0).alias("rotation"), F.when((F.col("book_id") % 5 == 0) & (F.col("line_id") == 9), 2).otherwise(1).alias("n_ranges"))  # noqa: E741
+    return glyphs.native_paragraphs(d, l).select(F.col("book_id").alias("doc_id"), "text")
+
+
 def reading_edges(spark, sf_dir):
     li = _read(spark, sf_dir, "lineitem")
     return blocks.distinct_edges(li.select((F.col("l_partkey") % 100).alias("src"), (F.col("l_suppkey") % 100).alias("dst"), (F.col("l_linenumber") / 8.0).alias("confidence"), F.col("l_returnflag").alias("reason")))
@@ -377,7 +442,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         page_clean, quality_policy, source_selection, recognized_text, scanned, edge_lines, book_cleanup, chapters_by_heading, chapters_by_outline, chapters_by_bucket, book_statistics, book_text,
         latest_turns, book_metadata, outline_walk, line_signatures, page_numbers, html_pages, stable_ids, table_rows, rect_unions, rect_conflicts, rect_normalized, block_neighbours, block_rows, block_backtracks, reading_edges, text_similarity, speech_segments, speech_segments_by_page,
-        page_gaps, page_gutters, page_inventories, fragment_widths, note_marks, column_serials, page_complexity, layout_lines, layout_blocks, layout_regions, layout_roles, layout_order, layout_decisions, column_lanes, column_bands,
+        page_gaps, page_gutters, page_inventories, fragment_widths, note_marks, column_serials, page_complexity, layout_lines, layout_blocks, layout_regions, layout_roles, layout_order, layout_decisions, column_lanes, column_bands, glyph_islands, glyph_samples, glyph_gutters, native_fragments, native_order, native_paragraphs,
     )
 }
 
@@ -522,7 +587,45 @@ _MARKS = r"""regexp_matches(trimmed, '^[\p{N}*†‡]') AS is_note, regexp_match
 regexp_matches(trimmed, '[.!?…。！？]["''’”»)\]}]*$') AS ends,
 trimmed != '' AND NOT regexp_matches(trimmed, '[{}]|;$|^(//|```|#|[•◦▪▫‣⁃])|^[*–—-]([\t-\r\p{Z}]|$)|^(\p{N}+|\p{L})[.)\]:]([\t-\r\p{Z}]|$)') AS is_prose"""
 
+_GLYPHS = f"""
+chars AS (SELECT conv_id AS book_id, turn, unnest(string_split(coalesce(text, ''), '')) AS ch, unnest(range(len(string_split(coalesce(text, ''), '')))) AS k FROM conversations WHERE coalesce(text, '') != ''),
+placed AS (SELECT book_id, (turn * 1000 + k // {LINE_GLYPHS} // {PAGE_LINES})::INT AS page_index, (k // {LINE_GLYPHS} % {PAGE_LINES})::INT AS line_id, (k % {LINE_GLYPHS})::INT AS i, ch FROM chars),
+glyphs AS (
+  SELECT book_id, page_index, line_id, i, ch, CASE WHEN book_id % 7 = 0 AND i >= 35 THEN 1 ELSE 0 END AS part,
+         (40 + i * 12 + CASE WHEN i >= 20 AND (book_id + line_id) % 3 != 0 THEN 60 ELSE 0 END + CASE WHEN i >= 30 AND line_id % 5 = 0 THEN 31 ELSE 0 END) / 1000.0::DOUBLE AS x,
+         (50 + line_id * 20) / 1000.0::DOUBLE AS y, (8 + ord(ch) % 5) / 1000.0::DOUBLE AS w,
+         CASE WHEN i % 9 = 0 THEN 14.0 ELSE 10.0 END::DOUBLE AS font_size, line_id % 4 = 0 AND i % 11 = 3 AS is_bold FROM placed),
+set_lines AS (
+  SELECT book_id, page_index, line_id, count(*) AS n, count(DISTINCT part) AS n_ranges, min(x) AS x, max(x + w) - min(x) AS w, min(y) AS y, 0.012::DOUBLE AS h, ((count(*) - 1) * 12 / 1000.0::DOUBLE + arg_max(w, i)) * 600 AS nat_w
+  FROM glyphs GROUP BY ALL),
+fitted AS (SELECT *, coalesce(nat_w > 0 AND abs(w * 600 - nat_w) <= nat_w * 0.005::DOUBLE + 0.5::DOUBLE, false) AS tight FROM set_lines)"""
+
 SQL: dict[str, str] = {
+    "glyph_islands": rf"""
+WITH {_GLYPHS},
+seen AS (SELECT *, regexp_matches(ch, '{_NW}') AS shows FROM glyphs),
+lagged AS (
+  SELECT *, last_value(CASE WHEN shows THEN x + w END IGNORE NULLS) OVER p AS b_end, last_value(CASE WHEN shows THEN x END IGNORE NULLS) OVER p AS b_x,
+         list_sort(list(w) FILTER (shows) OVER (PARTITION BY book_id, page_index, line_id, part)) AS ws
+  FROM seen WINDOW p AS (PARTITION BY book_id, page_index, line_id, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (
+  SELECT *, coalesce(shows AND b_x IS NOT NULL AND greatest(x - b_end, b_x - (x + w), 0) >= greatest(0.024::DOUBLE, least(0.06::DOUBLE, ws[len(ws) // 2 + 1] * 4)), false) AS strong FROM lagged),
+numbered AS (SELECT *, sum(strong::INT) OVER (PARTITION BY book_id, page_index, line_id, part ORDER BY i)::INT AS island FROM cut)
+SELECT book_id, page_index, line_id, part, island, string_agg(ch, '' ORDER BY i) AS text, round(min(x) FILTER (shows), 6) AS x, round(max(x + w) FILTER (shows) - min(x) FILTER (shows), 6) AS w,
+       count(*) AS n_glyphs, list_sort(list(font_size))[count(*) // 2 + 1] AS font_size, bool_or(is_bold) AS is_bold
+FROM numbered GROUP BY book_id, page_index, line_id, part, island""",
+    "glyph_samples": f"""
+WITH {_GLYPHS},
+may AS (SELECT *, row_number() OVER (PARTITION BY book_id, page_index ORDER BY line_id) - 1 AS nth, count(*) OVER (PARTITION BY book_id, page_index) - 1 AS last FROM fitted WHERE n >= 8 AND n_ranges = 1 AND NOT tight)
+SELECT book_id, page_index, line_id, (row_number() OVER (PARTITION BY book_id, page_index ORDER BY line_id) - 1)::INT AS row
+FROM may WHERE last >= 1 AND (last < 5 OR list_contains([0, round(last / 4.0::DOUBLE), round(last / 2.0::DOUBLE), round(last * 0.75::DOUBLE), last], nth))""",
+    "native_order": """
+WITH """ + _GLYPHS + """,
+boxed AS (SELECT *, x * 600 AS bx, (1 - y - h) * 1000 AS b_y, w * 600 AS bw, h * 1000 AS bh FROM fitted),
+told AS (
+  SELECT book_id, page_index, abs(bx - first_value(bx) OVER o) <= 1 AND coalesce(b_y + bh <= lag(b_y) OVER o + 0.5::DOUBLE, true) AND n_ranges = 1 AND book_id % 13 != 0 AND tight AS fine
+  FROM boxed WINDOW o AS (PARTITION BY book_id, page_index ORDER BY line_id))
+SELECT book_id, page_index, bool_and(fine) AND count(*) >= 3 AS is_plain FROM told GROUP BY book_id, page_index""",
     "page_gaps": f"""
 WITH {_FRAGMENTS}, strips AS (
   SELECT DISTINCT page_index, unnest(range(least(63, floor(x * 64)::INT), least(63, floor(greatest(x, x + w - 0.000001::DOUBLE) * 64)::INT) + 1)) AS strip FROM fragments),
@@ -538,6 +641,58 @@ t AS (SELECT *, {_trim('line')} AS trimmed FROM v)
 SELECT item_id, kind, {_MARKS}, len(regexp_extract_all(line, '{_NW}'))::INT AS n_visible FROM t""",
     "page_inventories": r"""
 SELECT item_id, array_to_string(list_sort(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]')), '') AS inventory FROM benchmark""",
+    "column_lanes": rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\n|\. '), lambda x: length(trim(x)) > 0) AS s FROM documents),
+k AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS k, 2 + doc_id % 2 AS n FROM d),
+r AS (SELECT *, (k // {LINES_PER_PAGE})::INT AS page_index, k % {LINES_PER_PAGE} AS slot, k % {LINES_PER_PAGE} % n AS ln, k % {LINES_PER_PAGE} // n AS row FROM k),
+f AS (SELECT *, (doc_id % 4 = 0 AND slot % 20 = 19) OR (doc_id % 4 = 1 AND slot = {LINES_PER_PAGE - 1}) AS spans FROM r),
+l AS (
+  SELECT doc_id AS book_id, page_index, slot AS id, n, row, doc_id % 6 = 3 AS rtl,
+         s || CASE WHEN (k * 7 + doc_id) % 5 < 3 THEN '.' ELSE '' END AS text,
+         (50 + CASE WHEN spans THEN 0 ELSE ln * 300 + CASE WHEN doc_id % 5 = 0 AND row % 6 = 5 THEN 20 ELSE 0 END END) / 1000.0::DOUBLE AS x,
+         (60 + row * 28 + CASE WHEN doc_id % 7 = 0 THEN ln * 4 ELSE 0 END + CASE WHEN spans THEN 12 ELSE 0 END
+           + CASE WHEN doc_id % 3 = 2 AND slot >= 3 * {LINES_PER_PAGE} / 4 THEN 60 ELSE 0 END) / 1000.0::DOUBLE AS y,
+         CASE WHEN spans THEN 850 ELSE least(230, 40 + length(s) * 3) END / 1000.0::DOUBLE AS w,
+         CASE WHEN doc_id % 11 = 0 AND ln = 1 THEN 10 ELSE 15 END / 1000.0::DOUBLE AS h
+  FROM f),
+g AS (
+  SELECT book_id, page_index, n, min(y) AS top, max(y + h) AS bottom,
+         list_transform(range(1, n), lambda j: ((j * 300 - 15) / 1000.0::DOUBLE + (j * 300 + 45) / 1000.0::DOUBLE) / 2) AS centers
+  FROM l WHERE row < {ROWS_WITH_GUTTER} GROUP BY book_id, page_index, n),
+m AS (
+  SELECT l.*, top, bottom, len(list_filter(centers, lambda c: x + w / 2 > c)) AS lane, len(list_filter(centers, lambda c: x < c AND x + w > c)) > 0 AS crosses,
+         y + h < top + 0.001::DOUBLE AS above, regexp_matches({_trim('text')}, '[.!?。！？]\z') AS ends,
+         row_number() OVER (PARTITION BY l.book_id, l.page_index ORDER BY y, x, id) AS pos
+  FROM l JOIN g USING (book_id, page_index)),
+ys AS (SELECT DISTINCT book_id, page_index, y FROM l),
+dy AS (SELECT book_id, page_index, y - lag(y) OVER (PARTITION BY book_id, page_index ORDER BY y) AS d FROM ys),
+wide AS (SELECT book_id, page_index, greatest(0.045::DOUBLE, coalesce(list_sort(list(d) FILTER (d > 0.005::DOUBLE))[len(list(d) FILTER (d > 0.005::DOUBLE)) // 2 + 1], 0) * 1.5::DOUBLE) AS wide FROM dy GROUP BY ALL),
+below AS (
+  SELECT book_id, page_index, y, greatest(bottom, coalesce(max(y + h) OVER (PARTITION BY book_id, page_index ORDER BY y, x, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), bottom)) AS reach
+  FROM m WHERE y > bottom),
+ended AS (SELECT g.book_id, g.page_index, coalesce(min(reach) FILTER (b.y - reach > wide), 1.0::DOUBLE) AS body_end FROM g JOIN wide USING (book_id, page_index) LEFT JOIN below b USING (book_id, page_index) GROUP BY ALL),
+liked AS (
+  SELECT m.*, body_end, EXISTS (
+    SELECT 1 FROM m q WHERE q.book_id = m.book_id AND q.page_index = m.page_index AND q.lane = m.lane AND q.y >= q.top - 0.001::DOUBLE AND q.y + q.h <= q.bottom + 0.001::DOUBLE
+      AND abs(q.x - m.x) <= 0.015::DOUBLE AND least(q.h, m.h) / greatest(q.h, m.h) >= 0.9::DOUBLE) AS likes
+  FROM m JOIN ended USING (book_id, page_index)),
+crossed AS (SELECT book_id, page_index, min(pos) AS first FROM liked WHERE NOT above AND crosses AND y > bottom AND y <= body_end GROUP BY ALL),
+begun AS (
+  SELECT a.*, first, EXISTS (
+    SELECT 1 FROM liked q WHERE q.book_id = a.book_id AND q.page_index = a.page_index AND q.lane = a.lane AND q.y <= q.bottom AND abs(q.x - a.x) <= 0.015::DOUBLE
+      AND CASE WHEN q.above THEN q.likes ELSE NOT q.crosses END) AS begun
+  FROM liked a LEFT JOIN crossed USING (book_id, page_index)),
+told AS (
+  SELECT *, CASE WHEN above THEN CASE WHEN likes THEN 1 ELSE 0 END WHEN y > body_end OR pos >= first THEN 2 WHEN crosses OR (y > bottom AND NOT begun) THEN 3 ELSE 1 END AS kind FROM begun),
+each_lane AS (
+  SELECT book_id, page_index, lane, count(*) AS c, list_sort(list(h))[count(*) // 2 + 1] AS mh, count_if(ends) AS e, count_if(rtl) AS r FROM told WHERE kind = 1 GROUP BY ALL),
+plain AS (
+  SELECT book_id, page_index, sum(r) * 2 > sum(c) AS rtl FROM each_lane JOIN g USING (book_id, page_index)
+  GROUP BY ALL HAVING count(*) = any_value(n) AND min(c) / max(c) >= 0.35::DOUBLE AND min(mh) / max(mh) >= 0.8::DOUBLE AND min(c) >= 2 AND min(e) >= 2 AND min(e / c) >= 0.3::DOUBLE)
+SELECT book_id, page_index, id AS line_id, CASE kind WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN p.rtl THEN n - 1 - lane ELSE lane END + 1 ELSE n + 1 END AS part,
+       CASE WHEN kind = 1 THEN lane END AS lane, p.rtl
+FROM told JOIN plain p USING (book_id, page_index)
+WHERE NOT EXISTS (SELECT 1 FROM told q WHERE q.book_id = told.book_id AND q.page_index = told.page_index AND q.kind = 3)""",
     "column_serials": """
 WITH c AS (SELECT l_orderkey, l_suppkey % 3 AS k, min(l_linenumber) AS lo, max(l_linenumber) AS hi FROM lineitem GROUP BY 1, 2),
 w AS (SELECT l_orderkey, coalesce(lag(hi) OVER o < lo, true) AS up, coalesce(lag(lo) OVER o > hi, true) AS down FROM c WINDOW o AS (PARTITION BY l_orderkey ORDER BY k))
