@@ -4,9 +4,9 @@
 2. Pass k counts phrases of k words exactly, but only occurrences that may be frequent: whose bucket, counted in the
    pass before, reaches ``min_count``, and whose first and last k - 1 words are frequent phrases. In the same pass the
    occurrences of k + 1 words of which both parts are left are counted by buckets of their hashes.
-3. Bitmaps of frequent buckets, and of the buckets of frequent phrases, go to all tasks; they have BUCKETS bits each,
-   however large the corpus is. A bucket may hold several phrases, so that bitmaps let through too much and never
-   too little; exact counts decide.
+3. Bitmaps of frequent buckets, and of the buckets of frequent phrases, go to all tasks: a bit for each WORDS_EACH words of
+   the corpus, MOST_BUCKETS at most. A bucket may hold several phrases, so that bitmaps let through too much and
+   never too little; exact counts decide.
 4. Scores are joins of the frequent phrases with each other: each part of a candidate is frequent too.
 """
 
@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from .common import written
 
-#: Buckets of a pass; a bitmap of them is 512 KB.
-BUCKETS = 1 << 22
-#: Buckets that travel in one row, and rows that are summed at once.
+#: Words of the corpus for each bucket of a pass, and buckets at most: a bitmap of these is 8 MB, their counts in a task 64.
+WORDS_EACH, MOST_BUCKETS = 8, 1 << 26
+#: Buckets that travel in one row, and that there are at least; rows that are summed at once.
 SHARE, SUMMED = 1 << 16, 64
 #: Words of a block; a longer text is a block of its own.
 BLOCK = 1_000_000
@@ -107,11 +107,11 @@ def _phrases(ids: np.ndarray, at: np.ndarray, names: np.ndarray, k: int) -> tupl
 
 
 def _bit(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
-    b = names & _U(BUCKETS - 1)
+    b = names & _U(64 * len(bitmap) - 1)
     return (bitmap[(b >> _U(6)).astype(np.int64)] >> (b & _U(63))) & _U(1) == 1
 
 
-def _pass(k: int, most: int, min_count: int, buckets: np.ndarray | None, frequent: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pass(k: int, most: int, min_count: int, size: int, buckets: np.ndarray | None, frequent: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts of the phrases of k words that may be frequent, added up in the task, and of the buckets of k + 1 words, up to ``min_count`` a task."""
 
     def counted(lang: str, words: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +149,7 @@ def _pass(k: int, most: int, min_count: int, buckets: np.ndarray | None, frequen
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        sums = np.zeros(BUCKETS, np.int32)
+        sums = np.zeros(size, _kind(min_count))
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("n", pa.int64()), ("share", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for lang, words, packed in zip(batch["lang"].to_pylist(), batch["words"], batch["ids"], strict=True):
@@ -164,13 +164,12 @@ def _pass(k: int, most: int, min_count: int, buckets: np.ndarray | None, frequen
                         if 2 * len(held[0]) > HELD:
                             yield from given(held.pop(), schema)
                 if k < most:
-                    own = np.bincount((longer[both] & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-                    np.minimum(own, min_count, out=own)
-                    sums += own.astype(np.int32)
-                    np.minimum(sums, min_count, out=sums)
+                    at, n = np.unique(longer[both] & _U(size - 1), return_counts=True)
+                    at = at.astype(np.int64)
+                    sums[at] = np.minimum(sums[at] + n, min_count)
         if held:
             yield from given(added(held), schema)
-        for share in range(BUCKETS // SHARE):
+        for share in range(size // SHARE):
             part = sums[share * SHARE : (share + 1) * SHARE]
             if part.any():
                 yield pa.RecordBatch.from_pylist([{"share": share, "counts": _short(part, min_count)}], schema=schema)
@@ -178,18 +177,27 @@ def _pass(k: int, most: int, min_count: int, buckets: np.ndarray | None, frequen
     return task
 
 
+def _kind(min_count: int) -> type:
+    """The type of counts that go up to ``min_count``."""
+    return np.uint8 if min_count < 256 else np.uint32
+
+
 def _short(counts: np.ndarray, min_count: int) -> bytes:
-    return counts.astype(np.uint8 if min_count < 256 else np.uint32).tobytes()
+    return pa.compress(counts.astype(_kind(min_count)).tobytes(), codec="zstd", asbytes=True)
+
+
+def _counts(short: bytes | pa.Buffer, min_count: int) -> np.ndarray:
+    kind = np.dtype(_kind(min_count))
+    return np.frombuffer(pa.decompress(short, SHARE * kind.itemsize, codec="zstd", asbytes=True), kind)
 
 
-def _frequent_buckets(counted: DataFrame, min_count: int) -> np.ndarray:
-    """A bit for each bucket: whether it was counted ``min_count`` times over all tasks."""
-    kind = np.uint8 if min_count < 256 else np.uint32
+def _frequent_buckets(counted: DataFrame, min_count: int, size: int) -> np.ndarray:
+    """A bit for each of ``size`` buckets: whether it was counted ``min_count`` times over all tasks."""
 
     def added(key: tuple, table: pa.Table) -> pa.Table:
         total = np.zeros(SHARE, np.int64)
         for counts in table["counts"]:
-            total += np.frombuffer(counts.as_buffer(), kind)
+            total += _counts(counts.as_buffer(), min_count)
         row = {"share": key[0].as_py(), "task": key[1].as_py(), "counts": _short(np.minimum(total, min_count), min_count)}
         return pa.Table.from_pylist([row], schema=pa.schema([("share", pa.int32()), ("task", pa.int64()), ("counts", pa.binary())]))
 
@@ -203,18 +211,18 @@ def _frequent_buckets(counted: DataFrame, min_count: int) -> np.ndarray:
         if groups > 1:
             tasks = written(tasks, "buckets")
         most = groups
-    bits = np.zeros(BUCKETS, bool)
+    bits = np.zeros(size, bool)
     for row in tasks.select("share", "counts").toLocalIterator():
-        bits[row["share"] * SHARE : (row["share"] + 1) * SHARE] = np.frombuffer(row["counts"], kind) >= min_count
+        bits[row["share"] * SHARE : (row["share"] + 1) * SHARE] = _counts(bytes(row["counts"]), min_count) >= min_count
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def _phrase_buckets(frequent: DataFrame) -> np.ndarray:
+def _phrase_buckets(frequent: DataFrame, size: int) -> np.ndarray:
     """A bit for each bucket: whether a frequent phrase's name is in it."""
-    b = F.col("hash").bitwiseAND(F.lit(BUCKETS - 1))
+    b = F.col("hash").bitwiseAND(F.lit(size - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63)).cast("int"))
     words = frequent.groupBy(F.shiftright(b, 6).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bitmap = np.zeros(BUCKETS // 64, np.int64)
+    bitmap = np.zeros(size // 64, np.int64)
     bitmap[words["at"].to_numpy()] = words["bits"].to_numpy()
     return bitmap.view(np.uint64)
 
@@ -224,17 +232,19 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     coded = written(texts.mapInArrow(_coded, _CODED), "coded")
     blocks = coded.select("lang", "words", "ids")
+    n = coded.agg(F.sum("n")).first()[0] or 0
+    size = min(MOST_BUCKETS, max(SHARE, 1 << (n // WORDS_EACH).bit_length()))
     buckets = phrases = None
     out = []
     for k in range(max_words + 1):
-        counted = written(blocks.mapInArrow(_pass(k, max_words, min_count, buckets, phrases), _COUNTED), "counted")
+        counted = written(blocks.mapInArrow(_pass(k, max_words, min_count, size, buckets, phrases), _COUNTED), "counted")
         if k:
             whole = counted.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.min("hash").alias("hash"))
             found = written(whole.where(F.col("f") >= min_count), "frequent")
-            phrases = _phrase_buckets(found)
+            phrases = _phrase_buckets(found, size)
             out.append(found.select("lang", "phrase", F.lit(k).alias("k"), "f"))
         if k < max_words:
-            buckets = _frequent_buckets(counted, min_count)
+            buckets = _frequent_buckets(counted, min_count, size)
     frequent = out[0]
     for more in out[1:]:
         frequent = frequent.union(more)
