@@ -15,7 +15,7 @@ from pagewright.config import OcrConfig
 from pagewright.functions import geometry as g
 from pagewright.functions import text as t
 from pagewright.functions.ids import stable_id
-from pagewright.operators import assembly, bands, blocks, books, chapters, cleanup, columns, complexity, glyphs, layout, lines, paragraphs, policy, reading, regions, roles, segments
+from pagewright.operators import assembly, bands, blocks, books, chapters, cleanup, columns, complexity, diagnostics, glyphs, layout, lines, paragraphs, policy, reading, regions, roles, segments
 from pagewright.sources.adapters import PAGES_PER_BOOK, conversation_pages, document_pages
 from pagewright.sources.staging import staged
 
@@ -416,6 +416,21 @@ def native_paragraphs(spark, sf_dir):
     return glyphs.native_paragraphs(d, l).select(F.col("book_id").alias("doc_id"), "text")
 
 
+def effective_edges(spark, sf_dir):
+    """Why the items of an order follow each other, with regions, columns, roles and asked edges planted by their keys."""
+    li = _read(spark, sf_dir, "lineitem").select(F.lit(0).alias("book_id"), F.col("l_orderkey").alias("page_index"), F.col("l_linenumber").cast("int").alias("id"), "l_partkey", "l_suppkey", "l_returnflag").distinct()
+    li = li.groupBy("book_id", "page_index", "id").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("f"))
+    page = ["book_id", "page_index"]
+    order = li.groupBy(*page).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("s") % 5, "id"))), lambda x: x["id"]).alias("ordered_ids"), F.lit(0.9).alias("confidence"))
+    ids = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.col("id"))))
+    kind = F.col("p") % 4
+    areas = li.where("p % 11 != 0").groupBy(*page, (F.col("p") % 2).cast("int").alias("region_id")).agg(ids(kind < 2).alias("primary_ids"), ids(kind == 2).alias("sidebar_ids"), ids(kind == 3).alias("spanning_ids"))
+    lanes = li.where("p % 4 < 2").groupBy(*page, (F.col("p") % 2).cast("int").alias("region_id"), (F.col("s") % 2).cast("int").alias("column_id")).agg(F.sort_array(F.collect_list("id")).alias("block_ids"))
+    roles_ = li.select(*page, F.col("id").alias("block_id"), F.when((F.col("f") == "R") & (F.col("p") % 3 == 0), "footnote").otherwise("body").alias("role"))
+    asked = li.where("p % 5 = 0").select(*page, F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.when(F.col("p") % 2 == 0, "captionAttachment").otherwise("semanticHint").alias("reason"))
+    return diagnostics.effective_edges(order, areas, lanes, roles_, asked).select("page_index", "nth", "src", "dst", "reason", "confidence")
+
+
 def reading_edges(spark, sf_dir):
     li = _read(spark, sf_dir, "lineitem")
     return blocks.distinct_edges(li.select((F.col("l_partkey") % 100).alias("src"), (F.col("l_suppkey") % 100).alias("dst"), (F.col("l_linenumber") / 8.0).alias("confidence"), F.col("l_returnflag").alias("reason")))
@@ -442,7 +457,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         page_clean, quality_policy, source_selection, recognized_text, scanned, edge_lines, book_cleanup, chapters_by_heading, chapters_by_outline, chapters_by_bucket, book_statistics, book_text,
         latest_turns, book_metadata, outline_walk, line_signatures, page_numbers, html_pages, stable_ids, table_rows, rect_unions, rect_conflicts, rect_normalized, block_neighbours, block_rows, block_backtracks, reading_edges, text_similarity, speech_segments, speech_segments_by_page,
-        page_gaps, page_gutters, page_inventories, fragment_widths, note_marks, column_serials, page_complexity, layout_lines, layout_blocks, layout_regions, layout_roles, layout_order, layout_decisions, column_lanes, column_bands, glyph_islands, glyph_samples, glyph_gutters, native_fragments, native_order, native_paragraphs,
+        page_gaps, page_gutters, page_inventories, fragment_widths, note_marks, column_serials, page_complexity, layout_lines, layout_blocks, layout_regions, layout_roles, layout_order, layout_decisions, column_lanes, column_bands, glyph_islands, glyph_samples, glyph_gutters, native_fragments, native_order, native_paragraphs, effective_edges,
     )
 }
 
@@ -693,6 +708,16 @@ SELECT book_id, page_index, id AS line_id, CASE kind WHEN 0 THEN 0 WHEN 1 THEN C
        CASE WHEN kind = 1 THEN lane END AS lane, p.rtl
 FROM told JOIN plain p USING (book_id, page_index)
 WHERE NOT EXISTS (SELECT 1 FROM told q WHERE q.book_id = told.book_id AND q.page_index = told.page_index AND q.kind = 3)""",
+    "effective_edges": """
+WITH li AS (SELECT l_orderkey AS page_index, l_linenumber AS id, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER w - 1 AS nth, lead(id) OVER w AS dst, lead(p) OVER w AS dp, lead(s) OVER w AS ds, lead(f) OVER w AS df FROM li WINDOW w AS (PARTITION BY page_index ORDER BY s % 5, id))
+SELECT page_index, nth::INT AS nth, id::INT AS src, dst::INT AS dst, 0.9::DOUBLE AS confidence,
+       CASE WHEN df = 'R' AND dp % 3 = 0 THEN 'footnotePlacement'
+            WHEN p % 5 = 0 AND dst = id + 1 THEN CASE WHEN p % 2 = 0 THEN 'captionAttachment' ELSE 'semanticHint' END
+            WHEN (CASE WHEN p % 11 != 0 THEN p % 2 END) IS DISTINCT FROM (CASE WHEN dp % 11 != 0 THEN dp % 2 END) THEN 'regionSequence'
+            WHEN dp % 11 != 0 AND dp % 4 = 2 THEN 'sidebarAttachment'
+            WHEN p % 11 != 0 AND p % 4 < 2 AND dp % 4 < 2 AND s % 2 != ds % 2 THEN 'columnSequence' ELSE 'sameColumn' END AS reason
+FROM o WHERE dst IS NOT NULL""",
     "column_serials": """
 WITH c AS (SELECT l_orderkey, l_suppkey % 3 AS k, min(l_linenumber) AS lo, max(l_linenumber) AS hi FROM lineitem GROUP BY 1, 2),
 w AS (SELECT l_orderkey, coalesce(lag(hi) OVER o < lo, true) AS up, coalesce(lag(lo) OVER o > hi, true) AS down FROM c WINDOW o AS (PARTITION BY l_orderkey ORDER BY k))
