@@ -86,7 +86,7 @@ def test_native_lines_give_fragments_paragraphs_and_diagnostics(spark):
     line = lambda page, i, t, x, y, w: (0, page, i, t, (x, y, w, 0.022), (x * 600, (1 - y) * 800, w * 600, 17.6), 600.0, 0, w * 600, 1)
     lines = [line(0, i, t, 0.12, y, 0.7) for i, (t, y) in enumerate(zip(said, ys, strict=True))]
     lines += [line(1, i, f"Left {i} ends.   Right {i} ends.", 0.1, 0.1 + 0.03 * i, 0.8)[:8] + (300.0, 1) for i in range(5)]
-    glyphs_ = [(0, 1, i, 0, k, ch, (0.1 + 0.011 * k + (0.4 if k > 15 else 0), 0.1 + 0.03 * i, 0.009, 0.015), 10.0, False, False) for i in range(5) for k, ch in enumerate(f"Left {i} ends.   Right {i} ends.")]
+    glyphs_ = [(0, 1, i, 0, k, ch, (0.1 + 0.011 * k + (0.4 if k > 14 else 0), 0.1 + 0.03 * i, 0.009, 0.015), 10.0, False, False) for i in range(5) for k, ch in enumerate(f"Left {i} ends.   Right {i} ends.")]
     lines_ = spark.createDataFrame(lines, "book_id int, page_index int, line_id int, text string, rect struct<x:double,y:double,w:double,h:double>, box struct<x:double,y:double,w:double,h:double>, page_width double, rotation int, natural_width double, n_ranges int")
     marks = spark.createDataFrame(glyphs_, "book_id int, page_index int, line_id int, part int, at int, char string, rect struct<x:double,y:double,w:double,h:double>, font_size double, is_bold boolean, is_italic boolean")
     pages = spark.createDataFrame([(0, 0, "\n".join(said)), (0, 1, "\n".join(x[3] for x in lines[6:]))], "book_id int, page_index int, native_text string")
