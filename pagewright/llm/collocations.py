@@ -29,9 +29,9 @@ WORDS_EACH, MOST_BUCKETS = 8, 1 << 26
 #: Buckets that travel in one row, and that there are at least; rows that are summed at once.
 SHARE, SUMMED = 1 << 16, 64
 #: Words of a block; a longer text is a block of its own.
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: Counted phrases that a task holds before it gives them out; those of its blocks are added up so far.
-HELD = 1_000_000
+HELD = 400_000
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -117,7 +117,7 @@ def _pass(k: int, most: int, min_count: int, size: int, buckets: np.ndarray | No
     def counted(lang: str, words: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Names of k words, where they may be frequent, names of k + 1 words and where both of their parts may be."""
         own = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in words), _U, len(words))
-        single = _mix(np.r_[own, _U(0)] + _U(xxhash.xxh3_64_intdigest(lang)))[ids]
+        single = _mix(np.append(own, _U(0)) + _U(xxhash.xxh3_64_intdigest(lang)))[ids]
         names, word = [None, single], ids >= 0
         inside = [np.ones(len(ids), bool), word]
         for j in range(2, k + 2):
@@ -135,10 +135,12 @@ def _pass(k: int, most: int, min_count: int, size: int, buckets: np.ndarray | No
                 own = own[_bit(frequent, names[k - 1][own + 1])]
             may[:] = False
             may[own] = True
+        del own, single, word
         longer = inside[k + 1] & may[: len(inside[k + 1])] & may[1 : 1 + len(inside[k + 1])] if k else inside[1]
         return names[k], np.flatnonzero(may), names[k + 1], np.flatnonzero(longer)
 
     def added(held: list[pa.Table]) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(held).group_by(_OWN.names[:3]).aggregate([("n", "sum")]).rename_columns(_OWN.names)
 
     def given(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
