@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
-from functools import cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -132,21 +131,24 @@ def html_preview(text: Column, title: Column) -> Column:
     return F.concat(F.lit(HTML_HEAD), escape_html(title), F.lit("</h1><p>"), body, F.lit("</p></body></html>"))
 
 
-@cache
-def _accents() -> tuple[str, str]:
-    """Precomposed letters of the Latin, Greek and Cyrillic blocks, and their base letters, from Unicode's own rule."""
-    pairs = []
-    for c in (chr(x) for x in (*range(0xC0, 0x530), *range(0x1E00, 0x2000))):
-        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
-        if base != c and len(base) == 1:
-            pairs.append((c, base))
-    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+def _unicode(s: Column, method: str) -> Column:
+    """A text by one of the normal forms of the ICU library that Spark has on its class path; ASCII stays as it is."""
+    return F.when(s.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), s, F.lit(False))).otherwise(s)
+
+
+def decomposed(s: Column) -> Column:
+    """Normal form D, in any script."""
+    return _unicode(s, "decompose")
+
+
+def composed(s: Column) -> Column:
+    """Normal form C, in any script."""
+    return _unicode(s, "compose")
 
 
 def fold(s: Column) -> Column:
-    """Lower case without diacritics."""
-    letters, bases = _accents()
-    return F.translate(F.regexp_replace(F.lower(s), r"\p{Mn}", ""), letters, bases)
+    """Lower case without diacritics, in any script."""
+    return F.regexp_replace(decomposed(F.lower(s)), r"\p{Mn}", "")
 
 
 def signature(s: Column) -> Column:
@@ -191,7 +193,8 @@ def linearize_row_with_headers(headers: Column, cells: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """1 less the edit distance over the greater length, of lower-cased texts with single blanks; 0 beyond 512 characters."""
-    a, b = (F.lower(table_cell(x)) for x in (a, b))
+    """1 less the edit distance over the greater length, of composed, lower-cased texts with single blanks; 0 beyond 512 graphemes."""
+    a, b = (composed(F.lower(composed(table_cell(x)))) for x in (a, b))
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, F.lit(1.0)).when(longest > 512, F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+    beyond = F.greatest(graphemes(a), graphemes(b)) > 512
+    return F.when(a == b, F.lit(1.0)).when(beyond, F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)

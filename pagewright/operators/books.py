@@ -38,7 +38,16 @@ def ordered_text(text: Column, order: Column, separator: str = "\n\n") -> Column
     return F.array_join(F.transform(kept, lambda x: x["t"]), separator)
 
 
-def plain_text(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
+def plain_text(pages: DataFrame, separator: str = "\n\n", chapters: DataFrame | None = None) -> DataFrame:
+    """book_id, text: a book's pages that aren't blank, in order; of a book without pages, its ``chapters`` (chapter_order, plain_text)."""
+    by_page = _pages_text(pages, separator)
+    if chapters is None:
+        return by_page
+    rest = chapters.join(by_page, "book_id", "left_anti").groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_order", F.coalesce("plain_text", F.lit("")).alias("t")))), lambda x: x["t"]), separator).alias("text"))
+    return by_page.unionByName(rest)
+
+
+def _pages_text(pages: DataFrame, separator: str) -> DataFrame:
     return pages.groupBy("book_id").agg(ordered_text(F.col("text"), F.col("page_index"), separator).alias("text"))
 
 

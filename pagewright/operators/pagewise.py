@@ -7,7 +7,6 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 PAGE = ["book_id", "page_index"]
 
@@ -50,8 +49,3 @@ def fold_pages(rows: DataFrame, order: list[str], result: str, fold: Callable[[l
 def _field(result: str) -> pa.Field:
     name, kind = result.split(" ", 1)
     return pa.field(name, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}[kind])
-
-
-def total_order(*columns: str) -> list:
-    """Sort columns in which coordinates that differ by rounding alone are equal."""
-    return [F.round(c, 6) if "." in c else F.col(c) for c in columns]

@@ -23,17 +23,3 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("fi"), F.lit("ﬁ")), F.lit(". "), F.lit(".  "))
     text = F.concat(F.lit("The Collected Book "), book, F.lit("\n"), heading, body, F.lit("\r\nPage "), page + 1)
     return t.select(book.alias("book_id"), page.alias("page_index"), text.alias("native_text"))
-
-
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files as rows for a decoder: path, book_id (the file's stem), content. A missing path raises, as Spark does."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "").alias("book_id"), "content")
-
-
-def decoded_pages(files: DataFrame, decoder, schema: str) -> DataFrame:
-    """Pages that ``decoder`` (an iterator of pandas frames to one, as mapInPandas takes) makes of files.
-
-    Decoding formats and recognising images is not done here; bring a decoder that yields ``schema``.
-    """
-    return files.mapInPandas(decoder, schema)
