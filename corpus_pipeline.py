@@ -18,12 +18,19 @@ from pagewright.llm.near_dedup import near_duplicates
 from pagewright.llm.packing import pack_documents
 from pagewright.llm.quality_rules import apply_rules
 
-_OUT = "_pipeline_verdict"
+
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the threshold table keeps. Null and very short texts go."""
-    return apply_rules(docs, out_col=_OUT).where(f"{_OUT}.kept").drop(_OUT)
+    out = _free(docs, "verdict")
+    return apply_rules(docs, out_col=out).where(F.col(out)["kept"]).drop(out)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +40,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = bt_quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
-    return bt_quality.score_documents(docs, model, out_col=_OUT).where(f"{_OUT}.predicted = 1").drop(_OUT)
+    out = _free(docs, "verdict")
+    return bt_quality.score_documents(docs, model, out_col=out).where(F.col(out)["predicted"] == 1).drop(out)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the later copies of repeated runs; a document of which nothing is left goes."""
-    out = dedup_lines(docs, out_col=_OUT)
-    out = out.where(f"size({_OUT}.runs) = 0 or length(btrim(text, ' \\t\\n\\r')) > 0").drop(_OUT)
+    name = _free(docs, "verdict")
+    out = dedup_lines(docs, out_col=name)
+    out = out.where((F.size(F.col(name)["runs"]) == 0) | F.expr("length(btrim(text, ' \\t\\n\\r')) > 0")).drop(name)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -48,8 +57,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     At five words each edited word breaks five shingles, so that only copies with few edits for their length are linked.
     """
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = _free(docs, "gone")
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
