@@ -834,6 +834,53 @@ SELECT page_index, block_id, round(coalesce(min(ay - bend) FILTER (ay - bend >=
        arg_min(other, (b_y, bx, other)) FILTER (b_y >= aend - 0.005::DOUBLE) AS next_block,
        arg_min(other, (far, other)) FILTER (is_caption AND fits) AS anchor
 FROM p GROUP BY page_index, block_id""",
+    "block_rows": f"""
+WITH RECURSIVE {_BLOCKS},
+hs AS (SELECT l_orderkey AS page_index, list_sort(list(h)) AS hs FROM blocks GROUP BY 1),
+items AS (
+  SELECT b.l_orderkey AS page_index, id, x, w, y + h / 2 AS v, (hs[(len(hs) - 1) // 2 + 1] + hs[len(hs) // 2 + 1]) / 2 AS mid
+  FROM blocks b JOIN hs ON hs.page_index = b.l_orderkey),
+by_y AS (SELECT *, greatest(0.014::DOUBLE, least(0.035::DOUBLE, mid * 0.8::DOUBLE)) AS tol, row_number() OVER (PARTITION BY page_index ORDER BY v, id) AS k FROM items),
+by_x AS (SELECT page_index, x AS v, greatest(0.014::DOUBLE, least(0.035::DOUBLE, mid * 0.85::DOUBLE)) AS tol, row_number() OVER (PARTITION BY page_index ORDER BY x, id) AS k FROM items),
+cy AS (
+  SELECT page_index, k, v AS center, 1 AS n, 1 AS cluster FROM by_y WHERE k = 1
+  UNION ALL
+  SELECT s.page_index, s.k, CASE WHEN abs(c.center - s.v) <= s.tol THEN (c.center * c.n + s.v) / (c.n + 1) ELSE s.v END,
+         CASE WHEN abs(c.center - s.v) <= s.tol THEN c.n + 1 ELSE 1 END, CASE WHEN abs(c.center - s.v) <= s.tol THEN c.cluster ELSE c.cluster + 1 END
+  FROM cy c JOIN by_y s ON s.page_index = c.page_index AND s.k = c.k + 1),
+cx AS (
+  SELECT page_index, k, v AS center, 1 AS n, 1 AS cluster FROM by_x WHERE k = 1
+  UNION ALL
+  SELECT s.page_index, s.k, CASE WHEN abs(c.center - s.v) <= s.tol THEN (c.center * c.n + s.v) / (c.n + 1) ELSE s.v END,
+         CASE WHEN abs(c.center - s.v) <= s.tol THEN c.n + 1 ELSE 1 END, CASE WHEN abs(c.center - s.v) <= s.tol THEN c.cluster ELSE c.cluster + 1 END
+  FROM cx c JOIN by_x s ON s.page_index = c.page_index AND s.k = c.k + 1),
+gaps AS (SELECT s.page_index, cluster, x - lag(x + w) OVER (PARTITION BY s.page_index, cluster ORDER BY x, id) AS gap FROM by_y s JOIN cy ON cy.page_index = s.page_index AND cy.k = s.k),
+r AS (SELECT page_index, cluster, count(*) AS n, coalesce(bool_or(gap >= 0.035::DOUBLE), false) AS wide, coalesce(list_sort(list(gap) FILTER (gap > 0)), []) AS open FROM gaps GROUP BY page_index, cluster),
+edges AS (SELECT page_index, max(cluster) AS left_edges FROM cx GROUP BY page_index)
+SELECT r.page_index, count(*)::INT AS n_rows, count_if(wide)::INT AS side_by_side, count_if(n >= 2)::INT AS aligned,
+       count_if(n >= 3 AND len(open) > 0 AND (open[(len(open) - 1) // 2 + 1] + open[len(open) // 2 + 1]) / 2 <= 0.03::DOUBLE)::INT AS tight,
+       max(n)::INT AS most_items, count_if(n = 1)::INT AS single_rows, any_value(left_edges)::INT AS left_edges
+FROM r JOIN edges ON edges.page_index = r.page_index GROUP BY r.page_index""",
+    "page_gutters": f"""
+WITH RECURSIVE {_FRAGMENTS},
+l AS (SELECT page_index, x, y, w, h, row_number() OVER (PARTITION BY page_index ORDER BY y, x, fragment_id) AS pos FROM fragments),
+p AS (
+  SELECT a.page_index, a.pos AS one, b.pos AS two, CASE WHEN a.x < b.x THEN a ELSE b END AS a, CASE WHEN a.x < b.x THEN b ELSE a END AS b
+  FROM l a JOIN l b ON a.page_index = b.page_index AND a.pos < b.pos AND b.y <= a.y + a.h AND least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) > least(a.h, b.h) * 0.5::DOUBLE),
+q AS (
+  SELECT page_index, one, row_number() OVER (PARTITION BY page_index ORDER BY one, two) AS k, a.x + a.w AS lo, b.x AS hi, least(a.y, b.y) AS top, greatest(a.y + a.h, b.y + b.h) AS low
+  FROM p WHERE b.x - (a.x + a.w) >= 0.015::DOUBLE AND NOT EXISTS (
+    SELECT 1 FROM l m WHERE m.page_index = p.page_index AND m.x > p.a.x AND m.x < p.b.x AND m.y + m.h > greatest(p.a.y, p.b.y) AND m.y < least(p.a.y + p.a.h, p.b.y + p.b.h))),
+f AS (
+  SELECT page_index, 1::BIGINT AS k, [lo] AS los, [hi] AS his, 1::BIGINT AS hit FROM q WHERE k = 1
+  UNION ALL
+  SELECT page_index, k, CASE WHEN hit > len(los) THEN list_append(los, lo) ELSE list_transform(range(1, len(los) + 1), lambda i: CASE WHEN i = hit THEN greatest(los[i], lo) ELSE los[i] END) END,
+         CASE WHEN hit > len(his) THEN list_append(his, hi) ELSE list_transform(range(1, len(his) + 1), lambda i: CASE WHEN i = hit THEN least(his[i], hi) ELSE his[i] END) END, hit
+  FROM (SELECT q.page_index, q.k, los, his, lo, hi,
+               coalesce(list_filter(range(1, len(los) + 1), lambda i: least(his[i], q.hi) - greatest(los[i], q.lo) >= 0.015::DOUBLE)[1], len(los) + 1) AS hit
+        FROM f JOIN q ON q.page_index = f.page_index AND q.k = f.k + 1))
+SELECT q.page_index, round(max(lo), 6) AS min_x, round(min(hi), 6) AS max_x, round(min(top), 6) AS y_lo, round(max(low), 6) AS y_hi
+FROM q JOIN f ON f.page_index = q.page_index AND f.k = q.k GROUP BY q.page_index, f.hit""",
     "block_backtracks": f"""
 WITH {_BLOCKS}, w AS (
   SELECT l_orderkey, x, y, w, lead(x) OVER o AS nx, lead(y) OVER o AS ny, lead(w) OVER o AS nw, median(h) OVER (PARTITION BY l_orderkey) AS m
