@@ -881,6 +881,75 @@ f AS (
         FROM f JOIN q ON q.page_index = f.page_index AND q.k = f.k + 1))
 SELECT q.page_index, round(max(lo), 6) AS min_x, round(min(hi), 6) AS max_x, round(min(top), 6) AS y_lo, round(max(low), 6) AS y_hi
 FROM q JOIN f ON f.page_index = q.page_index AND f.k = q.k GROUP BY q.page_index, f.hit""",
+    "page_complexity": f"""
+WITH RECURSIVE {_FRAGMENTS},
+fr AS (
+  SELECT page_index, row_number() OVER (PARTITION BY page_index ORDER BY fragment_id) - 1 AS i, x, y, w, h, text, CASE WHEN l_suppkey % 5 = 0 THEN 14.0 ELSE 10.0 END::DOUBLE AS font_size, l_suppkey % 7 = 0 AS bold
+  FROM fragments JOIN numbered ON l_orderkey = page_index AND nth = fragment_id),
+ls AS (SELECT page_index, count(*) AS n, list_sort(list(h)) AS hs, list_sort(list(w)) AS ws, list_sort(list(font_size)) AS fs, count_if(length(replace(text, ' ', '')) <= 22) / count(*) AS short_share FROM fr GROUP BY page_index),
+pg AS (
+  SELECT page_index, n, short_share, 0.5::DOUBLE * hs[(n - 1) // 2 + 1] + 0.5::DOUBLE * hs[n // 2 + 1] AS median_h, 0.5::DOUBLE * ws[(n - 1) // 2 + 1] + 0.5::DOUBLE * ws[n // 2 + 1] AS median_w,
+         0.5::DOUBLE * fs[(n - 1) // 2 + 1] + 0.5::DOUBLE * fs[n // 2 + 1] AS font FROM ls),
+by_x AS (SELECT fr.page_index, i, x AS v, greatest(0.014::DOUBLE, least(0.035::DOUBLE, median_h * 0.85::DOUBLE)) AS tol, row_number() OVER (PARTITION BY fr.page_index ORDER BY x, i) AS k FROM fr JOIN pg USING (page_index)),
+by_y AS (SELECT fr.page_index, i, y + h / 2 AS v, greatest(0.014::DOUBLE, least(0.035::DOUBLE, median_h * 0.8::DOUBLE)) AS tol, row_number() OVER (PARTITION BY fr.page_index ORDER BY y + h / 2, i) AS k FROM fr JOIN pg USING (page_index)),
+cx AS (
+  SELECT page_index, k, i, v AS center, 1 AS n, 1 AS cluster FROM by_x WHERE k = 1
+  UNION ALL
+  SELECT s.page_index, s.k, s.i, CASE WHEN abs(c.center - s.v) <= s.tol THEN (c.center * c.n + s.v) / (c.n + 1) ELSE s.v END,
+         CASE WHEN abs(c.center - s.v) <= s.tol THEN c.n + 1 ELSE 1 END, CASE WHEN abs(c.center - s.v) <= s.tol THEN c.cluster ELSE c.cluster + 1 END
+  FROM cx c JOIN by_x s ON s.page_index = c.page_index AND s.k = c.k + 1),
+cy AS (
+  SELECT page_index, k, i, v AS center, 1 AS n, 1 AS cluster FROM by_y WHERE k = 1
+  UNION ALL
+  SELECT s.page_index, s.k, s.i, CASE WHEN abs(c.center - s.v) <= s.tol THEN (c.center * c.n + s.v) / (c.n + 1) ELSE s.v END,
+         CASE WHEN abs(c.center - s.v) <= s.tol THEN c.n + 1 ELSE 1 END, CASE WHEN abs(c.center - s.v) <= s.tol THEN c.cluster ELSE c.cluster + 1 END
+  FROM cy c JOIN by_y s ON s.page_index = c.page_index AND s.k = c.k + 1),
+edges AS (SELECT page_index, cluster, count(*) AS c, arg_max(center, k) AS center, list_sort(list(x + w)) AS rs, list_sort(list(x)) AS xs FROM cx JOIN fr USING (page_index, i) GROUP BY page_index, cluster),
+lanes AS (
+  SELECT e.page_index, cluster, center, (rs[(c - 1) // 2 + 1] + rs[c // 2 + 1]) / 2 AS r, (xs[(c - 1) // 2 + 1] + xs[c // 2 + 1]) / 2 AS l
+  FROM edges e JOIN pg USING (page_index) WHERE c >= greatest(2, ceil(n * 0.18::DOUBLE))),
+between_ AS (SELECT page_index, lo, hi FROM (SELECT page_index, r AS lo, lead(l) OVER (PARTITION BY page_index ORDER BY cluster) AS hi FROM lanes) WHERE hi IS NOT NULL),
+gaps AS (SELECT cy.page_index, cluster, cy.k, i, x - lag(x + w) OVER (PARTITION BY cy.page_index, cluster ORDER BY x, i) AS gap FROM cy JOIN fr USING (page_index, i)),
+rw AS (SELECT page_index, cluster AS at_row, count(*) AS c, arg_min(i, k) AS first, coalesce(bool_or(gap >= 0.035::DOUBLE), false) AS wide, coalesce(list_sort(list(gap) FILTER (gap > 0)), []) AS open FROM gaps GROUP BY page_index, cluster),
+per AS (
+  SELECT page_index, count_if(wide) AS side_by_side, count_if(c >= 2) AS aligned, max(c) AS most_items, count_if(c = 1) AS single_rows, min(at_row) FILTER (wide) AS a, max(at_row) FILTER (wide) AS z,
+         count_if(c >= 3 AND len(open) > 0 AND (open[(len(open) - 1) // 2 + 1] + open[len(open) // 2 + 1]) / 2 <= 0.03::DOUBLE) AS tight FROM rw GROUP BY page_index),
+singles AS (
+  SELECT rw.page_index, at_row, (median_w > 0 AND w >= median_w * 1.3::DOUBLE) OR bold OR (font > 0 AND font_size >= font * 1.22::DOUBLE) OR EXISTS (
+    SELECT 1 FROM between_ g WHERE g.page_index = rw.page_index AND hi - lo >= 0.015::DOUBLE AND x <= lo + (hi - lo) * 0.35::DOUBLE AND x + w >= hi - (hi - lo) * 0.35::DOUBLE) AS strong
+  FROM rw JOIN fr ON fr.page_index = rw.page_index AND fr.i = rw.first JOIN pg ON pg.page_index = rw.page_index WHERE c = 1),
+placed AS (SELECT s.page_index, bool_or(at_row < a) AS ahead, bool_or(at_row > z) AS behind, bool_or(at_row > a AND at_row < z) AS inside, bool_or(strong) AS strong FROM singles s JOIN per USING (page_index) GROUP BY s.page_index),
+nl AS (SELECT page_index, count(*) AS dominant_lanes, min(cluster) AS only_one, min(center) AS center FROM lanes GROUP BY page_index),
+body AS (SELECT cx.page_index, min(y) AS top, max(y + h) AS low FROM cx JOIN nl ON nl.page_index = cx.page_index AND cx.cluster = only_one JOIN fr ON fr.page_index = cx.page_index AND fr.i = cx.i WHERE dominant_lanes = 1 GROUP BY cx.page_index),
+sided AS (
+  SELECT b.page_index FROM body b JOIN nl USING (page_index) JOIN cx USING (page_index) JOIN fr ON fr.page_index = b.page_index AND fr.i = cx.i
+  WHERE cx.cluster != only_one AND abs(x - nl.center) >= 0.14::DOUBLE AND y + h / 2 >= top - 0.02::DOUBLE AND y + h / 2 <= low + 0.02::DOUBLE GROUP BY b.page_index),
+strips AS (SELECT DISTINCT page_index, unnest(range(least(63, floor(x * 64)::INT), least(63, floor(greatest(x, x + w - 0.000001::DOUBLE) * 64)::INT) + 1)) AS strip FROM fr),
+steps AS (SELECT page_index, strip - lag(strip) OVER (PARTITION BY page_index ORDER BY strip) - 1 AS empty FROM strips),
+ig AS (SELECT page_index, coalesce(max(empty), 0) / 64.0::DOUBLE AS interior_gap FROM steps GROUP BY page_index),
+lg AS (SELECT page_index, greatest(0, max(hi - lo)) AS lane_gap FROM between_ GROUP BY page_index),
+le AS (SELECT page_index, max(cluster) AS left_edges FROM cx GROUP BY page_index),
+ft AS (
+  SELECT page_index, n AS n_fragments, left_edges, coalesce(dominant_lanes, 0) AS dominant_lanes, side_by_side, aligned, most_items, single_rows, interior_gap, coalesce(lane_gap, 0) AS lane_gap, median_w, median_h, short_share, tight,
+         sided.page_index IS NOT NULL AS side_lane,
+         coalesce(dominant_lanes >= 2 AND side_by_side > 0 AND single_rows > 0 AND (inside OR (ahead AND behind) OR ((ahead OR behind) AND strong)), false) AS mixed_bands
+  FROM pg JOIN per USING (page_index) JOIN le USING (page_index) JOIN ig USING (page_index) LEFT JOIN nl USING (page_index) LEFT JOIN lg USING (page_index) LEFT JOIN placed USING (page_index) LEFT JOIN sided USING (page_index)),
+vd AS (
+  SELECT *, CASE WHEN (aligned >= 2 AND dominant_lanes >= 2 AND short_share >= 0.72::DOUBLE AND median_w <= 0.22::DOUBLE) OR (tight >= 2 AND most_items >= 3 AND dominant_lanes >= 3) THEN 'likelyTableHeavy'
+                 WHEN mixed_bands AND dominant_lanes >= 2 AND aligned >= 2 AND lane_gap >= 0.015::DOUBLE THEN 'mixedRegions'
+                 WHEN dominant_lanes >= 2 AND lane_gap >= 0.025::DOUBLE THEN 'likelyMultiColumn' WHEN side_lane THEN 'irregularPositioned'
+                 WHEN dominant_lanes <= 1 AND side_by_side <= 1 THEN 'simpleSingleColumn' ELSE 'unknown' END AS complexity FROM ft),
+cf AS (
+  SELECT *, least(1, CASE complexity
+    WHEN 'likelyTableHeavy' THEN 0.74::DOUBLE + least(0.1::DOUBLE, aligned * 0.02::DOUBLE) + CASE WHEN most_items >= 3 THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN short_share >= 0.9::DOUBLE THEN 0.04::DOUBLE ELSE 0 END
+    WHEN 'mixedRegions' THEN 0.74::DOUBLE + least(0.1::DOUBLE, aligned * 0.02::DOUBLE) + least(0.08::DOUBLE, (dominant_lanes - 1) * 0.04::DOUBLE) + least(0.06::DOUBLE, lane_gap * 0.35::DOUBLE)
+    WHEN 'likelyMultiColumn' THEN 0.68::DOUBLE + least(0.14::DOUBLE, aligned * 0.025::DOUBLE) + least(0.1::DOUBLE, (dominant_lanes - 1) * 0.05::DOUBLE) + least(0.08::DOUBLE, lane_gap * 0.4::DOUBLE)
+    WHEN 'irregularPositioned' THEN 0.68::DOUBLE + least(0.12::DOUBLE, (left_edges - 1) * 0.04::DOUBLE)
+    WHEN 'simpleSingleColumn' THEN CASE WHEN left_edges <= 2 THEN 0.94::DOUBLE ELSE 0.86::DOUBLE END ELSE 0.45::DOUBLE END) AS confidence FROM vd)
+SELECT page_index, n_fragments::INT AS n_fragments, left_edges::INT AS left_edges, dominant_lanes::INT AS dominant_lanes, side_by_side::INT AS side_by_side, aligned::INT AS aligned, most_items::INT AS most_items, single_rows::INT AS single_rows,
+       round(interior_gap, 6) AS interior_gap, round(lane_gap, 6) AS lane_gap, round(median_w, 6) AS median_w, round(median_h, 6) AS median_h, round(short_share, 6) AS short_share, side_lane, mixed_bands,
+       complexity, round(confidence, 6) AS confidence, complexity NOT IN ('simpleSingleColumn', 'unknown') AND confidence >= 0.62::DOUBLE AS analyzes
+FROM cf""",
     "block_backtracks": f"""
 WITH {_BLOCKS}, w AS (
   SELECT l_orderkey, x, y, w, lead(x) OVER o AS nx, lead(y) OVER o AS ny, lead(w) OVER o AS nw, median(h) OVER (PARTITION BY l_orderkey) AS m
