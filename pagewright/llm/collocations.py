@@ -29,14 +29,14 @@ WORDS_EACH, MOST_BUCKETS = 8, 1 << 26
 #: Buckets that travel in one row, and that there are at least; rows that are summed at once.
 SHARE, SUMMED = 1 << 16, 64
 #: Words of a block; a longer text is a block of its own.
-BLOCK = 500_000
+BLOCK = 250_000
 #: Counted phrases that a task holds before it gives them out; those of its blocks are added up so far.
-HELD = 400_000
+HELD = 300_000
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _CUT = b"\xff"  # no byte of UTF-8
-_CODED = "lang string, words array<string>, ids binary, n long"
+_CODED = "lang string, words binary, ids binary, n long"
 _COUNTED = "lang string, phrase string, hash long, n long, share int, counts binary"
 _OWN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("n", pa.int64())])
 
@@ -72,11 +72,11 @@ class _Numbers(dict):
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of (lang, text)."""
     table, held = _table(), {}
-    schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("ids", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("words", pa.binary()), ("ids", pa.binary()), ("n", pa.int64())])
 
     def block(lang: str) -> pa.RecordBatch:
         numbers, ids, _ = held.pop(lang)
-        words = [w.decode() for w in numbers if w != _CUT]
+        words = _CUT.join(w for w in numbers if w != _CUT)
         ids = np.concatenate(ids)
         return pa.RecordBatch.from_pydict({"lang": [lang], "words": [words], "ids": [ids.tobytes()], "n": [int((ids >= 0).sum())]}, schema=schema)
 
@@ -114,9 +114,9 @@ def _bit(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
 def _pass(k: int, most: int, min_count: int, size: int, buckets: np.ndarray | None, frequent: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts of the phrases of k words that may be frequent, added up in the task, and of the buckets of k + 1 words, up to ``min_count`` a task."""
 
-    def counted(lang: str, words: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def counted(lang: str, words: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Names of k words, where they may be frequent, names of k + 1 words and where both of their parts may be."""
-        own = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in words), _U, len(words))
+        own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
         single = _mix(np.append(own, _U(0)) + _U(xxhash.xxh3_64_intdigest(lang)))[ids]
         names, word = [None, single], ids >= 0
         inside = [np.ones(len(ids), bool), word]
@@ -154,12 +154,14 @@ def _pass(k: int, most: int, min_count: int, size: int, buckets: np.ndarray | No
         sums = np.zeros(size, _kind(min_count))
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("n", pa.int64()), ("share", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
-            for lang, words, packed in zip(batch["lang"].to_pylist(), batch["words"], batch["ids"], strict=True):
+            for lang, joined, packed in zip(batch["lang"].to_pylist(), batch["words"], batch["ids"], strict=True):
                 ids = np.frombuffer(packed.as_buffer(), np.int32)
-                names, at, longer, both = counted(lang, words.values, ids)
+                words = bytes(joined.as_buffer()).split(_CUT)
+                names, at, longer, both = counted(lang, words, ids)
                 if k and len(at):
                     first, name, n = _phrases(ids, at, names, k)
-                    phrase = pc.binary_join_element_wise(*[words.values.take(pa.array(ids[first + j])) for j in range(k)], " ")
+                    own = pa.array(words, pa.binary()).cast(pa.string())
+                    phrase = pc.binary_join_element_wise(*[own.take(pa.array(ids[first + j])) for j in range(k)], " ")
                     held.append(pa.Table.from_arrays([pa.array([lang] * len(n), pa.string()), phrase, pa.array(name.view(np.int64)), pa.array(n)], schema=_OWN))
                     if sum(map(len, held)) > HELD:
                         held = [added(held)]
