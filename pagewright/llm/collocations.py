@@ -31,12 +31,12 @@ SHARE, SUMMED = 1 << 16, 64
 #: Words of a block; a longer text is a block of its own.
 BLOCK = 250_000
 #: Counted phrases that a task holds before it gives them out; those of its blocks are added up so far.
-HELD = 300_000
+HELD = 200_000
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _CUT = b"\xff"  # no byte of UTF-8
-_CODED = "lang string, words binary, ids binary, n long"
+_CODED = "lang string, words binary, ids binary, sizes array<int>, n long"
 _COUNTED = "lang string, phrase string, hash long, n long, share int, counts binary"
 _OWN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("n", pa.int64())])
 
@@ -69,16 +69,26 @@ class _Numbers(dict):
         return n
 
 
+def _packed(content: bytes) -> bytes:
+    """Compressed, so that what tasks hold of blocks that wait is small."""
+    return pa.compress(content, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes | pa.Buffer, size: int) -> bytes:
+    return pa.decompress(packed, size, codec="zstd", asbytes=True)
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of (lang, text)."""
     table, held = _table(), {}
-    schema = pa.schema([("lang", pa.string()), ("words", pa.binary()), ("ids", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("words", pa.binary()), ("ids", pa.binary()), ("sizes", pa.list_(pa.int32())), ("n", pa.int64())])
 
     def block(lang: str) -> pa.RecordBatch:
         numbers, ids, _ = held.pop(lang)
         words = _CUT.join(w for w in numbers if w != _CUT)
         ids = np.concatenate(ids)
-        return pa.RecordBatch.from_pydict({"lang": [lang], "words": [words], "ids": [ids.tobytes()], "n": [int((ids >= 0).sum())]}, schema=schema)
+        row = {"lang": [lang], "words": [_packed(words)], "ids": [_packed(ids.tobytes())], "sizes": [[len(words), ids.nbytes]], "n": [int((ids >= 0).sum())]}
+        return pa.RecordBatch.from_pydict(row, schema=schema)
 
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -154,9 +164,9 @@ def _pass(k: int, most: int, min_count: int, size: int, buckets: np.ndarray | No
         sums = np.zeros(size, _kind(min_count))
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("n", pa.int64()), ("share", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
-            for lang, joined, packed in zip(batch["lang"].to_pylist(), batch["words"], batch["ids"], strict=True):
-                ids = np.frombuffer(packed.as_buffer(), np.int32)
-                words = bytes(joined.as_buffer()).split(_CUT)
+            for lang, joined, packed, sizes in zip(batch["lang"].to_pylist(), batch["words"], batch["ids"], batch["sizes"].to_pylist(), strict=True):
+                ids = np.frombuffer(_unpacked(packed.as_buffer(), sizes[1]), np.int32)
+                words = _unpacked(joined.as_buffer(), sizes[0]).split(_CUT)
                 names, at, longer, both = counted(lang, words, ids)
                 if k and len(at):
                     first, name, n = _phrases(ids, at, names, k)
@@ -187,12 +197,12 @@ def _kind(min_count: int) -> type:
 
 
 def _short(counts: np.ndarray, min_count: int) -> bytes:
-    return pa.compress(counts.astype(_kind(min_count)).tobytes(), codec="zstd", asbytes=True)
+    return _packed(counts.astype(_kind(min_count)).tobytes())
 
 
 def _counts(short: bytes | pa.Buffer, min_count: int) -> np.ndarray:
     kind = np.dtype(_kind(min_count))
-    return np.frombuffer(pa.decompress(short, SHARE * kind.itemsize, codec="zstd", asbytes=True), kind)
+    return np.frombuffer(_unpacked(short, SHARE * kind.itemsize), kind)
 
 
 def _frequent_buckets(counted: DataFrame, min_count: int, size: int) -> np.ndarray:
@@ -235,7 +245,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """(lang, phrase, k, f) of all phrases of up to ``max_words`` words that occur ``min_count`` times in a language, and (lang, n) of all words."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     coded = written(texts.mapInArrow(_coded, _CODED), "coded")
-    blocks = coded.select("lang", "words", "ids")
+    blocks = coded.select("lang", "words", "ids", "sizes")
     n = coded.agg(F.sum("n")).first()[0] or 0
     size = min(MOST_BUCKETS, max(SHARE, 1 << (n // WORDS_EACH).bit_length()))
     buckets = phrases = None
