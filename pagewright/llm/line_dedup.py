@@ -49,11 +49,21 @@ def cut_words(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
 
 
-def fingerprints(h: Column, gram: int, window: int, rate: int = RATE) -> Column:
-    """The fingerprints of a document from the hashes of its words: an array of f (hash), a and b (first and last stretch), c (all words of these)."""
+def hashed_pairs(text: Column, min_words: int) -> Column:
+    """A hash of each word of a text with the next one, or alone where stretches have one word. Stretches are hashed by every second of them."""
+    return let(words(text), lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1)) if min_words > 1 else F.xxhash64(x)))
+
+
+def _seconds(n: int) -> list[int]:
+    """The places of the pairs that cover ``n`` words."""
+    return [*range(0, n - 1, 2), *([n - 2] if n % 2 and n > 1 else [])] or [0]
+
+
+def fingerprints(pairs: Column, gram: int, window: int, rate: int = RATE) -> Column:
+    """The fingerprints of a document from ``hashed_pairs``: an array of f (hash), a and b (first and last stretch), c (all words of these)."""
     longest = 30  # bits of a place
     reach = gram + window - 1
-    n = F.size(h) - (gram - 1)
+    n = F.size(pairs) - (gram - 1)
 
     def least(x: Column, size: int) -> Column:
         """The least of each ``window`` neighbours, by doubling; the last two parts may overlap."""
@@ -86,13 +96,12 @@ def fingerprints(h: Column, gram: int, window: int, rate: int = RATE) -> Column:
 
     def print_(keys: Column, x: Column) -> Column:
         """c covers the words from a on, two by two, up to the last that a stretch at b reaches, or a few more."""
-        f = F.xxhash64(*[F.get(h, x + i) for i in range(gram)])
+        f = F.xxhash64(*[F.get(keys, x + i) for i in _seconds(gram)])
         c = lambda a: F.xxhash64(x - a, *[F.get(keys, a + i) for i in range(0, window - 1 + reach, 2)])
         return let(F.greatest(F.lit(0), x - (window - 1)), lambda a: F.struct(f.alias("f"), a.alias("a"), F.least(x, n - window).alias("b"), c(a).alias("c")))
 
-    keys = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
     none = F.array().cast("array<struct<f:bigint,a:int,b:int,c:bigint>>")
-    return F.when(n >= window, let(keys, taken)).otherwise(none)
+    return F.when(n >= window, taken(pairs)).otherwise(none)
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,9 +118,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """_pw_at and runs: for each document that has some, the runs of words (a to b) that occur earlier, in order. Ids must be unique."""
     window = max(1, min(window, min_words - 1))
     docs = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= 2 * min_words - 1)).select(F.col(id_col).alias("at"), F.col(text_col).alias("text"))
-    hashed = F.transform(words(F.col("text")), lambda x: F.xxhash64(x))
+    hashed = hashed_pairs(F.col("text"), min_words)
 
-    prints = docs.select("at", F.inline(let(hashed, lambda h: fingerprints(h, min_words - window + 1, window))))
+    prints = docs.select("at", F.inline(let(hashed, lambda k: fingerprints(k, min_words - window + 1, window))))
     prints = prints.withColumn("later", F.col("at") > F.min("at").over(Window.partitionBy("f", "c")))
     prints = prints.withColumn("left", F.sum(F.when(F.col("later"), 0).otherwise(1)).over(Window.partitionBy("f")))
     ranges = written(prints.where("later or left > 1").select("at", "a", "b", "later"), "ranges")
@@ -122,10 +131,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     each = lambda c: F.flatten(F.transform(c, lambda x: F.sequence(x["a"], x["b"])))
     places = F.array_except(each("hits"), each("gone"))
 
-    def stretches_of(h: Column) -> Column:
-        pairs = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
-        rest = lambda p: [F.get(h, p + (min_words - 1))] if min_words % 2 else []
-        return let(pairs, lambda k: F.transform(places, lambda p: F.struct(F.xxhash64(*[F.get(k, p + i) for i in range(0, min_words - 1, 2)], *rest(p)).alias("c"), p.alias("p"))))
+    def stretches_of(k: Column) -> Column:
+        return F.transform(places, lambda p: F.struct(F.xxhash64(*[F.get(k, p + i) for i in _seconds(min_words)]).alias("c"), p.alias("p")))
 
     in_order = docs.join(hits, "at").select("at", F.sort_array(let(hashed, stretches_of)).alias("s"))
     again = lambda s, x, i: (i > 0) & (F.get(s, i - 1)["c"] == x["c"])
