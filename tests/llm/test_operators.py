@@ -7,6 +7,7 @@ import heapq
 import itertools
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -534,6 +535,42 @@ def test_loser_tree_merges_like_a_heap(keys):
     assert [warc._key(x) for x in warc.merge_runs(runs)] == [warc._key(x) for x in heapq.merge(*runs, key=warc._key)]
 
 
+# ---- 1, features and scores
+
+
+def features_by_hand(text):
+    t = text or ""
+    n_words, chars, symbols, dup_lines, repeat, _ = rules_by_hand(t)
+    n, c = max(n_words, 1), max(chars, 1)
+    plain = t.lower().translate(str.maketrans(dict.fromkeys(quality_rules.MARKS, " ")))
+    stops = sum(w in quality_rules.STOP_WORDS for w in WORD.findall(plain)) / n
+    n_lines = max(1, sum(bool(WORD.search(x)) for x in t.split("\n")))
+    share = lambda x, total: np.log1p(20 * x / total)
+    upper = sum(unicodedata.category(x) == "Lu" for x in t)
+    ends = len(re.findall(r"[.?!](?:[ \t\n\x0b\f\r]|\Z)", t))
+    distinct = len(set(WORD.findall(t.lower())))
+    return [
+        share(symbols, n), stops, share(dup_lines, n_lines), share(repeat, n), np.log1p(chars / n), share(upper, c), share(t.count("!"), n), share(sum(x in "0123456789" for x in t), c),
+        np.log1p(distinct) / np.log1p(n), np.log1p(n), share(ends, n), max(0.0, 0.15 - stops) if n >= 20 else 0.0,
+    ]
+
+
+def test_features_and_scores_match_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd_docs(spark).select("doc_id", "text").where("doc_id is not null and doc_id != 9").withColumn("doc_id", -F.col("doc_id")))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["x"] for r in docs.select("doc_id", bt_quality.features(F.col("text")).alias("x")).collect()}
+    want = {d: features_by_hand(t) for d, t in texts.items()}
+    for d in texts:
+        assert got[d] == pytest.approx(want[d], abs=1e-9), d
+    model = bt_quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    scored = {r["doc_id"]: r["q"] for r in bt_quality.score_documents(docs, model, out_col="q").collect()}
+    for d, x in want.items():
+        raw = float(np.dot(model.weights, x))
+        z = (raw - model.threshold) * model.scale + np.log(bt_quality.AT_THRESHOLD / (1 - bt_quality.AT_THRESHOLD))
+        assert scored[d]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+        assert scored[d]["predicted"] == int(scored[d]["score"] >= 0.3)
+
+
 # ---- 9, fingerprints
 
 
@@ -545,14 +582,19 @@ def test_edited_texts_and_likeness(spark):
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(real).collect()}
     assert set(got) == set(texts)
     shingles = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := WORD.findall(t)) else set()
-    errors = []
+    errors, next_errors = [], []
     for d, t in texts.items():
         half = len(t) // 2
+        c = shingles(texts[following[d]])
+        next_errors.append(abs(got[d]["near_next"] - (len(shingles(t) & c) / len(shingles(t) | c) if shingles(t) | c else 1.0)))
         edited = t[: len(t) - half] + texts[following[d]][:half]
         assert got[d]["edited"] == edited and got[d]["n_chars"] == len(t)
         a, b = shingles(t), shingles(edited)
         errors.append(abs(got[d]["near_edited"] - (len(a & b) / len(a | b) if a | b else 1.0)))
     assert np.mean(errors) < 0.04 and max(errors) < 0.2
+    assert np.mean(next_errors) < 0.04 and max(next_errors) < 0.2
+    pair = spark.createDataFrame([(1, prose(random.Random(1), 300)), (2, prose(random.Random(1), 300)), (3, "another text of other words " * 30)], "doc_id long, text string")
+    assert {r["doc_id"]: round(r["near_next"], 1) for r in fingerprints.fingerprint_edits(pair).collect()} == {3: 0.0, 2: 1.0, 1: 0.0}
     by_text = {}
     for d, t in texts.items():
         assert by_text.setdefault(t, got[d]["fingerprint"]) == got[d]["fingerprint"]
