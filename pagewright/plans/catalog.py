@@ -59,6 +59,15 @@ def page_clean(spark, sf_dir):
     return p.select("book_id", "page_index", "text", t.word_count(F.col("text")).alias("n_words"))
 
 
+def page_dehyphenated(spark, sf_dir):
+    """Documents in which words are broken over lines, put together again."""
+    d = _read(spark, sf_dir, "documents")
+    broken = F.coalesce("text", F.lit(""))
+    for whole, parts in (("tion", "ti-\non"), (" the ", " well-\nthe "), (" und ", " zwei-\nund-drei "), (". ", ".\n")):
+        broken = F.replace(broken, F.lit(whole), F.lit(parts))
+    return d.select("doc_id", t.dehyphenate(broken).alias("text"))
+
+
 def quality_policy(spark, sf_dir):
     odd = [F.col("text"), F.lit(""), F.lit("Short text"), F.repeat(F.lit("�"), F.lit(20)), F.lit("@@@ ### $$$ %%% !!!"), F.substring("text", 1, 60)]
     config = OcrConfig(native_text_threshold=60)
@@ -455,7 +464,7 @@ def speech_segments_by_page(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        page_clean, quality_policy, source_selection, recognized_text, scanned, edge_lines, book_cleanup, chapters_by_heading, chapters_by_outline, chapters_by_bucket, book_statistics, book_text,
+        page_clean, page_dehyphenated, quality_policy, source_selection, recognized_text, scanned, edge_lines, book_cleanup, chapters_by_heading, chapters_by_outline, chapters_by_bucket, book_statistics, book_text,
         latest_turns, book_metadata, outline_walk, line_signatures, page_numbers, html_pages, stable_ids, table_rows, rect_unions, rect_conflicts, rect_normalized, block_neighbours, block_rows, block_backtracks, reading_edges, text_similarity, speech_segments, speech_segments_by_page,
         page_gaps, page_gutters, page_inventories, fragment_widths, note_marks, column_serials, page_complexity, layout_lines, layout_blocks, layout_regions, layout_roles, layout_order, layout_decisions, column_lanes, column_bands, glyph_islands, glyph_samples, glyph_gutters, native_fragments, native_order, native_paragraphs, effective_edges,
     )
@@ -723,6 +732,27 @@ WITH c AS (SELECT l_orderkey, l_suppkey % 3 AS k, min(l_linenumber) AS lo, max(l
 w AS (SELECT l_orderkey, coalesce(lag(hi) OVER o < lo, true) AS up, coalesce(lag(lo) OVER o > hi, true) AS down FROM c WINDOW o AS (PARTITION BY l_orderkey ORDER BY k))
 SELECT l_orderkey AS page_index, bool_and(up) OR bool_and(down) AS serial FROM w GROUP BY l_orderkey""",
     "page_clean": f"WITH {_PAGES} SELECT book_id, page_index, text, {_words('text')}::INT AS n_words FROM pages_in",
+    "page_dehyphenated": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, string_split(replace(replace(replace(replace(coalesce(text, ''), 'tion', 'ti-' || chr(10) || 'on'), ' the ', ' well-' || chr(10) || 'the '), ' und ', ' zwei-' || chr(10) || 'und-drei '), '. ', '.' || chr(10)), chr(10)) AS l
+  FROM documents),
+l AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS k FROM d),
+b AS (SELECT *, regexp_replace(line, '^[ \t\p{Zs}]+|[ \t\p{Zs}]+$', '', 'g') AS bare FROM l),
+f AS (
+  SELECT doc_id, k, line AS now, '' AS done FROM b WHERE k = 1
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN NOT joins THEN line
+                         WHEN contains(word, '-') OR list_contains(['self', 'well', 'state', 'high', 'low', 'long', 'short', 'full', 'part', 'cross', 'half'], stem)
+                           OR list_contains(['a', 'an', 'and', 'as', 'at', 'be', 'been', 'being', 'by', 'for', 'from', 'in', 'is', 'of', 'on', 'or', 'the', 'to', 'was', 'were', 'with'], word) THEN x || bare
+                         ELSE x[1:length(x) - 1] || bare END,
+         CASE WHEN joins THEN done ELSE done || now || chr(10) END
+  FROM (
+    SELECT *, lower(regexp_extract(x, '(\p{L}*)-$', 1)) AS stem, lower(regexp_extract(bare, '^[\p{L}-]*')) AS word,
+           x LIKE '%-' AND length(regexp_extract(x, '(\p{L}*)-$', 1)) >= 2 AND regexp_matches(bare, '^\p{Ll}')
+             AND NOT regexp_matches(x, '^\s*([-*•]|[0-9]+[.)]|[A-Za-z][.)])\s+') AND NOT regexp_matches(bare, '^\s*([-*•]|[0-9]+[.)]|[A-Za-z][.)])\s+')
+             AND NOT (len(regexp_extract_all(x, '\p{L}')) >= 4 AND NOT regexp_matches(x, '\p{Ll}')) AS joins
+    FROM (SELECT b.doc_id, b.k, b.line, b.bare, now, done, regexp_replace(now, '^[ \t\p{Zs}]+|[ \t\p{Zs}]+$', '', 'g') AS x FROM f JOIN b ON b.doc_id = f.doc_id AND b.k = f.k + 1)))
+SELECT f.doc_id, done || now AS text FROM f JOIN d ON d.doc_id = f.doc_id AND f.k = len(d.l)""",
     "quality_policy": rf"""
 WITH v AS (
   SELECT doc_id, coalesce(text, '') AS ocr, unnest([text, '', 'Short text', repeat(chr(65533), 20), '@@@ ### $$$ %%% !!!', text[1:60]]) AS native,
