@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +79,23 @@ def registry(mappings: Sequence[Mapping]) -> tuple[dict[str, Mapping], frozenset
     return {schema_fingerprint(m.paths()): m for m in mappings}, frozenset().union(*(m.paths() for m in mappings))
 
 
+def read_record(text: str | None, known: dict[str, Mapping], paths: frozenset[str]) -> tuple[str | None, str | None, list[tuple[str, str]] | None]:
+    """Fingerprint, layout and turns of one record."""
+    try:
+        record = json.loads(text) if text is not None else None
+    except ValueError:
+        record = None
+    if not isinstance(record, dict):
+        return None, None, None
+    print_ = schema_fingerprint(field_paths(record) & paths)
+    m = known.get(print_)
+    return print_, m and m.name, m and m.read(record)
+
+
+def _structs(turns: Sequence[tuple[str, str]]) -> list[dict[str, str]]:
+    return [{"role": r, "text": t} for r, t in turns]
+
+
 def canonical_turns(records: DataFrame, id_col: str, json_col: str, mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
     """For each row its id, fingerprint, layout and turns (array of role and text).
 
@@ -89,18 +107,7 @@ def canonical_turns(records: DataFrame, id_col: str, json_col: str, mappings: Se
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for text in pdf["record"]:
-                try:
-                    record = json.loads(text) if text is not None else None
-                except ValueError:
-                    record = None
-                if not isinstance(record, dict):
-                    out.append((None, None, None))
-                    continue
-                print_ = schema_fingerprint(field_paths(record) & paths)
-                m = known.get(print_)
-                out.append((print_, m and m.name, m and [{"role": r, "text": t} for r, t in m.read(record)]))
+            out = [(a, b, turns and _structs(turns)) for a, b, turns in (read_record(text, known, paths) for text in pdf["record"])]
             yield pd.DataFrame({"id": pdf["id"], "fingerprint": [x[0] for x in out], "layout": [x[1] for x in out], "turns": [x[2] for x in out]})
 
     rows = records.select(F.col(id_col).alias("id"), F.col(json_col).alias("record"))
@@ -152,6 +159,11 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def masked(formatted: str, spans: Sequence[tuple[int, int]]) -> list[str]:
+    """The unescaped text under every span of the loss mask."""
+    return [unescape(formatted[a : a + n]) for a, n in spans]
+
+
 def format_conversations(canonical: DataFrame, id_col: str, turns_col: str = "turns") -> DataFrame:
     """For each row its id, formatted (text) and loss (array of start and length in code points). Null turns give nulls."""
     kind = canonical.schema[id_col].dataType.simpleString()
@@ -176,14 +188,47 @@ def read_back(formatted: DataFrame, id_col: str, keep: Sequence[str] = ()) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            turns = [None if x is None else [{"role": r, "text": t} for r, t in parse_turns(x)] for x in pdf["formatted"]]
-            texts = [None if x is None else [unescape(x[s["start"] : s["start"] + s["length"]]) for s in spans] for x, spans in zip(pdf["formatted"], pdf["loss"], strict=True)]
+            turns = [None if x is None else _structs(parse_turns(x)) for x in pdf["formatted"]]
+            texts = [None if x is None else masked(x, [(s["start"], s["length"]) for s in spans]) for x, spans in zip(pdf["formatted"], pdf["loss"], strict=True)]
             yield pd.DataFrame({"id": pdf["id"], "turns": turns, "loss_texts": texts} | {c: pdf[c] for c in keep})
 
     rows = formatted.select(F.col(id_col).alias("id"), "formatted", "loss", *keep)
     return rows.mapInPandas(run, f"id {kind}, turns array<struct<role:string,text:string>>, loss_texts array<string>{more}").withColumnRenamed("id", id_col)
 
 
+#: Records that ``format_records`` holds at once.
+HELD = 256
+
+
+def format_records(records: DataFrame, id_col: str, json_col: str, mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
+    """``canonical_turns``, ``format_conversations`` and ``read_back`` of JSON records in one step, so that a task has one Python worker.
+
+    id, fingerprint, layout, formatted and loss; turns and loss_texts as read back from these two. Null where the layout isn't known.
+    """
+    known, paths = registry(mappings)
+    kind = records.schema[id_col].dataType.simpleString()
+    turn, span = pa.struct([("role", pa.string()), ("text", pa.string())]), pa.struct([("start", pa.int64()), ("length", pa.int64())])
+    own = [("fingerprint", pa.string()), ("layout", pa.string()), ("formatted", pa.string()), ("loss", pa.list_(span)), ("turns", pa.list_(turn)), ("loss_texts", pa.list_(pa.string()))]
+
+    def row(text: str | None) -> tuple:
+        print_, layout, turns = read_record(text, known, paths)
+        if turns is None:
+            return print_, layout, None, None, None, None
+        formatted, spans = format_turns(turns)
+        return print_, layout, formatted, [{"start": a, "length": n} for a, n in spans], _structs(parse_turns(formatted)), masked(formatted, spans)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([batch.schema.field("id"), *own])
+            for part in (batch.slice(at, HELD) for at in range(0, len(batch), HELD)):
+                columns = zip(*map(row, part["record"].to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part["id"], *[pa.array(c, t) for c, (_, t) in zip(columns, own, strict=True)]], schema=schema)
+
+    rows = records.select(F.col(id_col).alias("id"), F.col(json_col).alias("record"))
+    done = rows.mapInArrow(run, f"id {kind}, fingerprint string, layout string, formatted string, loss array<struct<start:long,length:long>>, turns array<struct<role:string,text:string>>, loss_texts array<string>")
+    return done.withColumnRenamed("id", id_col)
+
+
 def conversation_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
     """Rows by turn as one JSON record for each conversation, in one of the layouts that can hold its roles.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bt_quality, ngram_lm, sql
 from .bpe import decode_documents, encode_documents
-from .chat_format import canonical_turns, conversation_records, format_conversations, read_back
+from .chat_format import conversation_records, format_records
 from .collocations import collocations
 from .common import read_table
 from .fingerprints import fingerprint_edits
@@ -54,13 +54,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     talks = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     talks = talks.unionByName(spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string"))
-    formatted = format_conversations(canonical_turns(conversation_records(talks), "conv_id", "record"), "conv_id")
-    lengths = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), "formatted", "loss")
-    back = read_back(lengths, "conv_id", keep=("formatted_chars",))
+    back = format_records(conversation_records(talks), "conv_id", "record")
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
     digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), "formatted_chars")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

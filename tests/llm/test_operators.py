@@ -369,6 +369,24 @@ def test_conversation_rows(spark):
     assert chat_format.conversation_records(talks.limit(0)).count() == 0
 
 
+def test_records_take_one_python_worker(spark):
+    """Three steps one behind the other are three workers in every slot of an executor."""
+    records = [(i, f'{{"prompt": "</s>{i}", "completion": "[INST] {i}"}}') for i in range(600)] + [(600, None), (601, "{"), (602, '{"nothing": 1}'), (603, '{"messages": []}'), (604, '{"question": null, "answer": "a"}')]
+    records = spark.createDataFrame(records, "k int, record string").repartition(2)
+    own = chat_format.format_records(records, "k", "record")
+    assert len(re.findall(r"Map(?:InArrow|InPandas)|(?:Arrow|Batch)EvalPython", own._jdf.queryExecution().executedPlan().toString())) == 1
+    canonical = chat_format.canonical_turns(records, "k", "record")
+    formatted = chat_format.format_conversations(canonical, "k")
+    in_steps = {r["k"]: r.asDict(recursive=True) for r in formatted.join(chat_format.read_back(formatted, "k"), "k").collect()}
+    known = {r["k"]: (r["fingerprint"], r["layout"]) for r in canonical.collect()}
+    got = {r["k"]: r.asDict(recursive=True) for r in own.collect()}
+    assert {k: (r.pop("fingerprint"), r.pop("layout")) for k, r in got.items()} == known
+    assert got == in_steps
+    assert chat_format.format_records(records.limit(0), "k", "record").count() == 0
+    plan = queries.op5_chat_format(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Map(?:InArrow|InPandas)", plan)) == 1
+
+
 # ---- 6, language model
 
 
