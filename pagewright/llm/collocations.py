@@ -30,8 +30,11 @@ WORDS_EACH, MOST_BUCKETS = 8, 1 << 26
 SHARE, SUMMED = 1 << 16, 64
 #: Words of a block; a longer text is a block of its own.
 BLOCK = 250_000
+#: Words that a task of a pass reads at least, unless there are fewer tasks than cores: nearly every task meets nearly every
+#: frequent phrase and gives out a count of it, so that tasks as small as the files' splits give out many times as many.
+TASK = 16_000_000
 #: Counted phrases that a task holds before it gives them out; those of its blocks are added up so far.
-HELD = 200_000
+HELD = 500_000
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -245,8 +248,9 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """(lang, phrase, k, f) of all phrases of up to ``max_words`` words that occur ``min_count`` times in a language, and (lang, n) of all words."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     coded = written(texts.mapInArrow(_coded, _CODED), "coded")
-    blocks = coded.select("lang", "words", "ids", "sizes")
     n = coded.agg(F.sum("n")).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // TASK))
+    blocks = coded.select("lang", "words", "ids", "sizes").coalesce(tasks)
     size = min(MOST_BUCKETS, max(SHARE, 1 << (n // WORDS_EACH).bit_length()))
     buckets = phrases = None
     out = []

@@ -202,3 +202,25 @@ def test_equal_names_of_different_phrases_are_told_apart():
 def test_collocations_of_odd_rows(spark):
     assert collocations.collocations(empty_docs(spark).withColumn("lang", F.lit("en"))).collect() == []
     assert collocations.collocations(odd_docs(spark).withColumn("lang", F.lit(None).cast("string"))).count() >= 0
+
+
+def test_collocations_count_in_large_tasks(spark, monkeypatch):
+    """However finely the files are split, a phrase is counted in a few tasks, and each gives out one row for it."""
+    given, written = [], collocations.written
+
+    def seen(df, name):
+        df = written(df, name)
+        if name == "counted":
+            given.extend(r["count"] for r in df.where("phrase is not null").groupBy("phrase").count().collect())
+        return df
+
+    monkeypatch.setattr(collocations, "written", seen)
+    rows = [("en", "new york has new streets")] * 80
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = {tuple(r) for r in collocations.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(40), min_count=50, max_words=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    assert got == collocations_by_hand(rows, 50, 3, 2000)
+    assert max(given) <= spark.sparkContext.defaultParallelism
