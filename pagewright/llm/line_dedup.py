@@ -50,13 +50,13 @@ def cut_words(text: Column) -> Column:
 
 
 def hashed_pairs(text: Column, min_words: int) -> Column:
-    """A hash of each word of a text with the next one, or alone where stretches have one word. Stretches are hashed by every second of them."""
+    """A hash of each word of a text with the next one, or alone where stretches have one word."""
     return let(words(text), lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1)) if min_words > 1 else F.xxhash64(x)))
 
 
-def _seconds(n: int) -> list[int]:
-    """The places of the pairs that cover ``n`` words."""
-    return [*range(0, n - 1, 2), *([n - 2] if n % 2 and n > 1 else [])] or [0]
+def _span(pairs: Column, at: Column, n: int) -> Column:
+    """The pairs that cover ``n`` words, or those that are left; hashed as one array, which takes far less than as so many columns."""
+    return F.slice(pairs, at + 1, max(1, n - 1))
 
 
 def fingerprints(pairs: Column, gram: int, window: int, rate: int = RATE) -> Column:
@@ -95,9 +95,9 @@ def fingerprints(pairs: Column, gram: int, window: int, rate: int = RATE) -> Col
         return F.transform(places, lambda x: print_(keys, x))
 
     def print_(keys: Column, x: Column) -> Column:
-        """c covers the words from a on, two by two, up to the last that a stretch at b reaches, or a few more."""
-        f = F.xxhash64(*[F.get(keys, x + i) for i in _seconds(gram)])
-        c = lambda a: F.xxhash64(x - a, *[F.get(keys, a + i) for i in range(0, window - 1 + reach, 2)])
+        """c covers the words from a on up to the last that a stretch at b reaches, or a few more."""
+        f = F.xxhash64(_span(keys, x, gram))
+        c = lambda a: F.xxhash64(x - a, _span(keys, a, window - 1 + reach))
         return let(F.greatest(F.lit(0), x - (window - 1)), lambda a: F.struct(f.alias("f"), a.alias("a"), F.least(x, n - window).alias("b"), c(a).alias("c")))
 
     none = F.array().cast("array<struct<f:bigint,a:int,b:int,c:bigint>>")
@@ -120,7 +120,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= 2 * min_words - 1)).select(F.col(id_col).alias("at"), F.col(text_col).alias("text"))
     hashed = hashed_pairs(F.col("text"), min_words)
 
-    prints = docs.select("at", F.inline(let(hashed, lambda k: fingerprints(k, min_words - window + 1, window))))
+    prints = docs.select("at", F.inline(let(hashed, lambda k: fingerprints(k, min_words - window + 1, window)))).repartition("f")  # dealt and sorted once for both windows
     prints = prints.withColumn("later", F.col("at") > F.min("at").over(Window.partitionBy("f", "c")))
     prints = prints.withColumn("left", F.sum(F.when(F.col("later"), 0).otherwise(1)).over(Window.partitionBy("f")))
     ranges = written(prints.where("later or left > 1").select("at", "a", "b", "later"), "ranges")
@@ -132,7 +132,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = F.array_except(each("hits"), each("gone"))
 
     def stretches_of(k: Column) -> Column:
-        return F.transform(places, lambda p: F.struct(F.xxhash64(*[F.get(k, p + i) for i in _seconds(min_words)]).alias("c"), p.alias("p")))
+        return F.transform(places, lambda p: F.struct(F.xxhash64(_span(k, p, min_words)).alias("c"), p.alias("p")))
 
     in_order = docs.join(hits, "at").select("at", F.sort_array(let(hashed, stretches_of)).alias("s"))
     again = lambda s, x, i: (i > 0) & (F.get(s, i - 1)["c"] == x["c"])

@@ -495,6 +495,21 @@ def test_passages_that_begin_and_end_inside_a_line_go(spark):
     assert all(passages[i % 4] not in out[i] for i in range(4, 16) if i % 4 < 3) and out[7] == texts[7]
 
 
+def test_line_dedup_deals_fingerprints_once(spark, monkeypatch):
+    """Both windows over fingerprints read one exchange and one sort."""
+    plans, written = {}, line_dedup.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    passage = prose(random.Random(3), 40)
+    docs = spark.createDataFrame([(1, passage), (2, f"before {passage} behind")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == {1: passage, 2: "before behind"}
+    assert [plans["ranges"].count(node) for node in ("Exchange ", "Sort ")] == [1, 1]
+
+
 def test_line_dedup_matches_brute_force(spark):
     real = spark.read.parquet(f"{SF}/documents.parquet")
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(real).where("text is not null").collect()}
