@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import let, words, written
 
 MIN_WORDS, WINDOW = 36, 29
-#: One gram in so many is taken as a fingerprint whatever stands beside it.
-RATE = 8
+#: One gram in so many is taken as a fingerprint, and in stretches that have none of these one in so many.
+RATE, MORE_RATE = 11, 4
+_MORE = 1 << 30  # marks the latter
 _MARK = "\x01"
 
 
@@ -49,59 +50,56 @@ def cut_words(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
 
 
-def hashed_pairs(text: Column, min_words: int) -> Column:
-    """A hash of each word of a text with the next one, or alone where stretches have one word."""
-    return let(words(text), lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1)) if min_words > 1 else F.xxhash64(x)))
-
-
-def _span(pairs: Column, at: Column, n: int) -> Column:
-    """The pairs that cover ``n`` words, or those that are left; hashed as one array, which takes far less than as so many columns."""
-    return F.slice(pairs, at + 1, max(1, n - 1))
+def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
+    """at, f, c, a and b: for the documents (at and w, their words) the hash f of each fingerprint, its stretches from a to b, and c, the hash of all words of these.
 
+    Every stretch belongs to one row. Lambdas are interpreted and see each word once; the rest is compiled.
+    """
+    gram = min_words - window + 1
+    last = F.size("w") - min_words
 
-def fingerprints(pairs: Column, gram: int, window: int, rate: int = RATE) -> Column:
-    """The fingerprints of a document from ``hashed_pairs``: an array of f (hash), a and b (first and last stretch), c (all words of these)."""
-    longest = 30  # bits of a place
-    reach = gram + window - 1
-    n = F.size(pairs) - (gram - 1)
+    def below(rate: int):
+        """Whether the hash of two words lies in the least of ``rate`` parts."""
+        pair = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)) if gram > 1 else F.xxhash64(F.get("w", i))
+        return lambda i: pair(i) < F.lit(-(2**63) + 2**64 // rate)
 
-    def least(x: Column, size: int) -> Column:
-        """The least of each ``window`` neighbours, by doubling; the last two parts may overlap."""
-        if size == window:
-            return F.array_distinct(F.transform(x, lambda v: v.bitwiseAND(F.lit((1 << longest) - 1))))
-        by = min(size, window - size)
-        folded = F.transform(F.slice(x, F.lit(1), F.size(x) - by), lambda v, i: F.least(v, F.get(x, i + by)))
-        return let(folded, lambda y: least(y, size + by))
+    def filled(e: Column) -> Column:
+        """Each place as x with ``before``, the last one of the first kind; in wider gaps places of the second kind as well."""
+        before = lambda i: F.coalesce(F.get(e, i - 1), F.lit(-1))
+        more = lambda x, y: F.transform(F.filter(F.sequence(y + 1, x - 1), below(MORE_RATE)), lambda z: _range(y, z).bitwiseOR(F.lit(_MORE)))
+        each = lambda x, y: F.when(x - y > window, F.concat(more(x, y), F.array(_range(y, x)))).otherwise(F.array(_range(y, x)))
+        return F.flatten(F.transform(e, lambda x, i: each(x, before(i))))
 
-    def minima(keys: Column, after: Column, before: Column) -> Column:
-        """The places of window minima strictly between two places."""
-        own = F.transform(F.slice(keys, after + 2, before - after - 1), lambda k, i: F.shiftleft(F.shiftright(k, longest), longest).bitwiseOR(i.cast("long")))
-        return F.transform(let(own, lambda x: least(x, 1)), lambda i: i.cast("int") + after + 1)
+    ends = F.concat(F.filter(F.sequence(F.lit(0), last + (window - 1)), below(RATE)), F.array(last + window))
+    # outer, as Spark would infer a filter from the others and split the texts once more for that
+    anchors = docs.select("at", "w", F.when(last >= 0, let(ends, filled)).alias("ends")).select("at", "w", "ends", F.posexplode_outer("ends").alias("i", "x")).where("x is not null")
+    place = lambda x: F.coalesce(_end(x).bitwiseAND(F.lit(_MORE - 1)), F.lit(-1))
+    near = place(F.get("ends", F.col("i") - 1)), place(F.get("ends", F.col("i") + 1))
+    anchors = anchors.select("at", "w", place(F.col("x")).alias("x"), _begin(F.col("x")).alias("before"), near[0].alias("left"), near[1].alias("right"), (F.col("x").bitwiseAND(F.lit(_MORE)) != 0).alias("more"))
+    upto = F.when(F.col("more"), F.least("x", F.col("right") - window)).otherwise(F.least("x", last))
+    anchors = anchors.select("at", "w", "x", "left", F.greatest(F.col("before") + 1, F.col("x") - (window - 1)).alias("first"), upto.alias("last"))
+    alone = F.col("x") - window  # up to here stretches have no fingerprint, and stand for themselves
+    own = F.when(F.col("first") <= F.col("last"), F.array("first")).otherwise(F.array().cast("array<int>"))
+    starts = F.when(alone > F.col("left"), F.concat(F.sequence(F.col("left") + 1, alone), own)).otherwise(own)
+    each = anchors.select("at", "w", "x", "last", F.explode_outer(starts).alias("a")).where("a is not null")
+    single = F.col("a") <= alone
+    each = each.select("at", "w", "a", single.alias("single"), F.when(single, F.col("a")).otherwise(F.col("last")).alias("b"), F.when(single, F.col("a")).otherwise(F.col("x")).alias("x"), F.when(single, min_words).otherwise(gram).alias("n"))
+    each = each.select("at", "w", "a", "b", "x", "single", F.xxhash64(F.slice("w", F.col("x") + 1, F.col("n"))).alias("f"))
+    c = F.when(F.col("single"), F.col("f")).otherwise(F.xxhash64(F.col("x") - F.col("a"), F.slice("w", F.col("a") + 1, F.col("b") - F.col("a") + min_words)))
+    return each.select("at", "f", c.alias("c"), "a", "b")
 
-    def taken(keys: Column) -> Column:
-        few = F.array_compact(F.transform(keys, lambda k, i: F.when((k < F.lit(-(2**63) + 2**64 // rate)) & (i < n), i)))
 
-        def filled(p: Column) -> Column:
-            each = lambda x, i: F.when(x - F.get(p, i - 1) > window, F.concat(minima(keys, F.get(p, i - 1), x), F.array(x))).otherwise(F.array(x))
-            return F.flatten(F.transform(p, lambda x, i: F.when(i == 0, F.array(x)).otherwise(each(x, i))))
+def _range(a: Column, b: Column) -> Column:
+    """Two places as one number that sorts like them."""
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
 
-        def thinned(p: Column) -> Column:
-            key = lambda i: F.get(keys, F.get(p, i))
-            lesser = lambda x, i: (F.get(keys, x) > key(i - 1)) & (F.get(keys, x) > key(i + 1)) & (F.get(p, i + 1) - F.get(p, i - 1) <= window)
-            return F.filter(p, lambda x, i: (x >= 0) & (x < n) & ~F.coalesce(lesser(x, i) & (F.get(p, i + 1) < n), F.lit(False)))
 
-        ends = F.concat(F.array(F.lit(-1)), few, F.array(n))
-        places = let(let(ends, filled), thinned)
-        return F.transform(places, lambda x: print_(keys, x))
+def _begin(x: Column) -> Column:
+    return F.shiftright(x, 32).cast("int")
 
-    def print_(keys: Column, x: Column) -> Column:
-        """c covers the words from a on up to the last that a stretch at b reaches, or a few more."""
-        f = F.xxhash64(_span(keys, x, gram))
-        c = lambda a: F.xxhash64(x - a, _span(keys, a, window - 1 + reach))
-        return let(F.greatest(F.lit(0), x - (window - 1)), lambda a: F.struct(f.alias("f"), a.alias("a"), F.least(x, n - window).alias("b"), c(a).alias("c")))
 
-    none = F.array().cast("array<struct<f:bigint,a:int,b:int,c:bigint>>")
-    return F.when(n >= window, taken(pairs)).otherwise(none)
+def _end(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(2**32 - 1)).cast("int")
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -118,40 +116,24 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """_pw_at and runs: for each document that has some, the runs of words (a to b) that occur earlier, in order. Ids must be unique."""
     window = max(1, min(window, min_words - 1))
     docs = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= 2 * min_words - 1)).select(F.col(id_col).alias("at"), F.col(text_col).alias("text"))
-    hashed = hashed_pairs(F.col("text"), min_words)
 
-    prints = docs.select("at", F.inline(let(hashed, lambda k: fingerprints(k, min_words - window + 1, window)))).repartition("f")  # dealt and sorted once for both windows
-    prints = prints.withColumn("later", F.col("at") > F.min("at").over(Window.partitionBy("f", "c")))
+    prints = fingerprints(docs.select("at", words(F.col("text")).alias("w")), min_words, window).repartition("f")  # dealt and sorted once for both windows
+    prints = prints.withColumn("later", F.row_number().over(Window.partitionBy("f", "c").orderBy("at", "a")) > 1)
     prints = prints.withColumn("left", F.sum(F.when(F.col("later"), 0).otherwise(1)).over(Window.partitionBy("f")))
-    ranges = written(prints.where("later or left > 1").select("at", "a", "b", "later"), "ranges")
-    span = F.struct("a", "b")
-    hits = ranges.groupBy("at").agg(F.collect_list(F.when(~F.col("later"), span)).alias("hits"), F.collect_list(F.when(F.col("later"), span)).alias("gone")).where(F.size("hits") > 0)
-
-    # what goes anyway needn't be looked at: the first document that has a stretch never has it there
-    each = lambda c: F.flatten(F.transform(c, lambda x: F.sequence(x["a"], x["b"])))
-    places = F.array_except(each("hits"), each("gone"))
-
-    def stretches_of(k: Column) -> Column:
-        return F.transform(places, lambda p: F.struct(F.xxhash64(_span(k, p, min_words)).alias("c"), p.alias("p")))
-
-    in_order = docs.join(hits, "at").select("at", F.sort_array(let(hashed, stretches_of)).alias("s"))
-    again = lambda s, x, i: (i > 0) & (F.get(s, i - 1)["c"] == x["c"])
-    own = lambda s: F.transform(F.filter(s, lambda x, i: again(s, x, i)), lambda x: x["p"])
-    new = lambda s: F.filter(s, lambda x, i: (i == 0) | ~again(s, x, i))
-    parts = let(F.col("s"), lambda s: F.struct(own(s).alias("own"), new(s).alias("new")))
-    stretches = written(in_order.select("at", parts.alias("x")).select("at", "x.own", "x.new"), "stretches")
-
-    once = stretches.select("at", F.inline("new"))
-    first = once.groupBy("c").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("c", "first")
-    later = once.join(written(first, "first"), "c").where("at > first").select("at", F.col("p").alias("a"), F.col("p").alias("b"))
-    cut = later.union(ranges.where("later").select("at", "a", "b")).groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("x"))
-    cut = cut.union(stretches.where(F.size("own") > 0).select("at", F.transform("own", lambda p: F.struct(p.alias("a"), p.alias("b")))))
-    found = cut.groupBy("at").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("p"))
+    ranges = written(prints.where("later or left > 1").select("at", _range(F.col("a"), F.col("b")).alias("x"), "later"), "ranges")
+
+    hits = ranges.where("not later").groupBy("at").agg(F.collect_list("x").alias("hits")).hint("shuffle_hash")
+    near = docs.join(hits, "at").select("at", words(F.col("text")).alias("w"), "hits").select("at", "w", F.explode_outer("hits").alias("x"))
+    near = near.select("at", "w", F.explode_outer(F.sequence(_begin(F.col("x")), _end(F.col("x")))).alias("p"))
+    stretches = written(near.select("at", "p", F.xxhash64(F.slice("w", F.col("p") + 1, min_words)).alias("c")), "stretches")
+    first = stretches.groupBy("c").agg(F.min(F.struct("at", "p")).alias("first"), F.count("p").alias("n")).where("n > 1").select("c", "first")
+    later = stretches.join(first, "c").where(F.struct("at", "p") > F.col("first")).select("at", _range(F.col("p"), F.col("p")).alias("x"))
+    found = later.union(ranges.where("later").select("at", "x")).groupBy("at").agg(F.sort_array(F.collect_list("x")).alias("p"))
 
     def joined(p: Column) -> Column:
-        begins = F.filter(p, lambda x, i: (i == 0) | (x["a"] - F.get(p, i - 1)["b"] > min_words))
-        ends = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1)["a"] - x["b"] > min_words))
-        return F.zip_with(begins, ends, lambda x, y: F.struct(x["a"].alias("a"), (y["b"] + (min_words - 1)).alias("b")))
+        begins = F.filter(p, lambda x, i: (i == 0) | (_begin(x) - _end(F.get(p, i - 1)) > min_words))
+        ends = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (_begin(F.get(p, i + 1)) - _end(x) > min_words))
+        return F.zip_with(begins, ends, lambda x, y: F.struct(_begin(x).alias("a"), (_end(y) + (min_words - 1)).alias("b")))
 
     return found.select(F.col("at").alias("_pw_at"), let(F.col("p"), joined).alias("runs"))
 

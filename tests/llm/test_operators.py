@@ -510,6 +510,39 @@ def test_line_dedup_deals_fingerprints_once(spark, monkeypatch):
     assert [plans["ranges"].count(node) for node in ("Exchange ", "Sort ")] == [1, 1]
 
 
+def test_line_dedup_hashes_stretches_in_compiled_code(spark, monkeypatch):
+    """Lambdas are interpreted: they may look at pairs of words, but hashing what is around a fingerprint, or a stretch, there was most of the time."""
+    plans, written = {}, line_dedup.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    line_dedup.dedup_lines(spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")).count()
+    for plan in (plans["ranges"], plans["stretches"]):
+        hashed = [x for x in plan.split("\n") if "xxhash64(" in x and "slice(" in x]
+        assert hashed and not any("lambda" in x for x in hashed)
+        assert not any(x.count("split(") > 1 for x in plan.split("\n"))
+
+
+@pytest.mark.parametrize(("n", "window"), [(1, 29), (2, 29), (5, 3), (36, 29)])
+def test_every_stretch_is_in_one_range(spark, n, window):
+    """With no, few and many grams that are fingerprints; two stretches of the same words get the same fingerprint."""
+    rng = random.Random(41)
+    texts = {0: "", 1: "w", 2: "w " * 90, 3: prose(rng, 36), 4: prose(rng, 35), 5: prose(rng, 3000), 6: " ".join(rng.choice("ab") for _ in range(600)), 7: "a b c d e " * 60}
+    texts |= {10 + i: prose(rng, rng.randrange(60)) + " " + texts[5][700 * i :][:400] + " " + prose(rng, rng.randrange(60)) for i in range(12)}
+    w = {i: WORD.findall(t) for i, t in texts.items()}
+    rows = line_dedup.fingerprints(spark.createDataFrame(list(w.items()), "at long, w array<string>"), n, max(1, min(window, n - 1))).collect()
+    assert sorted((r["at"], p) for r in rows for p in range(r["a"], r["b"] + 1)) == sorted((i, p) for i, x in w.items() for p in range(len(x) - n + 1))
+    prints = {}
+    for r in rows:
+        for p in range(r["a"], r["b"] + 1):
+            assert prints.setdefault(tuple(w[r["at"]][p : p + n]), r["f"]) == r["f"]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, min_words=n, window=window).collect()} == lines_by_hand(texts, n)
+
+
 def test_line_dedup_matches_brute_force(spark):
     real = spark.read.parquet(f"{SF}/documents.parquet")
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(real).where("text is not null").collect()}
