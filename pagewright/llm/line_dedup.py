@@ -4,20 +4,19 @@ Every word goes that lies in a stretch of ``min_words`` words which occurs earli
 smaller id, or before in the same document. A passage may begin and end inside a line, and is found in whatever lines
 it was put.
 
-1. A stretch of ``min_words`` words holds WINDOW grams of GRAM words. The least of them, by the hash of its first two
-   words, is a fingerprint (winnowing), so that all copies of a stretch have one in common. Grams whose hash is among
-   the least of all are taken first, and the minima of windows that have none of these; of what is taken so, a gram goes
-   that lies between two lesser ones which no window parts.
-2. Where all words around a fingerprint that its stretches reach occur in a smaller document, all of these stretches
-   occur earlier. Of the others those are left whose fingerprint is not the only one: they are joined back to their
-   documents.
-3. There every stretch is hashed. Copies inside a document are found by sorting its own stretches, copies in other
-   documents by the smallest document that has the stretch.
+1. A stretch of ``min_words`` words holds WINDOW grams of GRAM words. Grams are fingerprints where the hash of their
+   first two words is low; a stretch belongs to the first such gram in it, in want of that to the last one of a
+   second, more frequent kind, and else stands for itself. Copies of a stretch thus have the same fingerprint.
+2. Where all words of a fingerprint's stretches occur together earlier, all of these stretches do. Of the others those
+   are left whose fingerprint is not the only one: they are joined back to their documents.
+3. There every stretch is hashed; all but the first of equal ones occur earlier.
 4. Words of stretches that occur earlier go. All of it is DataFrame operations on built-in functions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +45,12 @@ def count_lines(text: Column) -> Column:
 
 
 def cut_words(text: Column) -> Column:
-    """The words of a text, each with the blanks that follow it; blanks before the first word belong to none."""
-    return F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    """The words of a text, each with the blanks that follow it, and perhaps an empty one behind; blanks before the first word belong to none."""
+    begun = F.regexp_replace(text, r"^[\x20\x09-\x0D]+", "")
+    marked = F.replace(F.replace(begun, F.lit(" "), F.lit(" " + _MARK)), F.lit("\n"), F.lit("\n" + _MARK))
+    odd = [x + y for x in " \n" for y in " \n"] + ["\t", "\x0b", "\x0c", "\r", _MARK]
+    any_odd = reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in odd))
+    return F.when(any_odd, F.split(begun, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")).otherwise(F.split(marked, _MARK))
 
 
 def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
@@ -125,9 +128,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hits = ranges.where("not later").groupBy("at").agg(F.collect_list("x").alias("hits")).hint("shuffle_hash")
     near = docs.join(hits, "at").select("at", words(F.col("text")).alias("w"), "hits").select("at", "w", F.explode_outer("hits").alias("x"))
     near = near.select("at", "w", F.explode_outer(F.sequence(_begin(F.col("x")), _end(F.col("x")))).alias("p"))
-    stretches = written(near.select("at", "p", F.xxhash64(F.slice("w", F.col("p") + 1, min_words)).alias("c")), "stretches")
-    first = stretches.groupBy("c").agg(F.min(F.struct("at", "p")).alias("first"), F.count("p").alias("n")).where("n > 1").select("c", "first")
-    later = stretches.join(first, "c").where(F.struct("at", "p") > F.col("first")).select("at", _range(F.col("p"), F.col("p")).alias("x"))
+    stretches = near.select("at", "p", F.xxhash64(F.slice("w", F.col("p") + 1, min_words)).alias("c"))
+    again = F.row_number().over(Window.partitionBy("c").orderBy("at", "p")) > 1
+    later = stretches.withColumn("again", again).where("again").select("at", _range(F.col("p"), F.col("p")).alias("x"))
     found = later.union(ranges.where("later").select("at", "x")).groupBy("at").agg(F.sort_array(F.collect_list("x")).alias("p"))
 
     def joined(p: Column) -> Column:

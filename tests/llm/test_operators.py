@@ -519,11 +519,11 @@ def test_line_dedup_hashes_stretches_in_compiled_code(spark, monkeypatch):
         return written(df, name)
 
     monkeypatch.setattr(line_dedup, "written", seen)
-    line_dedup.dedup_lines(spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")).count()
-    for plan in (plans["ranges"], plans["stretches"]):
+    out = line_dedup.dedup_lines(spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string"))
+    for plan in (plans["ranges"], out._jdf.queryExecution().executedPlan().toString()):
         hashed = [x for x in plan.split("\n") if "xxhash64(" in x and "slice(" in x]
         assert hashed and not any("lambda" in x for x in hashed)
-        assert not any(x.count("split(") > 1 for x in plan.split("\n"))
+    assert not any(x.count("split(") > 1 for x in plans["ranges"].split("\n"))
 
 
 @pytest.mark.parametrize(("n", "window"), [(1, 29), (2, 29), (5, 3), (36, 29)])
